@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -26,6 +27,10 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPAC
 #: separators that only Python counts as white space.
 _OTHER = re.compile("[^\\x00-\\x1b\\x20-į\u0131-ɏ]")
 
+#: Byte-level vocabularies write a byte that Latin-1 prints as itself; the others, in order, as U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -51,7 +56,7 @@ class WordEncoder:
     entries each, and the vocabulary's own words inside them.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 350_000):
         self.tokenizer = load_tokenizer(path)
         self.memory = memory
         self.young: dict[str, bytes] = {}
@@ -100,9 +105,10 @@ class WordEncoder:
         if len(self.words) + len(unknown) > 2 * self.memory:
             self.words.clear()
             unknown = list({w for p in parts for w in p})
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.words[w] = self._pack(e.ids)
-        words = self.words
+        words, tokenize, code = self.words, self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
+        for w in unknown:
+            shown = w if w.isascii() else w.encode("utf-8").decode("latin-1")
+            words[w] = array(code, [t.id for t in tokenize(shown.translate(_SHOWN))]).tobytes()
         for r, p in zip(new, parts, strict=True):
             young[r] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
 

@@ -48,6 +48,13 @@ def op6_suffix_automaton_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from delvegraph.llm.minhash_dedup import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     from delvegraph.llm.packing import pack
 
@@ -61,7 +68,7 @@ def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op9_concatenate_and_cut, op10_resync_token_counts)}
+    return {f.__name__: f for f in (op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
