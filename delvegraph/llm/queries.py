@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from delvegraph.llm.embed_dedup import near_vectors
+
+    found = near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from delvegraph.llm.sharding import byte_balanced_shards
 
@@ -68,7 +75,7 @@ def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
+    return {f.__name__: f for f in (op1_hnsw_near_vectors, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
