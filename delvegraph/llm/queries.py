@@ -19,6 +19,15 @@ def op1_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from delvegraph.llm.language_id import fit_on, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_on(docs, ~held_out(F.col("doc_id")))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from delvegraph.llm.sharding import byte_balanced_shards
 
@@ -75,7 +84,7 @@ def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_near_vectors, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
+    return {f.__name__: f for f in (op1_hnsw_near_vectors, op3_crf_language, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
