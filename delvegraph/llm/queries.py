@@ -19,6 +19,13 @@ def op1_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op2_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from delvegraph.llm.suffix_dedup import n_removed, remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"), 100)
+    return found.select("doc_id", "n_bytes", n_removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from delvegraph.llm.language_id import fit_on, held_out, identify
 
@@ -84,7 +91,7 @@ def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_near_vectors, op3_crf_language, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
+    return {f.__name__: f for f in (op1_hnsw_near_vectors, op2_deep_shallow_repeats, op3_crf_language, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
