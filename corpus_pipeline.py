@@ -1,8 +1,80 @@
-from delvegraph.llm import queries as _q  # noqa: F401
+"""A training-data pipeline of five operators, each working on what the one before kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from delvegraph.llm.decontaminate import remove_overlap
+from delvegraph.llm.language_id import UNKNOWN, fit_on, identify
+from delvegraph.llm.minhash_dedup import keep_one
+from delvegraph.llm.packing import pack
+from delvegraph.llm.secret_scan import mask_hits, scan_history
+from delvegraph.llm.storage import materialize
+
+#: A document whose best language has a smaller share of its words is rejected.
+LEAST_SHARE = 0.4
+
+
+def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, with n_chars counted again."""
+    return docs.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in like.dtypes))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language that holds ``LEAST_SHARE`` of their words or more.
+
+    Null texts and texts without a letter go.
+    """
+    model = fit_on(docs, F.lit(True))
+    text = docs.withColumn("__copy", F.col("text"))
+    found = identify(text, model, text_col="__copy", keep=docs.columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*(f"`{c}`" for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of which a twentieth or more is benchmark text; rarer runs are cut out."""
+    return _columns(remove_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark of its kind.
+
+    A document is joined with the findings of its content, so repeated ids do no harm.
+    """
+    content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    _, ledger = scan_history(docs)
+    order = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("ord"), s["stop"].alias("stop"), F.col("rule").alias("kind")))
+    hits = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(order))).alias("__hits"))
+    none = F.array().cast(dict(hits.dtypes)["__hits"])
+    joined = docs.withColumn("blob", F.sha2(content, 256)).join(hits, "blob", "left").withColumn("__hits", F.coalesce("__hits", none))
+    return _columns(joined.withColumn("text", F.when(F.col("text").isNotNull(), mask_hits(F.col("text"), F.col("__hits")))), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with the tokens' ids (32 bits each)."""
+    return pack(docs, 4096)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
+
+#: The language model and the vocabulary are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

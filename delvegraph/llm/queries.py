@@ -71,6 +71,12 @@ def op6_suffix_automaton_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from delvegraph.llm.lm_score import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from delvegraph.llm.minhash_dedup import near_duplicates
 
@@ -91,7 +97,7 @@ def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_near_vectors, op2_deep_shallow_repeats, op3_crf_language, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
+    return {f.__name__: f for f in (op1_hnsw_near_vectors, op2_deep_shallow_repeats, op3_crf_language, op4_byte_balanced_shards, op5_secret_ledger, op6_suffix_automaton_overlap, op7_attention_scores, op8_odd_sketch_dedup, op9_concatenate_and_cut, op10_resync_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
