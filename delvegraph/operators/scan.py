@@ -1,0 +1,74 @@
+"""Redaction and instruction-injection scanning of text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The redaction shapes in priority order: label, leading part that stays, the rest.
+SHAPES = [
+    ("aws-key", r"AKIA", r"[0-9A-Z]{16}"),
+    ("private-key", r"-----BEGIN ", r"[A-Z ]*PRIVATE KEY-----"),
+    ("github-token", r"gh[posur]_", r"[A-Za-z0-9]{20,}"),
+    ("github-pat", r"github_pat_", r"[A-Za-z0-9_]{20,}"),
+    ("slack-token", r"xox[baprs]-", r"[A-Za-z0-9-]{10,}"),
+    ("google-key", r"AIza", r"[A-Za-z0-9_-]{35}"),
+    ("sk-ant-key", r"sk-ant-", r"[A-Za-z0-9_-]{20,}"),
+    ("sk-key", r"sk-", r"[A-Za-z0-9]{20,}"),
+    ("jwt", r"eyJ", r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+]
+STRICT = r"(?i)(api[_-]?key|secret|token|passwd|password|credential)s?[\"']?\s*[:=]"
+LOOSE = r"(?i)(authorization|bearer)[\s:=]"
+# The phrases that address a model.
+PHRASES = [
+    ("ignore-previous", r"(?i)ignore (all )?(the )?(previous|prior|above) instructions"),
+    ("new-role", r"(?i)you are now (a|an|the) "),
+    ("system-prompt", r"(?i)(reveal|print|show) (your|the) system prompt"),
+    ("override", r"(?i)override (your|the|all) (safety|rules|instructions)"),
+    ("do-not-tell", r"(?i)do not (tell|inform|mention this to) the user"),
+    ("act-as", r"(?i)pretend (to be|you are) "),
+]
+WARN = ("disregard", r"(?i)\bdisregard\b")
+NET = r"(?i)\b(curl|wget|nc|Invoke-WebRequest)\b"
+SECRET_PATH = r"(~/\.ssh|~/\.aws|/etc/passwd|\.env\b|id_rsa)"
+
+
+def credential_line(line: Column) -> Column:
+    return line.rlike(STRICT) | line.rlike(LOOSE)
+
+
+def redact(text: Column) -> Column:
+    """``text`` with every secret cut to its leading characters and a mark; the generic
+    shape counts only on lines that assign a credential."""
+    out = text
+    for label, head, tail in SHAPES:
+        out = F.regexp_replace(out, f"({head}){tail}", rf"$1…[REDACTED:{label}]")
+    generic = lambda s: F.regexp_replace(s, "([A-Za-z0-9+/=_-]{4})[A-Za-z0-9+/=_-]{28,}", "$1…[REDACTED:generic]")
+    return F.array_join(F.transform(F.split(out, "\n", -1), lambda s: F.when(credential_line(s), generic(s)).otherwise(s)), "\n")
+
+
+def count_redactions(text: Column) -> Column:
+    """Marks in a redacted text."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"\[REDACTED:[a-z-]+\]"), F.lit(0)))
+
+
+def scan_injection(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, line, rule, severity): phrases that address a model, exfiltration inside fences.
+
+    Quoted spans (backticks, straight quotes) are data and do not count.  A second
+    pass over the whitespace-joined text finds phrases split over lines (line 0).
+    """
+    quoted = r"`[^`\n]*`|\"[^\"\n]*\""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("p", "raw")).select("id", (F.col("p") + 1).alias("line"), "raw", F.regexp_replace("raw", quoted, " ").alias("body"))
+    rules = [*((n, rx, "CRITICAL") for n, rx in PHRASES), (*WARN, "WARN")]
+
+    def found(df: DataFrame) -> DataFrame:
+        hit = F.filter(F.array(*(F.when(F.col("body").rlike(rx), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, rx, s in rules)), lambda x: x.isNotNull())
+        return df.select("id", "line", F.explode(hit).alias("h")).select("id", "line", "h.rule", "h.severity")
+
+    direct = found(lines)
+    joined = docs.select(F.col(id_col).alias("id"), F.lit(0).alias("line"), F.regexp_replace(F.regexp_replace(F.col(text_col), quoted, " "), r"\s+", " ").alias("body"))
+    split = found(joined).join(direct.select("id", "rule").distinct(), ["id", "rule"], "left_anti").select("id", "line", "rule", "severity")
+    fences = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))).alias("code"))
+    exfil = fences.filter(F.col("code").rlike(NET) & F.col("code").rlike(SECRET_PATH)).select("id", F.lit(0).alias("line"), F.lit("exfil").alias("rule"), F.lit("CRITICAL").alias("severity")).distinct()
+    return direct.unionByName(split).unionByName(exfil).dropDuplicates(["id", "line", "rule"])

@@ -1,0 +1,258 @@
+"""Retrieval, search, scanning, clone and document queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from delvegraph.functions import text as T
+from delvegraph.operators import clones, quality, resolve, scan, search
+from delvegraph.operators import retrieval as R
+from delvegraph.operators import text as D
+from delvegraph.queries.registry import NODES, nodes, query, rounded, table
+
+_TERMS = "toks AS (SELECT doc_id AS id, lower(unnest(regexp_extract_all(text, '[A-Z]?[a-z0-9]+'))) AS term FROM documents), post AS (SELECT term, id, count(*)::BIGINT AS tf FROM toks WHERE length(term) >= 2 GROUP BY 1, 2)"
+_BM25 = (
+    f"WITH {_TERMS}, dl AS (SELECT id, sum(tf) AS dl FROM post GROUP BY id), cst AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents)::DOUBLE AS avgdl), "
+    "asked AS (SELECT * FROM (VALUES ('token', 1), ('license', 2), ('the', 1), ('erering', 1)) v(term, times)), df AS (SELECT term, count(*) AS d FROM post WHERE term IN (SELECT term FROM asked) GROUP BY term), "
+    "sc AS (SELECT id, sum(times * ln((n - d + 0.5) / (d + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (id), cst GROUP BY id)"
+)
+_ASK = "token license License the erering"
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+
+
+def _scores(spark, sf):
+    d = _docs(spark, sf)
+    return R.bm25(R.postings(d, {"text": 1}), d.count(), _ASK)
+
+
+@query(f"WITH {_TERMS} SELECT term, count(*) AS docs, sum(tf)::BIGINT AS uses FROM post GROUP BY term")
+def subtoken_index(spark, sf):
+    return R.postings(_docs(spark, sf), {"text": 1}).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
+
+
+@query(f"{_BM25} SELECT id, round(score, 6) AS score FROM sc")
+def bm25_scores(spark, sf):
+    return rounded(_scores(spark, sf), "score")
+
+
+@query(
+    f"{_BM25}, tp AS (SELECT id, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 41), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS place, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM tp), "
+    "b AS (SELECT place, (prev - score) / prev AS dr FROM r WHERE place > 0 AND place < 40 ORDER BY dr DESC, place LIMIT 1), k AS (SELECT CASE WHEN (SELECT dr FROM b) >= 0.2 THEN greatest((SELECT place FROM b), 5) ELSE least(40, (SELECT count(*) FROM r)) END AS keep) "
+    "SELECT id, score, place::INTEGER AS place FROM r, k WHERE place < keep"
+)
+def adaptive_cut(spark, sf):
+    return R.adaptive_cut(rounded(_scores(spark, sf), "score"), ceiling=40)
+
+
+@query(
+    f"{_BM25}, s AS (SELECT source AS path, max(round(score, 6)) AS score FROM sc JOIN documents ON doc_id = id WHERE score > 0 GROUP BY source) "
+    "SELECT path, score, row_number() OVER (ORDER BY (path = 'src3')::INTEGER, score DESC, path)::INTEGER AS place FROM s"
+)
+def document_recall(spark, sf):
+    d = _docs(spark, sf)
+    generated = d.filter("source = 'src3'").select(F.col("source").alias("path"))
+    return R.recall_documents(rounded(_scores(spark, sf), "score"), d.select("id", F.col("source").alias("path")), generated)
+
+
+@query(f"{_BM25} SELECT id, round(score * CASE WHEN lang = 'fr' THEN 0.3 ELSE 1.0 END * CASE WHEN source = 'src1' THEN 0.35 ELSE 1.0 END, 6) AS score FROM sc JOIN documents ON doc_id = id")
+def tiered_scores(spark, sf):
+    tiers = _docs(spark, sf).select("id", F.when(F.col("lang") == "fr", "sec").otherwise("fn").alias("kind"), F.when(F.col("source") == "src1", 1).otherwise(0).alias("tier"))
+    return rounded(R.tiered(_scores(spark, sf), tiers), "score")
+
+
+@query(f"{_BM25}, m AS (SELECT doc_id AS id, min(doc_id % 3) AS nth FROM documents WHERE doc_id < 30 GROUP BY doc_id) SELECT coalesce(sc.id, m.id) AS id, round(greatest(coalesce(score, 0), coalesce((SELECT max(score) FROM sc) * (1 - 0.05 * (nth + 1)), 0)), 6) AS score FROM sc FULL JOIN m ON sc.id = m.id")
+def mention_boost(spark, sf):
+    mentioned = _docs(spark, sf).filter("id < 30").select("id", (F.col("id") % 3).alias("nth"))
+    return rounded(R.mention_boost(_scores(spark, sf), mentioned), "score")
+
+
+@query(
+    f"WITH {NODES}, df AS (SELECT name, count(*) AS n FROM nodes WHERE name IN ('widget', 'error') GROUP BY name) SELECT id, round(ln(((SELECT count(*) FROM nodes) - n + 0.5) / (n + 0.5) + 1), 6) AS score FROM nodes JOIN df USING (name)"
+)
+def exact_name_lane(spark, sf):
+    return rounded(R.name_lane(nodes(spark, sf), "which widget has an error"), "score")
+
+
+@query("SELECT doc_id AS id, line::INTEGER AS line, body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE contains(body, 'token = ')")
+def grep_literal(spark, sf):
+    return search.grep(_docs(spark, sf), "token = ", regex=False)
+
+
+@query("SELECT doc_id AS id, line::INTEGER AS line, body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(body, '[0-9]{3}\\.[0-9]{1,3}\\.[0-9]+')")
+def grep_regex(spark, sf):
+    return search.grep(_docs(spark, sf), r"[0-9]{3}\.[0-9]{1,3}\.[0-9]+")
+
+
+@query(
+    "WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), h AS (SELECT id, line FROM l WHERE contains(body, '@')), "
+    "w AS (SELECT l.id, l.line, l.body, bool_or(l.line = h.line) AS hit FROM l JOIN h ON h.id = l.id AND l.line BETWEEN h.line - 1 AND h.line + 2 GROUP BY 1, 2, 3) SELECT id, line::INTEGER AS line, body, NOT hit AS context FROM w"
+)
+def grep_context(spark, sf):
+    d = _docs(spark, sf)
+    return search.with_context(d, search.grep(d, "@", regex=False), 1, 2)
+
+
+@query(
+    "WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS body FROM documents), g AS (SELECT id, sum(CASE WHEN regexp_matches(body, '(?i)(api[_-]?key|secret|token|passwd|password|credential)s?[\"'']?\\s*[:=]') OR regexp_matches(body, '(?i)(authorization|bearer)[\\s:=]') THEN len(regexp_extract_all(body, '[A-Za-z0-9+/=_-]{32,}')) ELSE 0 END)::INTEGER AS marks FROM l GROUP BY id) SELECT id, marks FROM g WHERE marks > 0"
+)
+def redactions(spark, sf):
+    d = _docs(spark, sf).select("id", scan.count_redactions(scan.redact(F.col("text"))).alias("marks"))
+    return d.filter("marks > 0")
+
+
+@query(
+    "WITH c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), l AS (SELECT id, unnest(string_split(regexp_replace(text, '`[^`\\n]*`|\"[^\"\\n]*\"', ' ', 'g'), chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM c) "
+    "SELECT id, line::INTEGER AS line, 'disregard' AS rule, 'WARN' AS severity FROM l WHERE regexp_matches(body, '(?i)\\bdisregard\\b') UNION ALL SELECT id, line::INTEGER, 'ignore-previous', 'CRITICAL' FROM l WHERE regexp_matches(body, '(?i)ignore (all )?(the )?(previous|prior|above) instructions')"
+)
+def injection_scan(spark, sf):
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return scan.scan_injection(c)
+
+
+@query(
+    "WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages), "
+    "e AS (SELECT page_id, replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', chr(1), 'g'), '&[#A-Za-z0-9]{1,8};', ' ', 'g'), chr(1), '&') AS t FROM t) "
+    "SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t\\r\\f]*\\n\\s*', chr(10), 'g'), '[ \\t\\r\\f]+', ' ', 'g'), ' ' || chr(10)) AS text FROM e"
+)
+def page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", D.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, CASE WHEN length(p) > 1 AND p LIKE '%/' THEN p[:-2] ELSE p END AS template FROM (SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{id}' ELSE s END), '/') AS p FROM pages)")
+def url_templates(spark, sf):
+    return table(spark, sf, "pages").select("page_id", D.url_template(F.col("url")).alias("template"))
+
+
+@query(
+    "WITH u AS (SELECT page_id AS use_id, string_split(trim(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), '/') AS s FROM pages) SELECT use_id, CASE s[1] WHEN 'en' THEN 1 WHEN 'fr' THEN 2 END::INTEGER AS def_id FROM u WHERE len(s) = 2 AND s[1] IN ('en', 'fr')"
+)
+def route_edges(spark, sf):
+    defs = spark.createDataFrame([(1, "GET", "/en/{id}"), (2, None, "/fr/:id"), (3, "GET", "/de/{id}"), (4, "GET", "/{lang}/x/{id}"), (5, "GET", "/de/:n")], "def_id int, method string, template string")
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://[^/]*", "")
+    return resolve.route_edges(defs, table(spark, sf, "pages").select(F.col("page_id").alias("use_id"), F.lit(None).cast("string").alias("method"), path.alias("path")))
+
+
+@query("SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_text_clones(spark, sf):
+    words = _docs(spark, sf).select("id", F.array("text").alias("stream"))
+    return clones.exact_clones(words, least=1).select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size("ids").cast("long").alias("copies"))
+
+
+@query()
+def renamed_code_clones(spark, sf):
+    """Equal normalised token streams (identifiers, numbers and strings erased)."""
+    units = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("code"))
+    return clones.exact_clones(clones.token_streams(units)).select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "n_tokens")
+
+
+@query()
+def near_code_clones(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.split(F.lower("text"), r"\s+").alias("stream"))
+    more = _docs(spark, sf).select((F.col("id") + 1_000_000).alias("id"), F.split(F.lower("text"), r"\s+").alias("stream"))
+    return clones.near_clones(words.unionByName(more))
+
+
+_SHINGLES = (
+    "WITH bw AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark), dw AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), "
+    "bs AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM bw, range(1, len(w) - 3) r(i)), ds AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM dw, range(1, len(w) - 3) r(i))"
+)
+
+
+@query(f"{_SHINGLES}, n AS (SELECT id, count(*) AS n FROM bs GROUP BY id) SELECT bs.id AS a, ds.id AS b, round(count(*) / max(n)::DOUBLE, 6) AS containment FROM bs JOIN ds USING (s) JOIN n ON n.id = bs.id GROUP BY 1, 2")
+def item_containment(spark, sf):
+    words = lambda df, i: df.select(F.col(i).alias("id"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("words"))
+    b, d = words(table(spark, sf, "benchmark"), "item_id"), words(table(spark, sf, "documents"), "doc_id")
+    return rounded(clones.containment(b, d, 5, bottom=None), "containment")
+
+
+@query(
+    "WITH tk AS (SELECT doc_id AS id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM documents WHERE doc_id % 10 = 0), c AS (SELECT id, token, count(*) AS c FROM tk GROUP BY 1, 2), p AS (SELECT *, c / (sum(c) OVER (PARTITION BY id))::DOUBLE AS p FROM c), "
+    "e AS (SELECT id, sum(c)::BIGINT AS n, count(*) AS eta, sum(-p * log2(p)) AS entropy FROM p GROUP BY id), l AS (SELECT doc_id AS id, len(string_split(text, chr(10))) AS ln FROM documents) "
+    "SELECT id, round(n * log2(eta), 6) AS volume, round(entropy, 6) AS entropy, round(1 / (1 + exp(-(8.87 - 0.033 * n * log2(eta) + 0.40 * ln - 1.5 * entropy))), 6) AS score FROM e JOIN l USING (id)"
+)
+def readability_scores(spark, sf):
+    d = _docs(spark, sf).filter("id % 10 = 0")
+    tokens = d.select("id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("token"))
+    return rounded(quality.readability(tokens, d.select("id", F.size(F.split("text", "\n")).alias("n_lines"))), "volume", "entropy", "score")
+
+
+@query(
+    "WITH w AS (SELECT doc_id AS id, list_filter(string_split(lower(lang || ' ' || source), ' '), lambda x: x <> '') AS nw, list_filter(regexp_split_to_array(lower(text[:300]), '[^a-z0-9]+'), lambda x: x <> '') AS cw FROM documents WHERE doc_id % 7 = 0) "
+    "SELECT id, CASE WHEN len(cw) > 0 THEN round(len(list_filter(cw, lambda c: len(list_filter(nw, lambda n: levenshtein(c, n) <= 1)) > 0)) / len(cw)::DOUBLE, 6) END AS c_coeff, "
+    "CASE WHEN len(cw) > 0 THEN round(len(list_intersect(list_distinct(cw), list_distinct(nw))) / len(list_distinct(list_concat(cw, nw)))::DOUBLE, 6) END AS cic FROM w"
+)
+def comment_coherence(spark, sf):
+    d = _docs(spark, sf).filter("id % 7 = 0")
+    rows = d.select("id", F.filter(F.split(F.lower(F.concat_ws(" ", "lang", "source")), " "), lambda x: x != "").alias("name_words"), F.filter(F.split(F.lower(F.substring("text", 1, 300)), "[^a-z0-9]+"), lambda x: x != "").alias("comment_words"))
+    return rounded(quality.comment_coherence(rows), "c_coeff", "cic")
+
+
+@query("SELECT id, run::BIGINT AS cost_so_far FROM (SELECT doc_id AS id, sum(strlen(text)) OVER (ORDER BY doc_id % 10, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) WHERE run <= 200000")
+def token_budget(spark, sf):
+    d = _docs(spark, sf).select("id", F.octet_length("text").cast("long").alias("n"))
+    return R.within_budget(d, [F.col("id") % 10, F.col("id")], F.col("n"), 200_000).select("id", "cost_so_far")
+
+
+@query(
+    "WITH h AS (SELECT n_chars AS score, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality = 0) AS neg FROM labels JOIN documents USING (doc_id) GROUP BY n_chars), w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h) "
+    "SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6)::DOUBLE AS auc FROM w"
+)
+def label_auc(spark, sf):
+    j = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(F.col("n_chars").alias("score"), F.col("quality").alias("label"))
+    return rounded(R.auc(j), "auc")
+
+
+@query(
+    "WITH rk AS (SELECT source AS q, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents), gold AS (SELECT source AS q, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 1), "
+    "e AS (SELECT g.q, count(*) AS n, count(*) FILTER (place <= 10) AS f, min(place) AS m FROM gold g LEFT JOIN rk ON rk.q = g.q AND rk.id = g.id GROUP BY g.q) SELECT round(avg(f / n::DOUBLE), 6) AS recall_at_k, round(avg(CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_at_k, round(avg(1.0 / m), 6)::DOUBLE AS mrr FROM e"
+)
+def retrieval_eval(spark, sf):
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents")
+    ranked = d.select(F.col("source").alias("query"), F.col("doc_id").alias("id"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
+    gold = d.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("id"))
+    return rounded(R.retrieval_metrics(ranked, gold, 10), "recall_at_k", "hit_at_k", "mrr")
+
+
+@query("SELECT doc_id AS id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents WHERE doc_id % 20 = 0")
+def xml_escape(spark, sf):
+    return _docs(spark, sf).filter("id % 20 = 0").select("id", T.escape_xml(F.col("text")).alias("xml"))
+
+
+@query("SELECT doc_id AS id, ceil(strlen(text) / CASE WHEN source = 'src1' THEN 4.0 ELSE 3.2 END)::BIGINT AS tokens FROM documents")
+def token_estimates(spark, sf):
+    return _docs(spark, sf).select("id", T.token_estimate(F.octet_length("text"), F.when(F.col("source") == "src1", "md").otherwise("py")).alias("tokens"))
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT p_type AS scope, p_name AS name FROM part) SELECT x.scope, x.name AS a, y.name AS b, levenshtein(x.name, y.name)::INTEGER AS distance FROM a x JOIN a y ON x.scope = y.scope AND x.name < y.name AND levenshtein(x.name, y.name) <= 1"
+)
+def confusable_names(spark, sf):
+    return quality.confusable_names(table(spark, sf, "part").select(F.col("p_type").alias("scope"), F.col("p_name").alias("name")))
+
+
+@query(f"WITH {NODES} SELECT row_number() OVER (ORDER BY cx DESC, id)::INTEGER AS rank, cx AS score, name, id, kind, file AS path FROM nodes ORDER BY cx DESC, id LIMIT 200")
+def candidates_export(spark, sf):
+    from delvegraph.operators.export import candidates
+
+    return candidates(nodes(spark, sf), "cx", 200)
+
+
+@query(f"WITH {NODES} SELECT file AS path, count(*) AS functions, sum(cx)::BIGINT AS complexity, max(cx) AS max_function_complexity FROM nodes GROUP BY file")
+def file_metrics_export(spark, sf):
+    from delvegraph.operators.export import file_metrics
+
+    return file_metrics(nodes(spark, sf))
+
+
+@query(f"WITH {NODES}, p AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS path_id FROM (SELECT DISTINCT file FROM nodes)) SELECT kind, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, string_agg(path_id::VARCHAR, ',' ORDER BY id) AS path_ids FROM nodes JOIN p USING (file) GROUP BY kind")
+def columnar_export(spark, sf):
+    from delvegraph.operators.export import columnar
+
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    out = columnar(nodes(spark, sf), "kind")
+    return out.select("kind", F.size("ids").cast("long").alias("n"), text("ids").alias("ids"), text("path_ids").alias("path_ids"))
