@@ -103,7 +103,7 @@ def python_rows(path: str, text: str) -> list[dict]:
                     known = not any(isinstance(x, ast.Starred) for x in child.args) and not any(k.arg is None for k in child.keywords)
                     rows.append(_row(row="ref", role="call", callee=n, recv=recv, arg_count=len(child.args) + len(child.keywords) if known else None, line=child.lineno, start=span(child)[0], **base))
             elif isinstance(child, ast.Import):
-                rows += [_row(row="import", target=x.name, line=child.lineno, **base) for x in child.names]
+                rows.extend(_row(row="import", target=x.name, line=child.lineno, **base) for x in child.names)
             elif isinstance(child, ast.ImportFrom):
                 rows.append(_row(row="import", target="." * child.level + (child.module or ""), line=child.lineno, **base))
             elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and len(child.targets) == 1 and isinstance(child.targets[0], ast.Name):
