@@ -67,6 +67,17 @@ def nearest_names(names: DataFrame, wanted: str, most: int = 1, bound: int = 3)
     return [r["name"] for r in near.collect()]
 
 
+def pinned(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` computed once for each row.
+
+    A projection that uses a column inside a lambda would otherwise have the
+    column's whole expression copied into the lambda and run for every element;
+    a generator of one row keeps the two projections apart.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(column)).alias(column))
+
+
 def register_functions(spark: SparkSession) -> None:
     """Make the scalar functions callable from SQL."""
     spark.sql(

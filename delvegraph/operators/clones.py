@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from delvegraph.functions.text import pinned
+
 # Words that stay verbatim in a normalised stream.
 KEYWORDS = frozenset(
     "and as assert async await break case catch class const continue def del do elif else enum except export extends false finally fn for from "
@@ -75,7 +77,7 @@ def near_clones(streams: DataFrame, gram: int = 5, bucket: int = 1024, band: flo
     Pairs meet in buckets of shared token grams; grams of over ``bucket`` units
     are stop grams.  Cheap tests (length band, gram overlap) come before the LCS.
     """
-    s = streams.filter(F.size("stream") >= least_tokens).withColumn("n", F.size("stream"))
+    s = pinned(streams.select("id", "stream"), "stream").filter(F.size("stream") >= least_tokens).withColumn("n", F.size("stream"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("stream", i, gram))))
     g = s.select("id", "n", F.explode(grams).alias("g"))
     size = g.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c").between(2, bucket))
@@ -101,7 +103,7 @@ def containment(left: DataFrame, right: DataFrame, shingle: int = 5, bottom: int
 
     def sketch(df: DataFrame, name: str) -> DataFrame:
         hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, shingle)))
-        return df.filter(F.size("words") >= shingle).select(F.col("id").alias(name), (F.array_distinct(hashes) if bottom is None else F.slice(F.array_sort(F.array_distinct(hashes)), 1, bottom)).alias("s"))
+        return pinned(df.select("id", "words"), "words").filter(F.size("words") >= shingle).select(F.col("id").alias(name), (F.array_distinct(hashes) if bottom is None else F.slice(F.array_sort(F.array_distinct(hashes)), 1, bottom)).alias("s"))
 
     a = sketch(left, "a").select("a", F.size("s").alias("n"), F.explode("s").alias("h"))
     b = sketch(right, "b").select("b", F.explode("s").alias("h"))

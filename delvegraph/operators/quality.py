@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvegraph.functions.text import pinned
+
 # Bar and minor step of each per-symbol kind (no minor step: None).
 KINDS = {"ccx": (15, 3), "loc": (60, 10), "max_nest": (4, None), "params": (5, 2)}
 #: Low-risk bounds of the delta maintainability model.
@@ -143,6 +145,7 @@ def comment_coherence(rows: DataFrame) -> DataFrame:
     """(id, c_coeff, cic) of ``rows(id, name_words, comment_words)`` (arrays): the share of
     comment words within one edit of a name word, and the Jaccard index of the
     distinct words; NULL without comment or name words."""
+    rows = pinned(pinned(rows.select("id", "name_words", "comment_words"), "name_words"), "comment_words")
     near = F.filter("comment_words", lambda w: F.exists("name_words", lambda n: F.levenshtein(w, n) <= 1))
     ok = (F.size("comment_words") > 0) & (F.size("name_words") > 0)
     a, b = F.array_distinct("comment_words"), F.array_distinct("name_words")

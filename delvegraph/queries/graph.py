@@ -41,9 +41,9 @@ def impact_hops(spark, sf):
     return G.reach(often(spark, sf), nodes(spark, sf).filter("id = 0"), forward=False)
 
 
-@query(_REACH.format(w=OFTEN, seed="id % 400 = 7", to="dst", at="src", most=40))
+@query(_REACH.format(w=OFTEN, seed="id % 40 = 7", to="dst", at="src", most=40))
 def forward_reach_hops(spark, sf):
-    return G.reach(often(spark, sf), nodes(spark, sf).filter("id % 400 = 7"), forward=True)
+    return G.reach(often(spark, sf), nodes(spark, sf).filter("id % 40 = 7"), forward=True)
 
 
 @query(f"{GRAPH} SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY id")
@@ -145,7 +145,7 @@ def shortest_call_path(spark, sf):
     return spark.createDataFrame([(k, int(v)) for k, v in enumerate(path)], "nth int, id long")
 
 
-_RARE = f"{GRAPH}, rare AS (SELECT * FROM edges WHERE (src * 7 + dst * 13) % 29 = 0)"
+_RARE = f"{GRAPH}, rare AS (SELECT * FROM edges WHERE (src * 7 + dst * 13) % 17 = 0)"
 
 
 @query(
@@ -153,7 +153,7 @@ _RARE = f"{GRAPH}, rare AS (SELECT * FROM edges WHERE (src * 7 + dst * 13) % 29
     "SELECT a AS id, least(a, min(b)) AS component FROM mutual GROUP BY a"
 )
 def dependency_cycles(spark, sf):
-    return G.cycles(edges(spark, sf).filter("(src * 7 + dst * 13) % 29 = 0"))
+    return G.cycles(edges(spark, sf).filter("(src * 7 + dst * 13) % 17 = 0"))
 
 
 _FILES = f"{GRAPH}, fe AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file < b.file AND e.n_ref >= 2), files AS (SELECT DISTINCT file AS id FROM nodes)"
@@ -293,3 +293,88 @@ def top_symbols_per_file(spark, sf):
 @query(f"WITH {NODES} SELECT file, kind, grouping(kind)::INTEGER AS rolled, count(*) AS symbols, sum(cx)::BIGINT AS complexity FROM nodes GROUP BY ROLLUP (file, kind) HAVING grouping(file) = 0")
 def file_kind_rollup(spark, sf):
     return nodes(spark, sf).rollup("file", "kind").agg(F.grouping("kind").cast("int").alias("rolled"), F.grouping("file").alias("g"), F.count(F.lit(1)).alias("symbols"), F.sum("cx").alias("complexity")).filter("g = 0").drop("g")
+
+
+@query(
+    f"{OFTEN}, inh AS (SELECT DISTINCT a.id AS derived, b.id AS base FROM often e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.kind IN ('cls', 'struct', 'iface') AND b.kind IN ('cls', 'struct', 'iface')), "
+    "up(id) AS (SELECT base FROM inh WHERE derived % 40 = 3 UNION SELECT base FROM up JOIN inh ON inh.derived = up.id), dn(id) AS (SELECT derived FROM inh WHERE base % 40 = 3 UNION SELECT derived FROM dn JOIN inh ON inh.base = dn.id) "
+    "SELECT id FROM nodes WHERE id % 40 = 3 UNION SELECT id FROM up UNION SELECT id FROM dn"
+)
+def class_cones(spark, sf):
+    from delvegraph.operators import bundles
+
+    n = nodes(spark, sf)
+    c = n.filter(F.col("kind").isin("cls", "struct", "iface")).select("id")
+    inh = often(spark, sf).join(c.select(F.col("id").alias("src")), "src", "left_semi").join(c.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("derived"), F.col("dst").alias("base"))
+    return bundles.class_cone(inh, n.filter("id % 40 = 3"))
+
+
+@query(f"{OFTEN}, r(id) AS (SELECT id FROM nodes WHERE name LIKE 'red%' UNION SELECT src FROM r JOIN often ON often.dst = r.id) SELECT id FROM r")
+def impure_symbols(spark, sf):
+    from delvegraph.operators import bundles
+
+    return bundles.impure(nodes(spark, sf), often(spark, sf), "^red")
+
+
+@query(
+    f"{OFTEN}, ch AS (SELECT id FROM nodes WHERE id % 90 = 1), r(id, hop) AS (SELECT id, 0 FROM ch UNION SELECT often.src, r.hop + 1 FROM r JOIN often ON often.dst = r.id WHERE r.hop < 30), m AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) "
+    "SELECT id, CASE WHEN hop = 0 THEN 'changed' WHEN hop = 1 THEN 'caller' ELSE 'radius' END AS role, hop::INTEGER AS hop FROM m"
+)
+def change_situation(spark, sf):
+    from delvegraph.operators import bundles
+
+    n = nodes(spark, sf)
+    return bundles.situation(n, often(spark, sf), n.filter("id % 90 = 1"))
+
+
+@query(
+    f"{OFTEN}, tr(id) AS (SELECT id FROM nodes WHERE starts_with(file, 'tests/') UNION SELECT dst FROM tr JOIN often ON often.src = tr.id), td AS (SELECT id FROM tr WHERE id NOT IN (SELECT id FROM nodes WHERE starts_with(file, 'tests/'))), "
+    "f AS (SELECT dst AS id, count(*) AS fan_in FROM often GROUP BY dst) SELECT n.id, n.name, n.file FROM nodes n LEFT JOIN f USING (id) WHERE kind = 'fn' "
+    "ORDER BY (cx > 40)::INTEGER, starts_with(file, 'tests/')::INTEGER, (n.id IN (SELECT id FROM td))::INTEGER DESC, coalesce(fan_in, 0) DESC, cx, cx, n.id LIMIT 1"
+)
+def exemplar_symbol(spark, sf):
+    from delvegraph.operators import bundles
+
+    n = nodes(spark, sf).withColumn("ccx", F.col("cx")).withColumn("loc", F.col("cx"))
+    return bundles.exemplar(n, often(spark, sf), "fn", ceiling=40).select("id", "name", "file")
+
+
+@query(
+    f"WITH {NODES}, r AS (SELECT id, cx, row_number() OVER (ORDER BY cx DESC, id) AS place FROM nodes), l AS (SELECT id, place, sum(10) OVER (ORDER BY place) AS c FROM r), b AS (SELECT id, place, sum(cx) OVER (ORDER BY place) AS c FROM r) "
+    "SELECT 'ranking' AS section, id, place::INTEGER AS place, c::BIGINT AS cost_so_far FROM l WHERE c <= 450 UNION ALL SELECT 'bodies', id, place::INTEGER, c::BIGINT FROM b WHERE c <= 300"
+)
+def task_bundle(spark, sf):
+    from pyspark.sql import Window
+
+    from delvegraph.operators import bundles
+
+    n = nodes(spark, sf)
+    ranked = n.select("id", F.row_number().over(Window.orderBy(F.desc("cx"), "id")).alias("place"))
+    return bundles.task_bundle(ranked, n.select("id", F.lit(10).alias("list_cost"), F.col("cx").alias("body_cost")), budget=1000)
+
+
+@query()
+def partitioned_bundle(spark, sf):
+    from delvegraph.operators import bundles
+
+    n, e = nodes(spark, sf), often(spark, sf)
+    fan = G.fan(e).select("id", F.col("fan_in").alias("shared"))
+    sizes = n.select("id", F.col("cx").alias("size")).join(fan, "id", "left").fillna(0, ["shared"])
+    return bundles.partition_bins(sizes, kernels.communities(e), 4)
+
+
+@query(f"{GRAPH}, s AS (SELECT id, cx::DOUBLE AS score FROM nodes WHERE cx >= 45), m AS (SELECT DISTINCT dst AS id, src AS sym_id FROM edges), t AS (SELECT id AS sym_id, score AS s FROM s ORDER BY score DESC, id LIMIT 8), h AS (SELECT m.id, t.s, row_number() OVER (PARTITION BY sym_id ORDER BY m.id) AS k FROM m JOIN t USING (sym_id)), l AS (SELECT id, max(s) AS s FROM h WHERE k <= 2 GROUP BY id ORDER BY 2 DESC, 1 LIMIT 6) SELECT coalesce(s.id, l.id) AS id, round(greatest(coalesce(score, 0), coalesce(l.s * 0.55, 0)), 6)::DOUBLE AS score FROM s FULL JOIN l ON s.id = l.id")
+def doc_mention_boost(spark, sf):
+    from delvegraph.operators import bundles
+
+    scores = nodes(spark, sf).filter("cx >= 45").select("id", F.col("cx").cast("double").alias("score"))
+    mentions = edges(spark, sf).select(F.col("dst").alias("id"), F.col("src").alias("sym_id")).distinct()
+    return rounded(bundles.doc_mention_boost(scores, mentions), "score")
+
+
+@query(f"WITH {NODES} SELECT id, array_to_string(list_filter([CASE WHEN length(k) <= 2 THEN 'short' END, CASE WHEN contains(k, '_') AND regexp_matches(k, '[a-z][A-Z]') THEN 'mixed-style' END], lambda x: x IS NOT NULL), ',') AS broken FROM (SELECT id, CASE id % 3 WHEN 0 THEN name[:2] WHEN 1 THEN replace(name, ' ', '_') || 'Xy' ELSE replace(name, ' ', '_') END AS k FROM nodes)")
+def name_shapes(spark, sf):
+    from delvegraph.operators import bundles
+
+    k = F.when(F.col("id") % 3 == 0, F.substring("name", 1, 2)).when(F.col("id") % 3 == 1, F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("Xy"))).otherwise(F.replace("name", F.lit(" "), F.lit("_")))
+    return nodes(spark, sf).select("id", F.array_join(bundles.name_shape(k), ",").alias("broken"))

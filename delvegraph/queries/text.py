@@ -70,10 +70,11 @@ def mention_boost(spark, sf):
 
 
 @query(
-    f"WITH {NODES}, df AS (SELECT name, count(*) AS n FROM nodes WHERE name IN ('widget', 'error') GROUP BY name) SELECT id, round(ln(((SELECT count(*) FROM nodes) - n + 0.5) / (n + 0.5) + 1), 6) AS score FROM nodes JOIN df USING (name)"
+    f"WITH {NODES}, df AS (SELECT name, count(*) AS n FROM nodes WHERE name IN ('red widget', 'blue anvil') GROUP BY name) SELECT id, round(ln(((SELECT count(*) FROM nodes) - n + 0.5) / (n + 0.5) + 1), 6) AS score FROM nodes JOIN df USING (name)"
 )
 def exact_name_lane(spark, sf):
-    return rounded(R.name_lane(nodes(spark, sf), "which widget has an error"), "score")
+    n = nodes(spark, sf).withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))
+    return rounded(R.name_lane(n, "does red_widget call blue_anvil"), "score")
 
 
 @query("SELECT doc_id AS id, line::INTEGER AS line, body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE contains(body, 'token = ')")

@@ -109,3 +109,23 @@ def profile(lines: DataFrame) -> DataFrame:
     inside = F.sum(F.when(F.col("value").startswith("#PROF_TSV"), 1).otherwise(0)).over(Window.orderBy("line_no"))
     t = F.split("value", "\t")
     return lines.withColumn("n", inside).filter((F.col("n") % 2 == 1) & ~F.col("value").startswith("#")).filter(F.size(t) >= 5).select(t[0].alias("scope"), t[1].alias("file"), t[2].cast("int").alias("line"), t[3].cast("long").alias("calls"), t[4].cast("double").alias("total_ms"))
+
+
+#: Constructs that are often misread.
+ATOMS = [
+    {"id": "octal-literal", "query": r"[^\w.]0[0-7]+[^\w.]"},
+    {"id": "nested-ternary", "query": r"\?[^?;]*\?[^;]*:[^;]*:"},
+    {"id": "comma-operator", "query": r"=\s*\([^()]*,[^()]*\)\s*;"},
+    {"id": "assignment-in-condition", "query": r"\b(if|while)\s*\([^=!<>()]*[^=!<>]=[^=]"},
+    {"id": "pre-post-increment", "query": r"[=(,]\s*(\w+(\+\+|--)|(\+\+|--)\w+)"},
+    {"id": "reversed-subscript", "query": r"\b\d+\[\w+\]"},
+    {"id": "logic-as-control", "query": r"^\s*[\w.]+(\([^)]*\))?\s*(&&|\|\|)\s*[\w.]+\([^)]*\)\s*;"},
+]
+#: Patterns that are unkind to caches, inside loops.
+CACHE = [
+    {"id": "map-in-loop", "query": r"\bstd::(map|unordered_map|list|set)<", "inside": r"\b(for|while)\b"},
+    {"id": "pointer-chase", "query": r"->\w+->\w+->", "inside": r"\b(for|while)\b"},
+    {"id": "virtual-in-loop", "query": r"->\w+\s*\(", "inside": r"\bfor\b"},
+    {"id": "alloc-in-loop", "query": r"\b(new\s+\w|malloc\s*\(|make_(unique|shared)<)", "inside": r"\b(for|while)\b"},
+    {"id": "column-walk", "query": r"\[\w+\]\[\w+\]", "inside": r"\bfor\b"},
+]
