@@ -31,8 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter go.
     """
     model = fit_on(docs, F.lit(True))
-    text = docs.withColumn("__copy", F.col("text"))
-    found = identify(text, model, text_col="__copy", keep=docs.columns)
+    found = identify(docs, model, keep=docs.columns)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delvegraph.llm.storage import materialize
+from delvegraph.llm.textkit import slices
 
 #: Letters, digits and every non-ASCII byte make words; A-Z is lower-cased.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -152,8 +153,10 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton, one_in: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Merge what ``automaton`` finds into each row; with ``one_in``, contaminated rows
+    go and hit words are cut out of the others."""
+    for batch in (part for whole in batches for part in slices(whole, "scan_text")):
         n_words, spans, items = [], [], []
         for text, runs, seen in zip(batch["scan_text"].to_pylist(), batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
             w = words(text)
@@ -162,7 +165,16 @@ def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton) -> Iterat
             spans.append([{"start": a, "stop": b} for a, b in _merge(more + [(r["start"], r["stop"]) for r in runs])])
             items.append(sorted({*seen, *(automaton.names[k] for k in found)}))
         done = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_arrays([done.get(n, batch[n]) for n in batch.schema.names], names=batch.schema.names)
+        if one_in is not None:
+            texts = batch["scan_text"].to_pylist()
+            hits = [sum(s["stop"] - s["start"] for s in x) for x in spans]
+            for i, x in enumerate(spans):
+                if x and hits[i] * one_in < n_words[i]:
+                    texts[i] = cut_words(texts[i], [(s["start"], s["stop"]) for s in x])
+            done["scan_text"] = pa.array(texts, pa.string())
+            clean = pa.array([not h or h * one_in < n for h, n in zip(hits, n_words, strict=True)], pa.bool_())
+        out = pa.RecordBatch.from_arrays([done.get(n, batch[n]) for n in batch.schema.names], names=batch.schema.names)
+        yield out if one_in is None else out.filter(clean)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -184,22 +196,26 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     yield block
 
 
-def _with_overlap(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int) -> DataFrame:
-    """``docs`` plus scan_text, n_words, spans and items."""
+def _with_overlap(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int, one_in: int | None = None) -> DataFrame:
+    """``docs`` plus scan_text, n_words, spans and items; the last block's pass cuts."""
     spark = docs.sparkSession
-    out = docs.withColumns(
+    out = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumnRenamed(text_col, "scan_text").withColumns(
         {
-            "scan_text": F.col(text_col).cast("string"),
             "n_words": F.lit(None).cast("long"),
             "spans": F.array().cast("array<struct<start:long,stop:long>>"),
             "items": F.array().cast("array<string>"),
         }
     )
-    for k, block in enumerate(item_blocks(benchmark, block_words)):
-        if k:  # one automaton at a time in a worker
-            out = materialize(out, "overlap-block")
+    blocks = item_blocks(benchmark, block_words)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        out = out.mapInArrow(lambda it, s=shared: _scan(it, s.value), out.schema)
+        last = one_in if after is None else None
+        out = out.mapInArrow(lambda it, s=shared, c=last: _scan(it, s.value, c), out.schema)
+        if after is not None:  # one automaton at a time in a worker
+            out = materialize(out, "overlap-block")
+        block = after
     return out
 
 
@@ -230,9 +246,9 @@ def remove_overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     characters of each hit run, from the first of its words to the last, are
     cut out of the text.
     """
-    source = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    scanned = _with_overlap(source, benchmark, window, "text", block_words).filter(~is_contaminated(F.col("n_words"), n_hit(F.col("spans")), one_in))
-    cleaned = scanned.mapInArrow(_cut, scanned.schema)
+    others = [c for c in docs.columns if c != text_col]
+    source = docs.select(F.struct(*(f"`{c}`" for c in others)).alias("row") if others else F.lit(None).cast("int").alias("row"), F.col(text_col).alias("text"))
+    cleaned = _with_overlap(source, benchmark, window, "text", block_words, one_in)
     return cleaned.select(*(F.col("scan_text").cast(t).alias(c) if c == text_col else F.col("row")[c].alias(c) for c, t in docs.dtypes))
 
 
@@ -245,12 +261,3 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
         keep.append(raw[last : at[start][0]])
         last = at[stop - 1][1]
     return b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch["scan_text"].to_pylist()
-        for i, spans in enumerate(batch["spans"].to_pylist()):
-            if spans:
-                texts[i] = cut_words(texts[i], [(s["start"], s["stop"]) for s in spans])
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "scan_text" else batch[n] for n in batch.schema.names], names=batch.schema.names)

@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from delvegraph.llm.worker import hold
+
 # The word pattern of the vocabulary, with its classes written out
 # for code points below U+0250.
 _LETTER = "a-zªµºÀ-ÖØ-öø-ɏ"
@@ -113,11 +115,6 @@ class WordEncoder:
             young[r] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, owner: str = "tokens") -> WordEncoder:
     """The encoder of this Python worker; its word memory lasts from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return hold(owner, ("encoder", path), lambda: WordEncoder(path))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delvegraph.llm.textkit import mix
+from delvegraph.llm.textkit import mix, slices
+from delvegraph.llm.worker import hold
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -196,7 +197,7 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
 class Labeller:
     """A model with the scores of the words met so far (a bounded memory)."""
 
-    def __init__(self, model: Crf, memory: int = 400_000):
+    def __init__(self, model: Crf, memory: int = 250_000):
         self.model, self.memory = model, memory
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.labels)), np.float32)
@@ -230,17 +231,11 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    if shared.id not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[shared.id] = Labeller(shared.value[1])
-    labeller = _LABELLERS[shared.id]
+def _predict(batches: Iterator[pa.RecordBatch], shared, place: int, kept: int) -> Iterator[pa.RecordBatch]:
+    labeller = hold("language", shared.id, lambda: Labeller(shared.value[1]))
     labels = labeller.model.labels
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
+    for batch in (part for whole in batches for part in slices(whole, whole.schema.names[place], 16 << 20)):
+        texts = batch.column(place).to_pylist()
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
         pred: list[str] = [UNKNOWN] * len(texts)
         score = [0.0] * len(texts)
@@ -257,7 +252,8 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                         best = int(s.argmax())
                         pred[j], score[j] = labels[best], min(1.0, max(0.0, float(s[best])))
                 group, size = [], 0
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        del texts
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
 
 def held_out(doc_id: Column, of: int = 4, rest: int = 2) -> Column:
@@ -287,10 +283,12 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast((None, model))
     kept = [id_col] if keep is None else keep
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text"))
+    n = len(kept)
+    own = kept.index(text_col) if text_col in kept else n  # a kept text crosses to Python once
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if own < n else [F.col(text_col).alias("__text")]))
     box = _Shared(shared)
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(lambda it: _predict(it, box), f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:n])
+    return source.mapInArrow(lambda it: _predict(it, box, own, n), f"{fields}, lang_pred string, score double")
 
 
 class _Shared:

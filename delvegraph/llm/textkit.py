@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -74,6 +75,18 @@ def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return s, begins
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``size`` bytes in ``column``, to bound what is unpacked at once."""
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(n, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, some texts) with about ``size`` bytes each time."""
     begin, total = 0, 0
