@@ -39,7 +39,7 @@ def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, hops: int |
     while limit is None or hop < limit:
         hop += 1
         new = stage(frontier.join(step, "id").select(F.col("to").alias("id")).distinct().join(visited, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if new.isEmpty():
+        if not new.measured["rows"]:
             break
         visited = visited.unionByName(new)
         frontier = new
@@ -50,7 +50,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, prior: DataFrame |
     """(id, rank).  r' = alpha * inflow + (alpha * dangling + 1 - alpha) * prior, from r = prior.
 
     Dangling mass goes where the prior points; stops when the L1 change is
-    below ``tol`` or after ``max_iter`` rounds (``tol=0``: exactly that many).
+    below ``tol`` or after ``max_iter`` rounds (``tol=0``: exactly that many,
+    three to a stage, as no change has to be looked at).
     ``prior(id, p)`` sums to one; None is uniform.
     """
     n = nodes.count()
@@ -61,17 +62,18 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, prior: DataFrame |
     base = stage(p.join(out, "id", "left"))
     links = stage(edges.join(out.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("w") / F.col("wout")).alias("share")).repartition("src"))
     rank = base.select("id", F.col("p").alias("rank"))
-    for _ in range(max_iter):
+    for turn in range(1, max_iter + 1):
         inflow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("inflow"))
         now = base.join(rank, "id").join(inflow, "id", "left")
         dangling = base.join(rank, "id").filter("wout is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = stage(
-            now.crossJoin(F.broadcast(dangling)).select(  # one row
-                "id", (alpha * F.coalesce("inflow", F.lit(0.0)) + (alpha * F.col("lost") + (1 - alpha)) * F.col("p")).alias("rank"), F.col("rank").alias("old")
-            ),
-            "rank",
+        new = now.crossJoin(F.broadcast(dangling)).select(  # one row
+            "id", (alpha * F.coalesce("inflow", F.lit(0.0)) + (alpha * F.col("lost") + (1 - alpha)) * F.col("p")).alias("rank"), F.col("rank").alias("old")
         )
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if tol <= 0 and turn % 3 and turn < max_iter:
+            rank = new.select("id", "rank")
+            continue
+        new = stage(new, "rank", change=F.sum(F.abs(F.col("rank") - F.col("old"))))
+        change = new.measured["change"]
         unstage(rank)
         rank = new.select("id", "rank")
         rank.stage_path = new.stage_path
@@ -119,8 +121,9 @@ def hits(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, max_iter: int =
         auth = normed(ids.join(into, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("authority")), "authority")
         outof = edges.join(auth.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("authority")).alias("s"))
         hub = normed(ids.join(outof, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("hub")), "hub")
-        new = stage(auth.join(hub, "id").join(state.select("id", F.col("authority").alias("a0"), F.col("hub").alias("h0")), "id"), "hits")
-        change = new.agg(F.sum(F.abs(F.col("authority") - F.col("a0")) + F.abs(F.col("hub") - F.col("h0")))).first()[0]
+        both = auth.join(hub, "id").join(state.select("id", F.col("authority").alias("a0"), F.col("hub").alias("h0")), "id")
+        new = stage(both, "hits", change=F.sum(F.abs(F.col("authority") - F.col("a0")) + F.abs(F.col("hub") - F.col("h0"))))
+        change = new.measured["change"]
         state = new.select("id", "authority", "hub")
         if change is None or change < tol:
             break
@@ -181,7 +184,7 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
         hop += 1
         new = frontier.join(step, frontier["id"] == step["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = stage(new.join(seen, "id", "left_anti").select("id", "parent", F.lit(hop).alias("hop")))
-        if frontier.isEmpty():
+        if not frontier.measured["rows"]:
             return []
         seen = seen.unionByName(frontier)
     path, node = [], hit[0]
@@ -204,18 +207,17 @@ def cycles(edges: DataFrame) -> DataFrame:
         while True:  # trim
             ends = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
             kept = stage(left.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi"))
-            if kept.count() == left.count():
+            if kept.measured["rows"] == left.measured["rows"]:
                 break
             left = kept
-        if left.isEmpty():
+        if not left.measured["rows"]:
             break
         colour = stage(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
             best = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
-            new = stage(colour.join(best, "id", "left").select("id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("old")))
-            moved = new.filter("colour <> old").limit(1).count()
+            new = stage(colour.join(best, "id", "left").select("id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("old")), moved=F.count_if(F.col("colour") != F.col("old")))
             colour = new.select("id", "colour")
-            if not moved:
+            if not new.measured["moved"]:
                 break
         inside = stage(
             left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
@@ -224,7 +226,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         frontier = member
         while True:
             new = stage(frontier.join(inside, (frontier["id"] == inside["dst"]) & (frontier["colour"] == inside["c"])).select(F.col("src").alias("id"), F.col("c").alias("colour")).distinct().join(member, ["id", "colour"], "left_anti"))
-            if new.isEmpty():
+            if not new.measured["rows"]:
                 break
             member = member.unionByName(new)
             frontier = new
@@ -247,7 +249,7 @@ def closure_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     frontier = pairs
     while True:
         new = stage(frontier.join(step, frontier["b"] == step["src"]).select("a", F.col("dst").alias("b")).filter("a <> b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        if new.isEmpty():
+        if not new.measured["rows"]:
             break
         pairs = pairs.unionByName(new)
         frontier = new

@@ -191,12 +191,12 @@ def propagate_bits(edges: DataFrame, access: DataFrame) -> DataFrame:
     from delvegraph.plans.staging import stage
 
     step = edges.select("src", "dst").distinct()
-    held = stage(access.groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")))
+    bits = F.sum(F.col("reads").cast("int") + F.col("writes").cast("int"))
+    held = stage(access.groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")), bits=bits)
     while True:
         up = held.join(step, held["id"] == step["dst"]).select(F.col("src").alias("id"), "cell", "reads", "writes")
-        new = stage(held.unionByName(up).groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")))
-        mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.col("reads").cast("int") + F.col("writes").cast("int"))).first()
-        if tuple(mark(new)) == tuple(mark(held)):
+        new = stage(held.unionByName(up).groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")), bits=bits)
+        if new.measured == held.measured:
             return new
         held = new
 

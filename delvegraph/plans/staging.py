@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -22,12 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str = "round") -> DataFrame:
+def stage(df: DataFrame, tag: str = "round", **measures: Column) -> DataFrame:
+    """Write ``df`` and read it back.  ``measures`` are aggregates taken while it is
+    written; ``measured`` of the result holds them, and ``rows`` the row count."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in measures.items())).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stage_path = path
+    out.stage_path, out.measured = path, seen.get
     return out
 
 
