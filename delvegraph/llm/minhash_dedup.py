@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from delvegraph.llm.components import Forest, connected_components
 from delvegraph.llm.storage import materialize
-from delvegraph.llm.textkit import chunks, mix, shingle_hashes
+from delvegraph.llm.textkit import chunks, mix, shingle_hashes, slices
 
 #: 24 bands of 4 samples: a pair at similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 24, 4
@@ -75,7 +75,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for begin, some in chunks(texts):
                 sets = distinct_sets(some, k)
@@ -97,7 +97,7 @@ def _sign(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             for begin, some in chunks(texts):
                 packed = [s.tobytes() for s in distinct_sets(some, k)]

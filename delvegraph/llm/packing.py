@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from delvegraph.llm.encoding import default_path, encoder
 from delvegraph.llm.storage import materialize
+from delvegraph.llm.textkit import slices
 
 END_ID = 2
 
@@ -35,7 +36,7 @@ def encoded_stream(docs: DataFrame, path: str | None = None, end_id: int = END_I
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             packed = [x + end for x in enc.encode(batch.column(1).to_pylist())]
             n = np.array([len(x) // enc.width for x in packed], dtype=np.int64)
             start = at + np.cumsum(n) - n
@@ -66,7 +67,7 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "ids", 2 << 20)):
             rows: list[tuple] = []
             ids32: list[bytes] = []
             for row, (at, n, packed) in enumerate(zip(batch["at"].to_pylist(), batch["n"].to_pylist(), batch["ids"].to_pylist(), strict=True)):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from delvegraph.llm.ranking import global_rank
 from delvegraph.llm.storage import drop, materialize, shuffle_partitions
-from delvegraph.llm.textkit import mix
+from delvegraph.llm.textkit import mix, slices
 
 GRAM, SHALLOW = 24, 32
 #: Bytes of text in one numpy step, and of a segment of a longer text.
@@ -151,7 +151,7 @@ INTERVALS, REQUESTS, BLOCKS = 1, 2, 0
 
 def _find_blocks(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             occ, first = first_of_each(blocks(batch.column(0).to_numpy(), texts, length))
             if not len(occ):
@@ -205,7 +205,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         z = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
 
@@ -459,7 +459,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "z", 2 << 20)):
         rows = []
         for z, blobs in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), strict=True):
             text = unpack(z)
