@@ -45,11 +45,15 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     s = symbols.select(F.col("sym_id").alias("dst"), "name", F.col("file").alias("d_file"), F.col("dir").alias("d_dir"), lang_family(F.col("lang")).alias("family"), "params", "arity_exact")
     r = refs.select("ref_id", F.col("from_sym").alias("src"), F.col("file").alias("r_file"), F.col("dir").alias("r_dir"), lang_family(F.col("lang")).alias("family"), F.col("callee").alias("name"), "arg_count")
-    c = r.join(s, ["name", "family"])
-    step = F.when(F.col("r_file") == F.col("d_file"), 1).when(F.col("r_dir") == F.col("d_dir"), 2).otherwise(3)
-    c = c.withColumn("step", step)
+    # the narrow joins come first, so that a common name meets all its definitions only for what is left
     by_ref = Window.partitionBy("ref_id")
-    c = c.withColumn("best", F.min("step").over(by_ref)).filter("step = best")
+    near = r.join(s.withColumn("r_file", F.col("d_file")), ["name", "family", "r_file"]).withColumn("step", F.lit(1))
+    rest = r.join(near.select("ref_id").distinct(), "ref_id", "left_anti")
+    beside = rest.join(s.withColumn("r_dir", F.col("d_dir")), ["name", "family", "r_dir"]).withColumn("step", F.lit(2))
+    rest = rest.join(beside.select("ref_id").distinct(), "ref_id", "left_anti")
+    far = rest.join(s, ["name", "family"]).withColumn("step", F.lit(3))
+    cols = ["ref_id", "src", "dst", "r_file", "d_file", "arg_count", "params", "arity_exact", "step"]
+    c = near.select(*cols).unionByName(beside.select(*cols)).unionByName(far.select(*cols))
     c = _prune(c, ~F.coalesce(F.col("arity_exact") & (F.col("arg_count") > F.col("params")), F.lit(False)))
     c = c.withColumn("near", shared_prefix(F.col("r_file"), F.col("d_file"))).withColumn("top", F.max("near").over(by_ref))
     c = c.filter("near = top")

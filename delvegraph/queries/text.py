@@ -24,8 +24,7 @@ def _docs(spark, sf):
 
 
 def _scores(spark, sf):
-    d = _docs(spark, sf)
-    return R.bm25(R.postings(d, {"text": 1}), d.count(), _ASK)
+    return R.score_documents(_docs(spark, sf), {"text": 1}, _ASK)
 
 
 @query(f"WITH {_TERMS} SELECT term, count(*) AS docs, sum(tf)::BIGINT AS uses FROM post GROUP BY term")
@@ -38,6 +37,13 @@ def bm25_scores(spark, sf):
     return rounded(_scores(spark, sf), "score")
 
 
+@query(f"{_BM25} SELECT id, round(score, 6) AS score FROM sc")
+def bm25_from_postings(spark, sf):
+    """The same scores from an inverted index."""
+    d = _docs(spark, sf)
+    return rounded(R.bm25(R.postings(d, {"text": 1}), d.count(), _ASK), "score")
+
+
 @query(
     f"{_BM25}, tp AS (SELECT id, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 41), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS place, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM tp), "
     "b AS (SELECT place, (prev - score) / prev AS dr FROM r WHERE place > 0 AND place < 40 ORDER BY dr DESC, place LIMIT 1), k AS (SELECT CASE WHEN (SELECT dr FROM b) >= 0.2 THEN greatest((SELECT place FROM b), 5) ELSE least(40, (SELECT count(*) FROM r)) END AS keep) "
