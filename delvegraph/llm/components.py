@@ -54,8 +54,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([forest.find(x) for x in some], pa.int64())], names=["u", "v"])
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table and a signature of its rows, taken while it is written."""
+    out = materialize(edges, "links", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    return out, (out.measured["n"], out.measured["mark"])
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -64,8 +66,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Ids are longs; links with a null end or to oneself link nothing.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    edges = materialize(pairs.mapInArrow(_contract, "u long, v long").distinct(), "links")
-    seen = _signature(edges)
+    edges, seen = _written(pairs.mapInArrow(_contract, "u long, v long").distinct())
     if not seen[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
@@ -74,8 +75,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        new = materialize(small, "links")
-        now = _signature(new)
+        new, now = _written(small)
         drop(edges)
         edges = new
         if now == seen:

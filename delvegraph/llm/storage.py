@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -19,17 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", **measures: Column) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor
-    without computing ``df`` again.  ``table_path`` names the folder.
+    without computing ``df`` again.  ``table_path`` names the folder;
+    ``measures`` are aggregates taken while the table is written, which
+    ``measured`` of the result holds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/delvegraph/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", codec).parquet(path)
+    seen = Observation()
+    watched = df.observe(seen, *(c.alias(n) for n, c in measures.items())) if measures else df
+    watched.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
+    out.table_path, out.measured = path, seen.get if measures else {}
     return out
 
 
