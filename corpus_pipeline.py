@@ -13,7 +13,7 @@ from delvegraph.llm.decontaminate import remove_overlap
 from delvegraph.llm.language_id import UNKNOWN, fit_on, identify
 from delvegraph.llm.minhash_dedup import keep_one
 from delvegraph.llm.packing import pack
-from delvegraph.llm.secret_scan import mask_hits, scan_history
+from delvegraph.llm.secret_scan import blob_hits, mask_hits, scan_new_blobs
 from delvegraph.llm.storage import materialize
 
 #: A document whose best language has a smaller share of its words is rejected.
@@ -51,11 +51,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is joined with the findings of its content, so repeated ids do no harm.
     """
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    _, ledger = scan_history(docs)
-    order = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("ord"), s["stop"].alias("stop"), F.col("rule").alias("kind")))
-    hits = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(order))).alias("__hits"))
+    versions = docs.select(F.sha2(content, 256).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    hits = materialize(blob_hits(scan_new_blobs(versions)).withColumnRenamed("blob", "__blob").withColumnRenamed("hits", "__hits"), "hits")
     none = F.array().cast(dict(hits.dtypes)["__hits"])
-    joined = docs.withColumn("blob", F.sha2(content, 256)).join(hits, "blob", "left").withColumn("__hits", F.coalesce("__hits", none))
+    joined = docs.withColumn("__key", F.sha2(content, 256)).join(hits, F.col("__key") == F.col("__blob"), "left").withColumn("__hits", F.coalesce("__hits", none))
     return _columns(joined.withColumn("text", F.when(F.col("text").isNotNull(), mask_hits(F.col("text"), F.col("__hits")))), docs)
 
 

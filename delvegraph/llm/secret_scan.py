@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from delvegraph.llm.storage import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,6 +91,19 @@ def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules:
     return blobs.select("blob", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("blob", "f.rule", "f.version", "f.spans")
 
 
+def blob_hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, hits) of the blobs in which one of ``rules`` found something."""
+    ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}@{r.version}"), F.lit(i))))
+    return (
+        ledger.filter(F.size("spans") > 0)
+        .withColumn("ord", ranks[F.concat_ws("@", "rule", "version")])
+        .filter(F.col("ord").isNotNull())
+        .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("ord").alias("ord"), s["stop"].alias("stop"), F.col("rule").alias("kind"))).alias("hit"))
+        .groupBy("blob")  # at most one row for each rule
+        .agg(F.array_sort(F.flatten(F.collect_list("hit"))).alias("hits"))
+    )
+
+
 def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings by path, new ledger rows).
 
@@ -101,16 +116,9 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     versions = docs.select(F.col(path_col).alias("path"), F.sha2(content.cast("binary"), 256).alias("blob"), content.alias("text"))
     fresh = scan_new_blobs(versions, ledger, rules)
     current = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans"))
-    ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}@{r.version}"), F.lit(i))))
-    hits = (
-        current.filter(F.size("spans") > 0)
-        .withColumn("ord", ranks[F.concat_ws("@", "rule", "version")])
-        .filter(F.col("ord").isNotNull())
-        .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("ord").alias("ord"), s["stop"].alias("stop"), F.col("rule").alias("kind"))).alias("hit"))
-        .groupBy("blob")  # at most one row for each rule
-        .agg(F.array_sort(F.flatten(F.collect_list("hit"))).alias("hits"))
-    )
+    hits = blob_hits(current, rules)
     none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
+    hits = materialize(hits, "hits")  # a side that is a plain exchange lets a blob of many paths be split
     paths = versions.select("path", "blob").join(hits, "blob", "left").select("path", "blob", F.coalesce("hits", none).alias("hits"))
     return paths, fresh
 
