@@ -54,16 +54,17 @@ def load_tokenizer(path: str):
 class WordEncoder:
     """Ids of whole texts as little-endian bytes of ``width`` each.
 
-    Two memories: runs without white space, in two generations of ``memory``
-    entries each, and the vocabulary's own words inside them.
+    Two memories, each in two generations of ``memory`` entries: runs without
+    white space, and the vocabulary's own words inside them.
     """
 
-    def __init__(self, path: str, memory: int = 350_000):
+    def __init__(self, path: str, memory: int = 400_000):
         self.tokenizer = load_tokenizer(path)
         self.memory = memory
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.words_old: dict[str, bytes] = {}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         with open(path, encoding="utf-8") as f:
@@ -102,11 +103,17 @@ class WordEncoder:
                 young[r] = x
         if not new:
             return
-        parts = [_WORDS.findall(r) for r in new]
-        unknown = list({w for p in parts for w in p}.difference(self.words))
-        if len(self.words) + len(unknown) > 2 * self.memory:
-            self.words.clear()
-            unknown = list({w for p in parts for w in p})
+        parts = [[r] if r.isascii() and r.isalpha() else _WORDS.findall(r) for r in new]
+        if len(self.words) > self.memory:
+            self.words, self.words_old = {}, self.words
+        before = self.words_old
+        unknown = []
+        for w in {w for p in parts for w in p}.difference(self.words):
+            x = before.get(w)
+            if x is None:
+                unknown.append(w)
+            else:
+                self.words[w] = x
         words, tokenize, code = self.words, self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
         for w in unknown:
             shown = w if w.isascii() else w.encode("utf-8").decode("latin-1")
