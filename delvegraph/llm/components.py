@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delvegraph.llm.storage import drop, materialize
+from delvegraph.llm.worker import tidy
 
 
 class Forest:
@@ -43,6 +44,7 @@ class Forest:
         return True
 
 
+@tidy("links")
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
     for batch in batches:

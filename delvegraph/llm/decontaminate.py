@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from delvegraph.llm.storage import materialize
 from delvegraph.llm.textkit import slices
+from delvegraph.llm.worker import tidy
 
 #: Letters, digits and every non-ASCII byte make words; A-Z is lower-cased.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -153,6 +154,7 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@tidy("overlap")
 def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton, one_in: int | None = None) -> Iterator[pa.RecordBatch]:
     """Merge what ``automaton`` finds into each row; with ``one_in``, contaminated rows
     go and hit words are cut out of the others."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delvegraph.llm.textkit import mix, slices
-from delvegraph.llm.worker import hold
+from delvegraph.llm.worker import hold, tidy
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -231,6 +231,7 @@ class Labeller:
         return out
 
 
+@tidy("language")
 def _predict(batches: Iterator[pa.RecordBatch], shared, place: int, kept: int) -> Iterator[pa.RecordBatch]:
     labeller = hold("language", shared.id, lambda: Labeller(shared.value[1]))
     labels = labeller.model.labels

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from delvegraph.llm.components import Forest, connected_components
 from delvegraph.llm.storage import materialize
 from delvegraph.llm.textkit import chunks, mix, shingle_hashes, slices
+from delvegraph.llm.worker import tidy
 
 #: 24 bands of 4 samples: a pair at similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 24, 4
@@ -74,6 +75,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 
 def _sign(k: int):
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
@@ -96,6 +98,7 @@ def _sign(k: int):
 
 
 def _sets(k: int):
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
@@ -151,6 +154,7 @@ def _confirm(percent: int):
         ids, sides, sketches, sets = zip(*rows, strict=True)
         return unit_links(list(ids), list(sides), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), -1), [np.frombuffer(s, np.uint64) for s in sets], percent)
 
+    @tidy("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, found = None, [], []
         for batch in batches:

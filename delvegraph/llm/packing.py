@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from delvegraph.llm.encoding import default_path, encoder
 from delvegraph.llm.storage import materialize
 from delvegraph.llm.textkit import slices
+from delvegraph.llm.worker import tidy
 
 END_ID = 2
 
@@ -32,6 +33,7 @@ def encoded_stream(docs: DataFrame, path: str | None = None, end_id: int = END_I
     """
     path = path or default_path()
 
+    @tidy("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
@@ -65,6 +67,7 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end_id: i
     starts = totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("part_start"))
     placed = stream.join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("local_start")).alias("at"), "n", "ids")
 
+    @tidy("tokens")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
         for batch in (part for whole in batches for part in slices(whole, "ids", 2 << 20)):

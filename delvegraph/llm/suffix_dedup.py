@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from delvegraph.llm.ranking import global_rank
 from delvegraph.llm.storage import drop, materialize, shuffle_partitions
 from delvegraph.llm.textkit import mix, slices
+from delvegraph.llm.worker import tidy
 
 GRAM, SHALLOW = 24, 32
 #: Bytes of text in one numpy step, and of a segment of a longer text.
@@ -150,6 +151,7 @@ INTERVALS, REQUESTS, BLOCKS = 1, 2, 0
 
 
 def _find_blocks(length: int, buckets: int):
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
@@ -201,6 +203,7 @@ def _match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _message(REQUESTS, *_packed(ask["doc"], rows_))
 
 
+@tidy("suffix")
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -264,6 +267,7 @@ def _fetch(length: int, buckets: int):
             data.append(pack(raw[at].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows, pa.binary()), pa.array(data, pa.binary())], names=["key", "rows", "data"])
 
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -421,6 +425,7 @@ def repeated_strings(ctx: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.
 
 
 def _sort(length: int):
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -455,6 +460,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[last:]])
 
 
+@tidy("suffix")
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -515,6 +521,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 def _pass_through(match):
     """Intervals that a mapper found pass; blocks go to ``match``."""
 
+    @tidy("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from delvegraph.llm.encoding import default_path, encoder
 from delvegraph.llm.textkit import slices
+from delvegraph.llm.worker import tidy
 
 CHUNK, OVERLAP = 32_768, 512
 
@@ -93,6 +94,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """
     path = path or default_path()
 
+    @tidy("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in (part for whole in batches for part in slices(whole, "text")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Callable
 from typing import Any
@@ -11,21 +12,48 @@ _OWNER: str | None = None
 _HELD: dict[Any, Any] = {}
 
 
+def trim() -> None:
+    """Give freed memory back, as a worker that waits for its next task should hold little."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def enter(owner: str) -> None:
+    """Drop what another owner left in this worker."""
+    global _OWNER
+    if owner != _OWNER:
+        _HELD.clear()
+        _OWNER = owner
+        trim()
+
+
+def tidy(owner: str) -> Callable:
+    """For a function over a task's batches: enter as ``owner``, and trim at the end."""
+
+    def around(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def task(*args, **kwargs):
+            enter(owner)
+            try:
+                yield from run(*args, **kwargs)
+            finally:
+                trim()
+
+        return task
+
+    return around
+
+
 def hold(owner: str, key: Any, make: Callable[[], Any]) -> Any:
     """``make()`` for ``key``, kept for the owner's next tasks in this worker.
 
     Another owner's things are dropped first, so that a worker that serves stage
     after stage never holds more than one operator's memory.
     """
-    global _OWNER
-    if owner != _OWNER:
-        _HELD.clear()
-        _OWNER = owner
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+    enter(owner)
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]
