@@ -35,8 +35,13 @@ def conflicts(changed: DataFrame) -> DataFrame:
     """(a, b, symbols, files): arms that changed the same symbol; only-file overlaps are risks.
     ``changed(arm, file, symbol)``."""
     c = changed.select("arm", "file", "symbol").distinct()
-    pair = c.withColumnRenamed("arm", "a").join(c.select(F.col("arm").alias("b"), "file", F.col("symbol").alias("other")), "file").filter("a < b")
-    return pair.groupBy("a", "b").agg(F.count_if(F.col("symbol") == F.col("other")).alias("symbols"), F.countDistinct("file").alias("files"))
+
+    def met(on: list[str], count: str) -> DataFrame:
+        each = c.select("arm", *on).distinct()
+        return each.withColumnRenamed("arm", "a").join(each.withColumnRenamed("arm", "b"), on).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias(count))
+
+    both = met(["file"], "files").join(met(["file", "symbol"], "symbols"), ["a", "b"], "left")
+    return both.select("a", "b", F.coalesce("symbols", F.lit(0)).alias("symbols"), "files")
 
 
 def landing_order(arms: list[str], clash: set[tuple[str, str]]) -> list[str]:

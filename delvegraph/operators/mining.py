@@ -65,6 +65,29 @@ def greedy_cover(pairs: list[tuple]) -> list[tuple]:
     return out
 
 
+def violation_groups(pairs: DataFrame) -> DataFrame:
+    """(nth, file, pairs): ``greedy_cover`` of all ``pairs(a, b)`` in rounds over the cluster.
+
+    A file that beats all its neighbours by (uncovered pairs, smallest id) is taken before
+    any of them whatever happens elsewhere, so a round takes all such files at once; the
+    greedy order is that of (pairs descending, file).
+    """
+    from delvegraph.plans.staging import stage
+
+    left = stage(pairs.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
+    while found is None or left.measured["rows"]:
+        ends = left.select(F.col("a").alias("file"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("file"), F.col("a").alias("other")))
+        degree = stage(ends.groupBy("file").agg(F.count(F.lit(1)).alias("n")))
+        beside = ends.join(degree, "file").join(degree.select(F.col("file").alias("other"), F.col("n").alias("m")), "other")
+        beaten = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("file")))
+        core = stage(beside.groupBy("file").agg(F.first("n").alias("pairs"), F.max(beaten).alias("beaten")).filter("not beaten").select("file", "pairs"))
+        found = core if found is None else found.unionByName(core)
+        left = stage(left.join(core.select(F.col("file").alias("a")), "a", "left_anti").join(core.select(F.col("file").alias("b")), "b", "left_anti").select("a", "b"))
+    nth = F.row_number().over(Window.orderBy(F.desc("pairs"), "file")) - 1
+    return found.select(nth.alias("nth"), "file", F.col("pairs").cast("int").alias("pairs"))
+
+
 def owners(commits: DataFrame, commit_files: DataFrame, as_of) -> DataFrame:
     """(file, author, score, share, sole): commits decayed by half every 182.5 days before
     ``as_of``; ``sole``: one author holds over 80 %."""

@@ -39,10 +39,8 @@ def surprising_cochange(spark, sf):
 
 @query()
 def violation_groups(spark, sf):
-    """Greedy cover of the strongest surprising pairs (a bounded table)."""
-    top = _pairs(spark, sf).orderBy(F.desc("together"), "a", "b").limit(500).select("a", "b").collect()
-    cover = M.greedy_cover([(r.a, r.b) for r in top])
-    return spark.createDataFrame([(i, int(f), len(p)) for i, (f, p) in enumerate(cover)], "nth int, file long, pairs int")
+    """Greedy cover of all surprising pairs."""
+    return M.violation_groups(surprising_cochange(spark, sf))
 
 
 @query(
@@ -92,7 +90,7 @@ _SNAP = (
 
 
 def _snapshots(spark, sf):
-    s = table(spark, sf, "lineitem").filter("l_partkey % 5 = 0").select(
+    s = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("canon"),
         F.col("l_quantity").cast("int").alias("loc"),
         (F.col("l_linenumber") * 3).cast("int").alias("ccx"),
@@ -230,7 +228,7 @@ def external_surface(spark, sf):
 def enclosing_symbols(spark, sf):
     from pyspark.sql import Window
 
-    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     spans = o.select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("sym_id"), (F.col("o_custkey") % 50).alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 500 + 5 + F.col("o_custkey") % 40).alias("stop"))
     points = table(spark, sf, "events").select(F.col("event_id").alias("point_id"), (F.col("user_id") % 50).alias("file"), (F.col("event_id") % 550).alias("at"))
     return R.enclosing(points, spans)
@@ -241,7 +239,7 @@ _ARMS = "WITH ch AS (SELECT DISTINCT o_orderpriority AS arm, p_brand AS file, p_
 
 
 def _arms(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 40 = 1")
+    o = table(spark, sf, "orders")
     j = o.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return j.select(F.col("o_orderpriority").alias("arm"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("symbol")).distinct()
 
@@ -265,7 +263,7 @@ _STRAY = (
 
 
 def _stray(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 9 = 2")
+    o = table(spark, sf, "orders")
     p = table(spark, sf, "part")
     authored = o.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_orderpriority").alias("ref"), F.col("p_brand").alias("path"), F.col("p_name").alias("line"))
     return H.absent_lines(authored, p.select(F.col("p_brand").alias("path"), F.col("p_name").alias("line")))
@@ -317,7 +315,7 @@ def struct_layouts(spark, sf):
     "SELECT 's' AS agg, a.field AS a, b.field AS b, count(*) AS together, round(count(*) * (64 - least(abs(a.field - b.field) * 8, 64)) / 64.0, 6)::DOUBLE AS weight FROM x a JOIN x b ON a.fn = b.fn AND a.field < b.field GROUP BY a.field, b.field"
 )
 def field_affinity(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 50 = 0")
+    o = table(spark, sf, "orders")
     x = o.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).select((F.col("o_custkey") % 20).alias("fn"), F.lit("s").alias("agg"), F.col("p_size").alias("field"))
     order = x.select("agg", "field").distinct().withColumn("offset", F.col("field") * 8)
     return rounded(H.field_affinity(x, order), "weight")
