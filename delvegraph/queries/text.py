@@ -181,7 +181,7 @@ def item_containment(spark, sf):
     "SELECT id, round(n * log2(eta), 6) AS volume, round(entropy, 6) AS entropy, round(1 / (1 + exp(-(8.87 - 0.033 * n * log2(eta) + 0.40 * ln - 1.5 * entropy))), 6) AS score FROM e JOIN l USING (id)"
 )
 def readability_scores(spark, sf):
-    d = _docs(spark, sf).filter("id % 10 = 0")
+    d = _docs(spark, sf)
     tokens = d.select("id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("token"))
     return rounded(quality.readability(tokens, d.select("id", F.size(F.split("text", "\n")).alias("n_lines"))), "volume", "entropy", "score")
 
@@ -192,8 +192,8 @@ def readability_scores(spark, sf):
     "CASE WHEN len(cw) > 0 THEN round(len(list_intersect(list_distinct(cw), list_distinct(nw))) / len(list_distinct(list_concat(cw, nw)))::DOUBLE, 6) END AS cic FROM w"
 )
 def comment_coherence(spark, sf):
-    d = _docs(spark, sf).filter("id % 7 = 0")
-    rows = d.select("id", F.filter(F.split(F.lower(F.concat_ws(" ", "lang", "source")), " "), lambda x: x != "").alias("name_words"), F.filter(F.split(F.lower(F.substring("text", 1, 300)), "[^a-z0-9]+"), lambda x: x != "").alias("comment_words"))
+    d = _docs(spark, sf)
+    rows = d.select("id", F.filter(F.split(F.lower(F.concat_ws(" ", "lang", "source")), " "), lambda x: x != "").alias("name_words"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("comment_words"))
     return rounded(quality.comment_coherence(rows), "c_coeff", "cic")
 
 
@@ -227,7 +227,7 @@ def retrieval_eval(spark, sf):
 
 @query("SELECT doc_id AS id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents WHERE doc_id % 20 = 0")
 def xml_escape(spark, sf):
-    return _docs(spark, sf).filter("id % 20 = 0").select("id", T.escape_xml(F.col("text")).alias("xml"))
+    return _docs(spark, sf).select("id", T.escape_xml(F.col("text")).alias("xml"))
 
 
 @query("SELECT doc_id AS id, ceil(strlen(text) / CASE WHEN source = 'src1' THEN 4.0 ELSE 3.2 END)::BIGINT AS tokens FROM documents")
