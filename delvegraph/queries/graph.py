@@ -153,7 +153,7 @@ _RARE = f"{GRAPH}, rare AS (SELECT * FROM edges WHERE (src * 7 + dst * 13) % 17
     "SELECT a AS id, least(a, min(b)) AS component FROM mutual GROUP BY a"
 )
 def dependency_cycles(spark, sf):
-    return G.cycles(edges(spark, sf).filter("(src * 7 + dst * 13) % 17 = 0"))
+    return G.cycles(edges(spark, sf))
 
 
 _FILES = f"{GRAPH}, fe AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file < b.file AND e.n_ref >= 2), files AS (SELECT DISTINCT file AS id FROM nodes)"
@@ -182,7 +182,7 @@ def dependency_health(spark, sf):
 )
 def module_metrics(spark, sf):
     s = nodes(spark, sf).select("id", F.col("file").alias("module"), (F.col("kind") == "iface").alias("abstract"))
-    return rounded(quality.module_metrics(edges(spark, sf).filter("(src + dst) % 97 = 0"), s), "instability", "abstractness", "distance")
+    return rounded(quality.module_metrics(edges(spark, sf), s), "instability", "abstractness", "distance")
 
 
 @query(
@@ -193,7 +193,7 @@ def arch_rule_violations(spark, sf):
     from delvegraph.sources.rules import rules_table
 
     n = nodes(spark, sf)
-    e = edges(spark, sf).filter("(src + dst) % 97 = 0").join(n.select(F.col("id").alias("src"), F.col("file").alias("src_path")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("dst_path")), "dst").select("src_path", "dst_path").distinct()
+    e = edges(spark, sf).join(n.select(F.col("id").alias("src"), F.col("file").alias("src_path")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("dst_path")), "dst").select("src_path", "dst_path").distinct()
     rules = rules_table(spark, "layer src = src/\nlayer tests = tests/\ndeny src -> tests\nallow brand1 -> tests\n")
     return quality.rule_violations(e, rules)
 
@@ -256,7 +256,7 @@ def coupling_between_objects(spark, sf):
     "up(id, cell, reads, writes) AS (SELECT id, cell, reads, writes FROM a0 UNION SELECT o.src, up.cell, up.reads, up.writes FROM up JOIN often o ON o.dst = up.id) SELECT id, cell, max(reads)::INTEGER AS reads, max(writes)::INTEGER AS writes FROM up GROUP BY id, cell"
 )
 def state_access_closure(spark, sf):
-    access = nodes(spark, sf).filter("id % 50 = 3").select("id", F.col("file").alias("cell"), (F.col("cx") % 5 == 0).cast("int").alias("reads"), (F.col("cx") % 7 == 0).cast("int").alias("writes"))
+    access = nodes(spark, sf).select("id", F.col("file").alias("cell"), (F.col("cx") % 5 == 0).cast("int").alias("reads"), (F.col("cx") % 7 == 0).cast("int").alias("writes"))
     return quality.propagate_bits(often(spark, sf), access)
 
 

@@ -16,6 +16,10 @@ SLICES = {
     "readability_scores": [(" WHERE doc_id % 10 = 0", "")],
     "comment_coherence": [(" WHERE doc_id % 7 = 0", ""), ("text[:300]", "text")],
     "xml_escape": [(" WHERE doc_id % 20 = 0", "")],
+    "dependency_cycles": [(" WHERE (src * 7 + dst * 13) % 17 = 0", "")],
+    "module_metrics": [(" AND (x.src + x.dst) % 97 = 0", "")],
+    "arch_rule_violations": [(" WHERE (e.src + e.dst) % 97 = 0", "")],
+    "state_access_closure": [(" WHERE id % 50 = 3", "")],
 }
 
 
