@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delvegraph.functions.text import pinned
+from delvegraph.plans.staging import stage
 
 # Words that stay verbatim in a normalised stream.
 KEYWORDS = frozenset(
@@ -74,24 +75,41 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 def near_clones(streams: DataFrame, gram: int = 5, bucket: int = 1024, band: float = 0.70, least: float = 0.80, least_tokens: int = 18) -> DataFrame:
     """(a, b, ratio): pairs with 2 * LCS / (|a| + |b|) in [least, 1).
 
-    Pairs meet in buckets of shared token grams; grams of over ``bucket`` units
-    are stop grams.  Cheap tests (length band, gram overlap) come before the LCS.
+    Units of equal streams are compared once.  Pairs meet in buckets of shared token
+    grams; a unit brings its rarest grams only, as many as make sure that it meets every
+    unit that passes the gate.  Units of a gram of over ``bucket`` are compared block by
+    block.  Cheap tests (length band, overlap of all grams) come before the LCS.
     """
     s = pinned(streams.select("id", "stream"), "stream").filter(F.size("stream") >= least_tokens).withColumn("n", F.size("stream"))
+    s = stage(s.withColumn("key", F.sha2(F.to_json(F.struct("stream")), 256)))
+    same = s.groupBy("key").agg(F.min("id").alias("first"))
+    members = s.select("id", "key").join(same, "key").select("first", "id")
+    s = s.join(same.select(F.col("first").alias("id")), "id", "left_semi")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("stream", i, gram))))
-    g = s.select("id", "n", F.explode(grams).alias("g"))
-    size = g.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c").between(2, bucket))
-    g = g.join(size.select("g"), "g")
-    both = g.select("g", F.col("id").alias("a"), F.col("n").alias("na")).join(g.select("g", F.col("id").alias("b"), F.col("n").alias("nb")), "g").filter("a < b")
-    both = both.filter(F.least("na", "nb") >= band * F.greatest("na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    both = both.filter(F.col("common") >= 0.25 * F.least("na", "nb") - gram)
-    full = both.join(s.select(F.col("id").alias("a"), F.col("stream").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("stream").alias("sb")), "b")
+    s = stage(s.select("id", "stream", "n", grams.alias("grams")))
+    g = s.select("id", "n", F.explode("grams").alias("g"))
+    g = g.join(g.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g")
+    # a pair in the length band shares this many grams at least, so one of them is in this prefix of both
+    shared = F.greatest(F.ceil(0.25 * band * F.col("n") - gram - 1e-6), F.lit(1))
+    rare = g.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("cg"))
+    rare = rare.select("id", "n", F.explode(F.slice("cg", F.lit(1), F.greatest(F.size("cg") - shared + 1, F.lit(0)).cast("int"))).alias("x")).filter("x.c > 1")
+    blocks = F.ceil(F.col("x.c") / bucket).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    each = rare.select("id", "n", F.col("x.g").alias("g"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("to"))
+    each = each.select("id", "n", "g", "own", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"))
+    left = each.select("g", "p", "q", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"))
+    right = each.select("g", "p", "q", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    both = left.join(right, ["g", "p", "q"]).filter("a < b and (p = q or oa <> ob)").filter(F.least("na", "nb") >= band * F.greatest("na", "nb")).select("a", "b").distinct()
+    side = lambda x: s.select(F.col("id").alias(x), F.col("stream").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
+    full = both.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ga", "gb")) >= 0.25 * F.least("na", "nb") - gram)
 
     @F.pandas_udf("double")
     def ratio(sa: pd.Series, sb: pd.Series) -> pd.Series:
         return pd.Series([2.0 * lcs_length(list(x), list(y)) / (len(x) + len(y)) for x, y in zip(sa, sb, strict=True)])
 
-    return full.select("a", "b", ratio("sa", "sb").alias("ratio")).filter((F.col("ratio") >= least) & (F.col("ratio") < 1))
+    near = full.select("a", "b", ratio("sa", "sb").alias("ratio")).filter((F.col("ratio") >= least) & (F.col("ratio") < 1))
+    near = near.join(members.select(F.col("first").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("first").alias("b"), F.col("id").alias("y")), "b")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
 
 
 def containment(left: DataFrame, right: DataFrame, shingle: int = 5, bottom: int | None = 128) -> DataFrame:

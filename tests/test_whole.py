@@ -1,10 +1,12 @@
 """Queries over their whole tables: against their SQL without its slices, or by brute force."""
 
+import random
+
 import duckdb
 import pytest
 
 from delvegraph import catalog
-from delvegraph.operators import mining
+from delvegraph.operators import clones, mining
 
 #: The slices that the oracles of these queries hold.
 SLICES = {
@@ -55,12 +57,39 @@ def test_violation_groups_cover_every_surprising_pair(spark, sf):
     assert [(r.nth, r.file, r.pairs) for r in got] == [(i, f, len(p)) for i, (f, p) in enumerate(mining.greedy_cover(pairs))]
 
 
-def test_landing_order_sees_all_orders(spark, sf, con):
-    arms = sorted(r[0] for r in con.sql("select distinct o_orderpriority from orders join lineitem on l_orderkey = o_orderkey").fetchall())
-    touched = {a: {r[0] for r in con.execute("select l_partkey from orders join lineitem on l_orderkey = o_orderkey where o_orderpriority = ?", [a]).fetchall()} for a in arms}
-    left, want = list(arms), []
-    while left:
-        best = min(left, key=lambda a: (sum(bool(touched[a] & touched[b]) for b in left if b != a), a))
-        want.append(best)
-        left.remove(best)
-    assert [r.arm for r in catalog.queries()["landing_order"](spark, sf).orderBy("nth").collect()] == want
+def test_landing_order_sees_all_orders(spark, tmp_path):
+    tables = {
+        "orders": ([(2, "a"), (3, "b"), (4, "c")], "o_orderkey long, o_orderpriority string"),
+        "lineitem": ([(2, 7), (3, 7), (3, 8), (4, 8)], "l_orderkey long, l_partkey long"),
+        "part": ([(7, "f"), (8, "f")], "p_partkey long, p_brand string"),
+    }
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    # b clashes with a and c; a goes first, then b and c clash once each
+    assert [r.arm for r in catalog.queries()["landing_order"](spark, str(tmp_path)).orderBy("nth").collect()] == ["a", "b", "c"]
+
+
+def test_near_clones_meet_in_groups_over_the_bucket(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [[*base, *(f"u{k}" for _ in range(3))] for k in range(12)]  # a group over the bucket: all share 56 grams
+    rows += [rows[0], [rng.choice("xyz") + str(rng.randrange(40)) for _ in range(50)], base[:20]]
+    for k in range(10):  # random edits
+        rows.append([t if rng.random() > 0.06 else f"v{k}" for t in base])
+    rows += [list("abcdefghijklmnopqrst") + [f"t{k}"] for k in range(9)]  # no rare gram but one
+
+    def grams(x):
+        return {tuple(x[i : i + 5]) for i in range(max(len(x) - 4, 1))}
+
+    want = set()
+    for a, x in enumerate(rows):
+        for b in range(a + 1, len(rows)):
+            y, m = rows[b], min(len(x), len(rows[b]))
+            common = len(grams(x) & grams(y))
+            r = 2 * clones.lcs_length(x, y) / (len(x) + len(y))
+            if m >= 0.7 * max(len(x), len(y)) and common >= max(1, 0.25 * m - 5) and 0.8 <= r < 1:
+                want.add((a, b, round(r, 9)))
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, stream array<string>")
+    for bucket in (4, 1024):
+        got = clones.near_clones(df, bucket=bucket).collect()
+        assert len(got) == len(want) and {(r.a, r.b, round(r.ratio, 9)) for r in got} == want
