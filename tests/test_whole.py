@@ -3,7 +3,9 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from delvegraph import catalog
 from delvegraph.operators import clones, mining
@@ -93,3 +95,21 @@ def test_near_clones_meet_in_groups_over_the_bucket(spark):
     for bucket in (4, 1024):
         got = clones.near_clones(df, bucket=bucket).collect()
         assert len(got) == len(want) and {(r.a, r.b, round(r.ratio, 9)) for r in got} == want
+
+
+def test_attention_shares_come_from_all_training_texts(spark, monkeypatch):
+    from delvegraph.llm import lm_score
+
+    texts = ["one two\nthree\n\nfour", "\tOne  one", "\u4e2d\u6587 x\r\n", "", None, "a\n" * 50, "\ud55c\uad6d\uc5b4\u00a0end"]
+    seen = []
+    fit = lm_score.fit_network
+    monkeypatch.setattr(lm_score, "fit_network", lambda counts, sample: (seen.append(counts.copy()), fit(counts, sample))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lm_score.score_texts(df, learn=F.lit(True), sample_docs=1)
+    enc = lm_score.Subwords(lm_score.default_path())
+    want = np.zeros(enc.size + 1, np.int64)
+    for t in texts:
+        for i in enc.ids(t):
+            want[i] += 1
+    want[-1] = len(texts)
+    assert (seen[0] == want).all()
