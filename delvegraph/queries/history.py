@@ -84,7 +84,7 @@ def equal_count_windows(spark, sf):
 
 # Two snapshots: the line items shipped before a date and all of them.
 _SNAP = (
-    "WITH s AS (SELECT l_partkey AS canon, l_quantity::INTEGER AS loc, (l_linenumber * 3)::INTEGER AS ccx, (l_linenumber + l_quantity::INTEGER % 3)::INTEGER AS cx, l_linenumber::INTEGER AS max_nest, (l_quantity::INTEGER % 9)::INTEGER AS params, l_shipdate FROM lineitem WHERE l_partkey % 5 = 0), "
+    "WITH s AS (SELECT l_partkey AS canon, l_quantity::INTEGER AS loc, (l_linenumber * 3)::INTEGER AS ccx, (l_linenumber + l_quantity::INTEGER % 3)::INTEGER AS cx, l_linenumber::INTEGER AS max_nest, (l_quantity::INTEGER % 9)::INTEGER AS params, l_shipdate FROM lineitem), "
     "bs AS (SELECT * FROM s WHERE l_shipdate < TIMESTAMP '1998-01-01')"
 )
 
@@ -221,7 +221,7 @@ def external_surface(spark, sf):
 
 
 @query(
-    "WITH sp AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS sym_id, o_custkey % 50 AS file, (o_orderkey % 500)::BIGINT AS start, (o_orderkey % 500 + 5 + o_custkey % 40)::BIGINT AS stop FROM orders WHERE o_orderkey % 7 = 0), "
+    "WITH sp AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS sym_id, o_custkey % 50 AS file, (o_orderkey % 500)::BIGINT AS start, (o_orderkey % 500 + 5 + o_custkey % 40)::BIGINT AS stop FROM orders), "
     "pt AS (SELECT event_id AS point_id, user_id % 50 AS file, event_id % 550 AS at_ FROM events) "
     "SELECT point_id, file, at_ AS at, (SELECT max({'s': start, 'i': sym_id}).i FROM sp WHERE sp.file = pt.file AND pt.at_ >= sp.start AND pt.at_ < sp.stop) AS sym_id FROM pt"
 )
@@ -235,7 +235,7 @@ def enclosing_symbols(spark, sf):
 
 
 # Arms of work: customers' orders by market segment; parts are symbols, brands files.
-_ARMS = "WITH ch AS (SELECT DISTINCT o_orderpriority AS arm, p_brand AS file, p_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 40 = 1)"
+_ARMS = "WITH ch AS (SELECT DISTINCT o_orderpriority AS arm, p_brand AS file, p_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
 
 
 def _arms(spark, sf):
@@ -257,7 +257,7 @@ def landing_order(spark, sf):
 
 
 _STRAY = (
-    "WITH au AS (SELECT o_orderpriority AS ref, p_brand AS path, p_name AS line, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 9 = 2 GROUP BY 1, 2, 3), "
+    "WITH au AS (SELECT o_orderpriority AS ref, p_brand AS path, p_name AS line, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3), "
     "hd AS (SELECT p_brand AS path, p_name AS line, count(*) AS m FROM part GROUP BY 1, 2), t AS (SELECT ref, path, sum(greatest(n - coalesce(m, 0), 0))::BIGINT AS n_stray, sum(n)::BIGINT AS n_authored FROM au LEFT JOIN hd USING (path, line) GROUP BY 1, 2)"
 )
 
@@ -311,7 +311,7 @@ def struct_layouts(spark, sf):
 
 
 @query(
-    "WITH x AS (SELECT DISTINCT o_custkey % 20 AS fn, 's' AS agg, p_size AS field FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 50 = 0) "
+    "WITH x AS (SELECT DISTINCT o_custkey % 20 AS fn, 's' AS agg, p_size AS field FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) "
     "SELECT 's' AS agg, a.field AS a, b.field AS b, count(*) AS together, round(count(*) * (64 - least(abs(a.field - b.field) * 8, 64)) / 64.0, 6)::DOUBLE AS weight FROM x a JOIN x b ON a.fn = b.fn AND a.field < b.field GROUP BY a.field, b.field"
 )
 def field_affinity(spark, sf):

@@ -176,7 +176,7 @@ def item_containment(spark, sf):
 
 
 @query(
-    "WITH tk AS (SELECT doc_id AS id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM documents WHERE doc_id % 10 = 0), c AS (SELECT id, token, count(*) AS c FROM tk GROUP BY 1, 2), p AS (SELECT *, c / (sum(c) OVER (PARTITION BY id))::DOUBLE AS p FROM c), "
+    "WITH tk AS (SELECT doc_id AS id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM documents), c AS (SELECT id, token, count(*) AS c FROM tk GROUP BY 1, 2), p AS (SELECT *, c / (sum(c) OVER (PARTITION BY id))::DOUBLE AS p FROM c), "
     "e AS (SELECT id, sum(c)::BIGINT AS n, count(*) AS eta, sum(-p * log2(p)) AS entropy FROM p GROUP BY id), l AS (SELECT doc_id AS id, len(string_split(text, chr(10))) AS ln FROM documents) "
     "SELECT id, round(n * log2(eta), 6) AS volume, round(entropy, 6) AS entropy, round(1 / (1 + exp(-(8.87 - 0.033 * n * log2(eta) + 0.40 * ln - 1.5 * entropy))), 6) AS score FROM e JOIN l USING (id)"
 )
@@ -187,7 +187,7 @@ def readability_scores(spark, sf):
 
 
 @query(
-    "WITH w AS (SELECT doc_id AS id, list_filter(string_split(lower(lang || ' ' || source), ' '), lambda x: x <> '') AS nw, list_filter(regexp_split_to_array(lower(text[:300]), '[^a-z0-9]+'), lambda x: x <> '') AS cw FROM documents WHERE doc_id % 7 = 0) "
+    "WITH w AS (SELECT doc_id AS id, list_filter(string_split(lower(lang || ' ' || source), ' '), lambda x: x <> '') AS nw, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS cw FROM documents) "
     "SELECT id, CASE WHEN len(cw) > 0 THEN round(len(list_filter(cw, lambda c: len(list_filter(nw, lambda n: levenshtein(c, n) <= 1)) > 0)) / len(cw)::DOUBLE, 6) END AS c_coeff, "
     "CASE WHEN len(cw) > 0 THEN round(len(list_intersect(list_distinct(cw), list_distinct(nw))) / len(list_distinct(list_concat(cw, nw)))::DOUBLE, 6) END AS cic FROM w"
 )
@@ -225,7 +225,7 @@ def retrieval_eval(spark, sf):
     return rounded(R.retrieval_metrics(ranked, gold, 10), "recall_at_k", "hit_at_k", "mrr")
 
 
-@query("SELECT doc_id AS id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id AS id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents")
 def xml_escape(spark, sf):
     return _docs(spark, sf).select("id", T.escape_xml(F.col("text")).alias("xml"))
 
