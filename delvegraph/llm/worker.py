@@ -57,3 +57,19 @@ def hold(owner: str, key: Any, make: Callable[[], Any]) -> Any:
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]
+
+
+@functools.cache
+def one_thread() -> None:
+    """Let numpy's products run in the task's own thread: tasks share the cores already."""
+    import glob
+    import os
+
+    import numpy as np
+
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break

@@ -152,6 +152,26 @@ def test_op7(spark, sf, docs):
         assert r["score"] < 0
 
 
+def test_op7_counts_ids_exactly_and_beats_the_base(spark, monkeypatch):
+    from delvegraph.llm import lm_score
+
+    seen = []
+    fit = lm_score.fit_network
+    monkeypatch.setattr(lm_score, "fit_network", lambda train, counts, *a: (seen.append(counts.copy()), fit(train, counts, *a))[1])
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    rows = Q.op7_attention_scores(spark, "/root/testdata/sf0.01").collect()
+    enc = lm_score.Subwords(lm_score.default_path())
+    want = np.zeros(enc.size + 1, np.int64)
+    for k, t in texts.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            want[:-1] += np.bincount(enc.ids(t), minlength=enc.size)
+            want[-1] += 1
+    assert (seen[0] == want).all()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == len(texts) and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
