@@ -85,13 +85,17 @@ class WordEncoder:
         return [b"" if not t else self._runs(t.lower().split()) if self.plain(t) else self.whole(t) for t in texts]
 
     def _runs(self, runs: list[str]) -> bytes:
+        return b"".join(self.packed(runs))
+
+    def packed(self, runs: list[str]) -> list[bytes]:
+        """Packed ids of each run (lower case, no white space, of a plain text)."""
         found = list(map(self.young.get, runs))
         if None in found:
             self._learn({r for r, x in zip(runs, found, strict=True) if x is None})
             found = list(map(self.young.__getitem__, runs))
             if len(self.young) > self.memory:
                 self.old, self.young = self.young, {}
-        return b"".join(found)
+        return found
 
     def _learn(self, runs: set[str]) -> None:
         old, young, new = self.old, self.young, []

@@ -16,16 +16,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvegraph.llm.storage import drop, materialize
 from delvegraph.llm.textkit import mix, slices
 from delvegraph.llm.worker import hold, tidy
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 #: Bounds of the fitting sample: documents and word windows of each language, words of a window.
-SAMPLE_DOCS, WINDOWS, WINDOW = 150, 900, 48
+SAMPLE_DOCS, WINDOWS, WINDOW = 300, 900, 48
 LEXICON = 400
 EPOCHS, BATCH, RATE, DECAY = 2, 64, 0.6, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,48 +87,48 @@ class Crf:
         return np.add.reduceat(self.weights[what], first, axis=0)
 
 
-def marginals(em: np.ndarray, at: np.ndarray, length: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+def marginals(em: np.ndarray, at: np.ndarray, length: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Label distributions of every position of many chains by forward-backward.
 
     ``em`` holds the label scores of all positions; chain ``i`` starts at
-    ``at[i]`` and has ``length[i]`` of them, longest chains first.
+    ``at[i]`` and has ``length[i]`` of them, longest chains first.  With
+    ``pairs`` also the expected number of each transition in all chains.
     """
     e = np.exp(em - em.max(axis=1, keepdims=True))
     t = np.exp(transition - transition.max())
-    alpha = np.empty_like(e)
-    live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left").tolist()
     prev = None
-    for k, n in enumerate(live.tolist()):
+    for k, n in enumerate(live):
         p = at[:n] + k
         a = e[p] * (np.exp(start - start.max()) if prev is None else prev[:n] @ t)
         a /= a.sum(axis=1, keepdims=True)
         alpha[p] = a
         prev = a
-    beta = np.ones((len(at), e.shape[1]), dtype=e.dtype)
+    expected = np.zeros(t.shape)
     for k in range(len(live) - 1, 0, -1):
-        n = int(live[k])
-        p = at[:n] + k
-        b = (e[p] * beta[:n]) @ t.T
-        alpha[p] *= beta[:n]
-        beta[:n] = b / b.sum(axis=1, keepdims=True)
-    if len(live):
-        alpha[at[: int(live[0])]] *= beta[: int(live[0])]
-    return alpha / alpha.sum(axis=1, keepdims=True)
-
-
-def fit(rows: list[tuple[str, str]]) -> Crf:
-    """Learn from (language, text) rows; windows of two languages are spliced to teach transitions."""
+        p = at[: live[k]] + k
+        ahead = e[p] * beta[p]  # what this place and those after it say of its label
+        if pairs:
+            both = alpha[p - 1][:, :, None] * t * ahead[:, None, :]
+            expected += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        b = ahead @ t.T
+        beta[p - 1] = b / b.sum(axis=1, keepdims=True)
+    alpha *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return (alpha, expected) if pairs else alpha
+
+
+def fit(rows: list[tuple[str, list[str]]]) -> Crf:
+    """Learn from (language, words of a window); windows of two languages are spliced to teach transitions."""
     labels = sorted({lang for lang, _ in rows})
     code = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(11)
     windows: list[list[list[str]]] = [[] for _ in labels]
     counts = [Counter() for _ in labels]
-    for lang, text in rows:
-        w = words(text)
+    for lang, w in rows:
         counts[code[lang]].update(w)
-        starts = list(range(0, len(w), WINDOW))
-        for s in rng.permutation(starts)[:16].tolist():
-            windows[code[lang]].append(w[s : s + WINDOW])
+        windows[code[lang]].append(w)
     lexicon: dict[str, int] = {}
     for c in counts:
         for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
@@ -137,7 +138,7 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     model = Crf(labels, lexicon, np.zeros((BUCKETS + len(lexicon) + 1, n), np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
     chains: list[tuple[list[str], list[int]]] = []
     for k, own in enumerate(windows):
-        for i in rng.permutation(len(own))[:WINDOWS].tolist():
+        for i in rng.permutation(len(own)).tolist():
             w, y = own[i], [k] * len(own[i])
             other = int(rng.integers(0, n))
             if rng.random() < 0.3 and windows[other]:
@@ -166,7 +167,7 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
             own = np.repeat(np.arange(len(types)), [len(s) for s in spans])
             feats = what[np.concatenate(spans)]
             em = np.add.reduceat(model.weights[feats], np.cumsum([0] + [len(s) for s in spans[:-1]]), axis=0)[place]
-            p = marginals(em, at, length, model.transition, model.start)
+            p, expected = marginals(em, at, length, model.transition, model.start, pairs=True)
             gap = p.copy()
             gap[np.arange(len(y)), y] -= 1
             gap /= len(batch)
@@ -178,14 +179,10 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
             g += DECAY * model.weights[used]
             squares[0][used] += g * g
             model.weights[used] -= RATE * g / np.sqrt(squares[0][used])
-            # transitions: expected less observed; neighbours are taken as independent given their marginals
-            head = np.ones(len(y), dtype=bool)
-            head[at] = False
-            i = np.flatnonzero(head)
-            t = np.exp(model.transition)
-            pair = p[i - 1][:, :, None] * t[None] * p[i][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gt = pair.sum(axis=0)
+            after = np.ones(len(y), dtype=bool)
+            after[at] = False
+            i = np.flatnonzero(after)
+            gt = expected  # less what was observed
             np.subtract.at(gt, (y[i - 1], y[i]), 1)
             gs = p[at].sum(axis=0) - np.bincount(y[at], minlength=n)
             for param, grad, sq in ((model.transition, gt / len(batch), squares[1]), (model.start, gs / len(batch), squares[2])):
@@ -262,25 +259,51 @@ def held_out(doc_id: Column, of: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def fit_on(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Fit on about ``sample_docs`` documents of each language (bound: twice that) among
-    the rows where ``learn`` holds, chosen by a hash of their ids."""
-    usable = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+@tidy("language")
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in slices(whole, "t", 1 << 20)):
+        out = [(lang, " ".join(w[k : k + WINDOW])) for lang, text in zip(batch["l"].to_pylist(), batch["t"].to_pylist(), strict=True) for w in [words(text)] for k in range(0, len(w), WINDOW)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["l", "w"])
+
+
+def _some(rows: DataFrame, lang: str, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows of each language, and never more, by the hash ``key``."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
     if not sizes:
+        return rows
+    draw = F.pmod(key, F.lit(1 << 20))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.3 * most / n)))), F.col(lang))
+    nth = F.row_number().over(Window.partitionBy(lang).orderBy("__d", "__r"))
+    return rows.withColumn("__d", draw).withColumn("__r", key).filter(F.col("__d") < share * (1 << 20)).withColumn("__n", nth).filter(F.col("__n") <= most).drop("__d", "__r", "__n")
+
+
+def fit_on(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS) -> Crf:
+    """Fit on ``sample_docs`` documents of each language at most, and ``windows`` windows of
+    their whole texts, among the rows where ``learn`` holds, chosen by hashes.
+
+    Null texts and languages teach nothing; repeated rows are rows of their own;
+    an empty table gives a model without labels.  Only the drawn windows, a
+    bounded number of bounded size, come to the driver.
+    """
+    usable = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("string").alias("i"))
+    chosen = _some(usable, "l", F.xxhash64("i", F.xxhash64("t"), F.lit(17)), sample_docs)
+    cut = materialize(chosen.select("l", "t").mapInArrow(_windows, "l string, w string"), "language-windows")
+    taken = _some(cut, "l", F.xxhash64("w", F.lit(18)), windows).orderBy("l", "w").collect()
+    drop(cut)
+    if not taken:
         return Crf([], {}, np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 20))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * sample_docs / n)))), F.col(lang_col))
-    rows = usable.filter(draw < share * (1 << 20)).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.lit(18)).alias("d"), F.xxhash64(text_col).alias("x"))
-    taken = rows.orderBy("d", "x", "l").limit(2 * sample_docs * len(sizes)).collect()
-    return fit([(r.l, r.t) for r in taken])
+    return fit([(r.l, r.w.split(" ")) for r in taken])
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: the columns ``keep`` (the id), lang_pred, score.
 
     A text that is null or has no letter is ``und`` with score 0.  Language,
-    source and id are not read by a prediction.  Long texts are one chain.
+    source and id are not read by a prediction.  Long texts are one chain; rows
+    of equal ids are judged one by one; columns named like the two new ones, or
+    like any other name used here, may be kept and an empty table gives an empty
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((None, model))
     kept = [id_col] if keep is None else keep

@@ -45,9 +45,18 @@ def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from delvegraph.llm.secret_scan import scan_history, span_text
-
-    paths, _ = scan_history(_table(spark, sf_dir, "documents"))
+    """A history of two versions of the corpus: half of its rows, then all of them, which
+    scans only blobs that the first lacked; all findings come from the ledger."""
+    from uuid import uuid4
+
+    from delvegraph.llm.secret_scan import Ledger, findings, span_text, versions_of
+    from delvegraph.llm.storage import shared_dir
+
+    versions = versions_of(_table(spark, sf_dir, "documents"))
+    ledger = Ledger(spark, f"{shared_dir(spark)}/delvegraph/secret-ledger-{uuid4().hex[:12]}")
+    ledger.commit(versions.filter(F.substring("blob", 1, 1) < "8"))
+    ledger.commit(versions)
+    paths = findings(versions, ledger.rows())
     hits, base = F.col("hits"), ("assign", "access", "hex")
     count = lambda kind: F.size(F.filter(hits, lambda h: h["kind"] == kind)).cast("long")
     return paths.select(

@@ -302,6 +302,27 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert masked["a"] == '[REDACTED:assign]"' and masked["c"] == "[REDACTED:hex]"
 
 
+def test_many_hits_in_one_text_and_a_ledger_of_earlier_runs(spark, tmp_path):
+    from delvegraph.llm.secret_scan import Ledger, findings, versions_of
+
+    many = "".join(f"é{i:016x} \U0001f600\ufeff" for i in range(3000))
+    v1 = spark.createDataFrame([(1, many), (2, None), (3, "")], "doc_id long, text string")
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows() is None
+    ledger.commit(versions_of(v1))
+    n = ledger.rows().count()
+    ledger.commit(versions_of(v1))
+    assert ledger.rows().count() == n  # nothing was new
+    v2 = v1.unionByName(spark.createDataFrame([(4, many), (5, "AKIA" + "B" * 16 + "0123456789abcdef")], "doc_id long, text string"))
+    ledger.commit(versions_of(v2))
+    assert ledger.rows().count() == n + 6  # one new blob, six rules
+    hits = findings(versions_of(v2), ledger.rows()).withColumnRenamed("path", "doc_id")
+    got = {r.doc_id: [(h.start, h.stop) for h in r.hits] for r in hits.collect()}
+    assert got[1] == got[4] == [m.span() for m in re.finditer("[0-9a-f]{16,}", many)] and got[2] == got[3] == []
+    masked = {r[0]: r[1] for r in v2.join(hits, "doc_id").select("doc_id", mask_hits(F.col("text"), F.col("hits"))).collect()}
+    assert masked[1] == re.sub("[0-9a-f]{16,}", "[REDACTED:hex]", many) and masked[2] is None and masked[3] == ""
+
+
 def test_pipeline_stages(spark, sf, docs):
     import corpus_pipeline as P
 

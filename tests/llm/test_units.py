@@ -25,12 +25,27 @@ def test_encoder_is_the_library(enc):
     assert enc.encode([None, ""]) == [b"", b""]
 
 
+PIECES = ["word", " ", "\n", "é", "é", " ́x", "漢字", "<|endoftext|>", "a" * 40, "'ll", "12", "…", "한글", "\x1c"]
+
+
 def test_chunked_counts_are_whole_counts(enc):
-    pieces = ["word", " ", "\n", "é", "é", " ́x", "漢字", "<|endoftext|>", "a" * 40, "'ll", "12", "…", "한글", "\x1c"]
-    for _ in range(200):
-        s = "".join(RNG.choice(pieces) for _ in range(RNG.randint(0, 120)))
-        assert token_count.count_chunked(enc.tokenizer, s, 40, 6) == len(enc.tokenizer.encode(s, add_special_tokens=False).ids), repr(s)
-    assert token_count.count_chunked(enc.tokenizer, "x" * 500, 40, 6) == len(enc.tokenizer.encode("x" * 500, add_special_tokens=False).ids)
+    whole = lambda s: len(enc.tokenizer.encode(s, add_special_tokens=False).ids)
+    for k in range(300):
+        some = PIECES[:2] + ["Ünd", "x.", "'s"] if k % 3 == 0 else PIECES
+        s = "".join(RNG.choice(some) for _ in range(RNG.randint(0, 120)))
+        assert token_count.count_chunked(enc, s, 40, 6) == whole(s), repr(s)
+    assert token_count.count_chunked(enc, "x" * 500, 40, 6) == whole("x" * 500)
+    s = "plain words here " * 300
+    assert token_count.count_chunked(enc, s, 64, 16) == whole(s)
+
+
+def test_huge_texts_are_counted_in_segments(spark, enc):
+    rows = [(k, "".join(RNG.choice(PIECES[:6] if k % 2 else ["some", " ", "words.", " "]) for _ in range(RNG.randint(0, 900)))) for k in range(12)]
+    rows += [(12, "x" * 3000), (13, None), (14, " " * 2000), (14, "one two " * 500), (14, "one two " * 500)]
+    want = sorted((k, len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(df, chunk=64, overlap=16, segment=500).collect())
+    assert got == want
 
 
 def test_word_and_shingle_hashes():
@@ -167,15 +182,60 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got[:4], p)
 
 
+def log_likelihood(em, tr, st, y):
+    import itertools
+
+    score = lambda z: st[z[0]] + sum(em[i, z[i]] for i in range(len(em))) + sum(tr[z[i], z[i + 1]] for i in range(len(em) - 1))
+    return score(y) - np.log(sum(np.exp(score(z)) for z in itertools.product(range(len(st)), repeat=len(em))))
+
+
+def test_expected_transitions_are_the_gradient():
+    rng = np.random.default_rng(8)
+    em, tr, st = rng.standard_normal((9, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
+    y = rng.integers(0, 3, 9)
+    chains = [(0, 5), (5, 4)]
+    _, expected = language_id.marginals(em, np.array([0, 5]), np.array([5, 4]), tr, st, pairs=True)
+    for i in range(3):
+        for j in range(3):
+            eps = np.zeros((3, 3))
+            eps[i, j] = 1e-5
+            slope = sum(log_likelihood(em[a : a + n], tr + eps, st, y[a : a + n]) - log_likelihood(em[a : a + n], tr - eps, st, y[a : a + n]) for a, n in chains) / 2e-5
+            seen = sum(int(y[k] == i and y[k + 1] == j) for a, n in chains for k in range(a, a + n - 1))
+            assert abs(seen - expected[i, j] - slope) < 1e-6
+
+
+TWO = [("xx", ("kata moro kata bira " * 12).split())] * 6 + [("yy", ("zunge feld zunge wald " * 12).split())] * 6
+
+
 def test_code_switched_words_get_their_own_labels():
-    rows = [("xx", "kata moro kata bira " * 20)] * 3 + [("yy", "zunge feld zunge wald " * 20)] * 3
-    m = language_id.fit(rows)
+    m = language_id.fit(TWO)
     lab = language_id.Labeller(m)
     s = lab.shares([["kata", "bira"], ["zunge", "feld", "wald"], ["kata"] * 8 + ["zunge"] * 2, []])
     assert m.labels[s[0].argmax()] == "xx" and m.labels[s[1].argmax()] == "yy" and m.labels[s[2].argmax()] == "xx" and not s[3].any()
     assert language_id.words("12 ²³ --") == [] and language_id.words(None) == []
 
 
+def test_a_prediction_equals_enumeration(spark):
+    import itertools
+
+    m = language_id.fit(TWO)
+    texts = ["kata", "kata zunge", "Moro bira, feld!", "12 --", None, "unbekannt moro", "kata kata zunge feld wald bira"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for k, t in enumerate(texts):
+        w = language_id.words(t)
+        if not w:
+            assert got[k] == ("und", 0.0)
+            continue
+        em, n = m.emissions(w), len(m.labels)
+        p = np.zeros((len(w), n))
+        for y in itertools.product(range(n), repeat=len(w)):
+            weight = np.exp(m.start[y[0]] + sum(em[i, y[i]] for i in range(len(w))) + sum(m.transition[y[i], y[i + 1]] for i in range(len(w) - 1)))
+            for i in range(len(w)):
+                p[i, y[i]] += weight
+        share = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert share[m.labels.index(got[k][0])] > share.max() - 1e-4 and abs(got[k][1] - share.max()) < 1e-4
+
+
 @pytest.fixture(scope="module")
 def subwords():
     return lm_score.Subwords(lm_score.default_path())
