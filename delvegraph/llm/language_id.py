@@ -230,7 +230,7 @@ class Labeller:
 
 @tidy("language")
 def _predict(batches: Iterator[pa.RecordBatch], shared, place: int, kept: int) -> Iterator[pa.RecordBatch]:
-    labeller = hold("language", shared.id, lambda: Labeller(shared.value[1]))
+    labeller = hold("language", ("labeller", shared.id), lambda: Labeller(shared.value[1]))
     labels = labeller.model.labels
     for batch in (part for whole in batches for part in slices(whole, whole.schema.names[place], 16 << 20)):
         texts = batch.column(place).to_pylist()

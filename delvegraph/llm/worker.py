@@ -47,14 +47,17 @@ def tidy(owner: str) -> Callable:
     return around
 
 
-def hold(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+def hold(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
     """``make()`` for ``key``, kept for the owner's next tasks in this worker.
 
-    Another owner's things are dropped first, so that a worker that serves stage
-    after stage never holds more than one operator's memory.
+    Another owner's things are dropped first, and so is an older thing of the same
+    kind (the key's first part), so that a worker that serves stage after stage and
+    run after run never holds more than one operator's memory.
     """
     enter(owner)
     if key not in _HELD:
+        for old in [k for k in _HELD if k[0] == key[0]]:
+            del _HELD[old]
         _HELD[key] = make()
     return _HELD[key]
 
