@@ -3,7 +3,8 @@
 Links are first contracted inside every partition (a spanning forest has at most
 one link for each node there); alternating large-star and small-star steps then
 turn what is left into stars around the smallest id of each component.  Hubs are
-handled by partial aggregation and a join, never by gathering their links.
+handled by partial aggregation and a broadcast of a bounded number of them, never by
+gathering their links.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delvegraph.llm.storage import drop, materialize
+from delvegraph.llm.storage import drop, materialize, shuffle_partitions
 from delvegraph.llm.worker import tidy
 
 
@@ -62,6 +63,22 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (out.measured["n"], out.measured["mark"])
 
 
+#: A node of fewer links is no hub.
+LEAST_HUB = 256
+
+
+def _with_least(rows: DataFrame, many: int) -> DataFrame:
+    """``rows(u, v)`` with the least ``v`` of each ``u`` as ``m``.
+
+    The rows of a node with over ``many`` of them stay where they are and meet its
+    ``m`` by broadcast, as there are few such nodes; the others are joined.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > many).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= many).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest id reachable, for every node that has a link.
 
@@ -71,12 +88,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     edges, seen = _written(pairs.mapInArrow(_contract, "u long, v long").distinct())
     if not seen[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    parts = shuffle_partitions(links.sparkSession)
     for _ in range(max_rounds):
+        many = max(LEAST_HUB, seen[0] // (2 * parts))  # so there are 4 * parts hubs at most
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        large = _with_least(both, many).withColumn("m", F.least("u", "m")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, many).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         new, now = _written(small)
         drop(edges)
         edges = new

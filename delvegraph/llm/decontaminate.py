@@ -10,13 +10,14 @@ words it spans are hit.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delvegraph.llm.storage import materialize
+from delvegraph.llm.storage import drop, materialize
 from delvegraph.llm.textkit import slices
 from delvegraph.llm.worker import tidy
 
@@ -25,8 +26,9 @@ _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-#: Benchmark words in one automaton; a larger benchmark takes several, one pass over the documents each.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words in one automaton (about 40 bytes each in a task); a larger benchmark takes several, one pass over
+#: the documents each.
+BLOCK_WORDS = 500_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,15 +37,18 @@ def words(text: str | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Suffix automaton of word sequences with the items known at each state."""
+    """Suffix automaton of word sequences with the items known at each state.
+
+    Built with a dictionary of edges for each state; then laid out in flat arrays,
+    as all but a few states have one edge and one item.
+    """
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
         self.names: list[str] = []
-        owners: list[set[int]] = [set()]
+        self._next: list[dict[int, int]] = [{}]
+        self._link, self._length = [-1], [0]
         paths = []
         for name, item in items:
             if not item:
@@ -54,85 +59,121 @@ class ItemAutomaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        owners = [set() for _ in self.next]
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        n = len(self._next)
+        #: Of each state: the item known there (-1: none; -2: those in ``several``).
+        self.owner = array("i", [-1]) * n
+        self.several: dict[int, tuple[int, ...]] = {}
+        owners: dict[int, set[int]] = {}
+        whole: dict[int, list[int]] = {}
+        mark = array("i", [-1]) * n
         for k, ids in paths:
             v = 0
             for c in ids:
-                v = self.next[v][c]
-                u = v
-                while u > 0 and k not in owners[u]:
-                    owners[u].add(k)
-                    u = self.link[u]
+                v = u = self._next[v][c]
+                while u > 0 and mark[u] != k:
+                    mark[u] = k
+                    if self.owner[u] == -1:
+                        self.owner[u] = k
+                    elif self.owner[u] != k:
+                        owners.setdefault(u, {self.owner[u]}).add(k)
+                    u = self._link[u]
             if len(ids) < window:
-                self.whole[v].append((len(ids), k))
-        self.owners = [tuple(sorted(o)) for o in owners]
+                whole.setdefault(v, []).append(k)
+        for u, o in owners.items():
+            self.owner[u], self.several[u] = -2, tuple(sorted(o))
+        #: Short items that are a state's longest string, as (length, items).
+        self.whole = {v: (self._length[v], tuple(k)) for v, k in whole.items()}
         #: For every state, the suffix state that holds its last ``window`` words.
-        self.at_window = [0] * len(self.next)
-        #: Short items that end wherever the state's longest string does, ancestors included.
-        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            p = self.link[v]
-            if self.length[v] >= window:
-                self.at_window[v] = v if self.length[p] < window else self.at_window[p]
-            self.ends[v] = self.whole[v] + self.ends[p]
+        self.at_window = array("i", [0]) * n
+        #: For every state, itself or the nearest suffix state at which a short item ends; 0: none.
+        self.ends = array("i", [0]) * n
+        for v in sorted(range(1, n), key=self._length.__getitem__):
+            p = self._link[v]
+            if self._length[v] >= window:
+                self.at_window[v] = v if self._length[p] < window else self.at_window[p]
+            self.ends[v] = v if v in self.whole else self.ends[p]
+        self.link, self.length = array("i", self._link), array("i", self._length)
+        #: The one edge of a state (word, target); states with more have theirs in ``branch``.
+        self.word, self.target = array("i", [-1]) * n, array("i", [0]) * n
+        self.branch: dict[int, dict[int, int]] = {}
+        for v, edges in enumerate(self._next):
+            if len(edges) == 1:
+                self.word[v], self.target[v] = next(iter(edges.items()))
+            elif edges:
+                self.branch[v] = edges
+        del self._next, self._link, self._length
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
-        self.next.append(edges)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.next) - 1
+        self._next.append(edges)
+        self._link.append(link)
+        self._length.append(length)
+        return len(self._next) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        self.link[q] = clone
+        clone = self._state(self._length[p] + 1, self._link[q], dict(self._next[q]))
+        while p >= 0 and self._next[p].get(c) == q:
+            self._next[p][c] = clone
+            p = self._link[p]
+        self._link[q] = clone
         return clone
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+        q = self._next[last].get(c)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        cur = self._state(self.length[last] + 1, 0, {})
+            return q if self._length[q] == self._length[last] + 1 else self._split(last, c, q)
+        cur = self._state(self._length[last] + 1, 0, {})
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
-            p = self.link[p]
+        while p >= 0 and c not in self._next[p]:
+            self._next[p][c] = cur
+            p = self._link[p]
         if p >= 0:
-            q = self.next[p][c]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
+            q = self._next[p][c]
+            self._link[cur] = q if self._length[q] == self._length[p] + 1 else self._split(p, c, q)
         return cur
 
     def hits(self, doc: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Maximal runs of hit words (start, stop) and the items with occurring windows."""
         runs: list[tuple[int, int]] = []
         seen: set[int] = set()
-        window, nxt, link, length, ends = self.window, self.next, self.link, self.length, self.ends
+        done: set[int] = set()  # states whose items are in ``seen``
+        window, word, target, branch, link, length, ends, whole = self.window, self.word, self.target, self.branch, self.link, self.length, self.ends, self.whole
+        none: dict[int, int] = {}
         state = size = 0
         for i, c in enumerate(map(self.vocab.get, doc)):
             if c is None:
                 state = size = 0
                 continue
-            to = nxt[state].get(c)
-            if to is None:
-                while state > 0 and c not in nxt[state]:
-                    state = link[state]
-                size = length[state]
-                to = nxt[state].get(c)
+            if word[state] == c:
+                state, size = target[state], size + 1
+            else:
+                to = branch.get(state, none).get(c)
                 if to is None:
-                    size = 0
-                    continue
-            state, size = to, size + 1
+                    while state > 0:
+                        state = link[state]
+                        to = target[state] if word[state] == c else branch.get(state, none).get(c)
+                        if to is not None:
+                            break
+                    size = length[state]
+                    if to is None:
+                        size = 0
+                        continue
+                state, size = to, size + 1
             reach = 0
             if size >= window:
-                seen.update(self.owners[self.at_window[state] if length[state] >= window else state])
+                at = self.at_window[state] if length[state] >= window else state
+                if at not in done:
+                    done.add(at)
+                    seen.update(self.several[at] if self.owner[at] == -2 else (self.owner[at],))
                 reach = window
-            for n, k in ends[state]:
-                if n <= size:
-                    seen.add(k)
-                    reach = max(reach, n)
+            e = ends[state]
+            if e:
+                while length[e] > size:  # only the state itself may be longer than what was read
+                    e = ends[link[e]]
+                reach = max(reach, length[e])
+                while e and e not in done:  # what ends below a state that is done is done
+                    done.add(e)
+                    seen.update(whole[e][1])
+                    e = ends[link[e]]
             if reach:
                 start = i + 1 - reach
                 while runs and runs[-1][1] >= start:
@@ -179,22 +220,26 @@ def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton, one_in: i
         yield out if one_in is None else out.filter(clean)
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Benchmark items as word lists, streamed in blocks of a bounded word count.
 
-    An item longer than the bound is a block by itself.  Items of equal id and
-    different text are one item with several windows.
+    An item longer than the bound goes in parts that overlap by ``window`` - 1 words,
+    so that every window lies in one.  Items of equal id and different text are one
+    item with several windows; a null id is the empty string.
     """
     block: list[tuple[str, list[bytes]]] = []
     size = 0
+    most = max(block_words, 2 * window)
     for item_id, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        w = words(text)
-        if w and block and size + len(w) > block_words:
-            yield block
-            block, size = [], 0
-        if w:
-            block.append((item_id if item_id is not None else "", w))
-            size += len(w)
+        whole = words(text)
+        for at in range(0, max(1, len(whole) - window + 1), most - window + 1):
+            w = whole[at : at + most]
+            if w and block and size + len(w) > block_words:
+                yield block
+                block, size = [], 0
+            if w:
+                block.append((item_id if item_id is not None else "", w))
+                size += len(w)
     yield block
 
 
@@ -208,7 +253,7 @@ def _with_overlap(docs: DataFrame, benchmark: DataFrame, window: int, text_col:
             "items": F.array().cast("array<string>"),
         }
     )
-    blocks = item_blocks(benchmark, block_words)
+    blocks, table = item_blocks(benchmark, window, block_words), None
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
@@ -216,7 +261,11 @@ def _with_overlap(docs: DataFrame, benchmark: DataFrame, window: int, text_col:
         last = one_in if after is None else None
         out = out.mapInArrow(lambda it, s=shared, c=last: _scan(it, s.value, c), out.schema)
         if after is not None:  # one automaton at a time in a worker
-            out = materialize(out, "overlap-block")
+            before, table = table, materialize(out, "overlap-block")
+            if before is not None:
+                drop(before)
+            shared.destroy()
+            out = table
         block = after
     return out
 

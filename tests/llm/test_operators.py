@@ -58,8 +58,17 @@ def test_op1(spark, sf):
     ids = [r.vec_id for r in src]
     s = x @ x.T
     deg = dict(zip(ids, ((s >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
+    comp = components(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= 0.9), strict=True)])
     for r in run(spark, sf, 1):
-        assert r["n_links"] == deg[r["vec_id"]]
+        assert (r["n_links"], r["component_id"], r["kept"]) == (deg[r["vec_id"]], comp[r["vec_id"]], comp[r["vec_id"]] == r["vec_id"])
+    small = near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), shard_bytes=1 << 12, slice_rows=100)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in small.collect()} == {i: (deg[i], comp[i]) for i in ids} and small.audit_recall >= 0.999
+
+
+def test_vectors_of_one_id_and_without_an_id(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.01], "c"), (None, [1.0, 0.0], "d"), (3, [0.01, 1.0], "e")]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string")).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
 
 
 def test_op2(spark, sf, docs):
