@@ -332,6 +332,26 @@ def test_many_hits_in_one_text_and_a_ledger_of_earlier_runs(spark, tmp_path):
     assert masked[1] == re.sub("[0-9a-f]{16,}", "[REDACTED:hex]", many) and masked[2] is None and masked[3] == ""
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline as P
+
+    for c in ("lang_pred", "row", "__key", "__hits", "hits", "_gone", "doc", "masked", "text2", "key", "deal"):
+        odd = odd.withColumn(c, F.lit("mine"))
+    spark.createDataFrame([(1, "stand here"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, stage in P.STAGES[:-1]:
+            out = P.materialize(stage(spark, now, str(tmp_path)), name)
+            assert out.dtypes == table.dtypes
+            rows = out.collect()
+            assert all(r["lang_pred"] == r["__key"] == r["_gone"] == "mine" and r["score"] == "x" for r in rows)
+            if name != "language":  # on all odd rows, too: only the pipeline drops what has no language
+                alone = stage(spark, table, str(tmp_path))
+                assert alone.columns == table.columns and alone.count() <= table.count()
+            now = out
+        assert P.STAGES[-1][1](spark, now, str(tmp_path)).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
 def test_pipeline_stages(spark, sf, docs):
     import corpus_pipeline as P
 
