@@ -10,9 +10,9 @@ first dealt by content:
 2. Blocks equal to an earlier one are repeated whole.  A gram with several
    different blocks needs their suffixes sorted; the first of each is fetched.
 3. Those suffixes are dealt again by the bytes on one side of the anchor and
-   sorted to depth ``length``: multikey quicksort on eight bytes at a time to the
-   depth ``SHALLOW``, then blind tries for the groups whose common prefix is
-   longer.  Of suffixes equal to the full depth, all but the earliest are repeats.
+   sorted to depth ``length``: multikey quicksort, whose characters are eight bytes,
+   to the depth ``SHALLOW``, then blind tries for the groups whose common prefix is
+   longer (a trie of two strings is one comparison).  Of suffixes equal to the full depth, all but the earliest are repeats.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from delvegraph.llm.worker import tidy
 GRAM, SHALLOW = 24, 32
 #: Bytes of text in one numpy step, and of a segment of a longer text.
 STEP, SEGMENT = 1 << 20, 1 << 22
+#: Bytes of text for each bucket of grams and suffixes, whatever the size of the corpus.
+PART_BYTES = 32 << 20
 _POSITION = np.uint64(24)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -338,6 +340,60 @@ class BlindTrie:
                 yield node[1]
 
 
+def multikey_quicksort(word: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the suffixes ``at`` inside each group by their first ``depth`` bytes.
+
+    ``word[i]`` is the eight bytes at ``i`` as a number: the characters of the sort.
+    All groups are partitioned at once, each by a pivot of its own (the median of
+    three), into less, equal and greater; only the equal part goes on to the next
+    eight bytes.  Returns (suffixes in order, class of each); groups of one are left out.
+    """
+    index = np.argsort(group, kind="stable")
+    head = np.flatnonzero(np.append(True, np.diff(group[index]) != 0)) if len(index) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(index)))
+    place, level = head.copy(), np.zeros(len(head), np.int64)  # where a group's sorted suffixes start; bytes known equal
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(head):
+        flat = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        index = index[flat]
+        head = np.cumsum(size) - size
+        deep = level >= depth
+        for some, keep in ((deep & (size > 1), True), (~deep & (size > 1), False)):
+            rows = np.repeat(some, size)
+            if keep:
+                if rows.any():
+                    done.append((index[rows], place[some], size[some]))
+            else:
+                index, place, level, size = index[rows], place[some], level[some], size[some]
+        if not len(size):
+            break
+        head = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        key = word[at[index] + level[owner]]
+        a, b, c = key[head], key[head + size // 2], key[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[owner]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        parts = np.bincount(owner * 3 + side, minlength=3 * len(size))
+        begin = np.cumsum(parts) - parts
+        to = np.empty(len(index), np.int64)
+        for k in range(3):
+            own = np.flatnonzero(side == k)
+            n = parts[k::3]
+            to[own] = np.repeat(begin[k::3] - (np.cumsum(n) - n), n) + np.arange(len(own))
+        moved = np.empty_like(index)
+        moved[to] = index
+        some = parts > 0
+        start = np.repeat(place - head, 3) + begin
+        index, head, size, place, level = moved, begin[some], parts[some], start[some], (np.repeat(level, 3) + 8 * (np.arange(len(parts)) % 3 == 1))[some]
+    if not done:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, size = np.concatenate([d[1] for d in done]), np.concatenate([d[2] for d in done])
+    index, begin = np.concatenate([d[0] for d in done]), np.cumsum(size) - size
+    order = np.argsort(place, kind="stable")
+    n = size[order]
+    return index[np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)
+
+
 def deep_shallow(raw: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort the suffixes ``at`` of ``raw`` inside each group to depth ``length``.
 
@@ -348,19 +404,9 @@ def deep_shallow(raw: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
     word = np.zeros(len(raw), np.uint64)
     for j in range(8):
         word = (word << np.uint64(8)) | padded[j : j + len(raw)]
-    index = np.arange(len(at))
-    cls = group
-    for depth in range(0, min(SHALLOW, length - 7), 8):  # multikey quicksort, eight bytes a step
-        key = word[at[index] + depth]
-        order = np.lexsort((key, cls))
-        index, cls, key = index[order], cls[order], key[order]
-        new = np.ones(len(index), bool)
-        new[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
-        cls = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        index, cls = index[~alone], cls[~alone]
-        if not len(index):
-            return index, cls
+    index, cls = multikey_quicksort(word, at, group, min(SHALLOW, length // 8 * 8))
+    if not len(index):
+        return index, cls
     start = min(SHALLOW, length // 8 * 8)
     heads = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
     sizes = np.diff(np.append(heads, len(cls)))
@@ -486,11 +532,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     bytes; others come in the order of their texts' hashes.  A null id comes before
     all others.  An empty table gives an empty result.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if not 2 * GRAM <= length <= 32_000:
+        raise ValueError(f"length must be {2 * GRAM} to 32000")
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    odd = plain.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    each = plain.select("doc_id", F.octet_length("text").alias("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+    odd, n_bytes = each.agg(F.coalesce(F.bool_or((F.col("n") > 1) | F.col("doc_id").isNull()), F.lit(False)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if odd:  # ids do not tell rows apart: number (id, text) pairs instead
         keyed = plain.withColumn("h", F.xxhash64("text")).withColumn("m", F.md5(F.col("text").cast("binary")))
         ranks = global_rank(keyed.select("doc_id", "h", "m").distinct(), ["doc_id", "h", "m"], "id")
@@ -498,7 +545,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         source = materialize(source, "numbered")
     else:
         source = plain.select(F.col("doc_id").alias("id"), "text")
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), -(-int(n_bytes) // PART_BYTES))
     buckets = 2 * parts
     message = "kind int, key long, blob binary"
     found = source.select("id", "text").mapInArrow(_find_blocks(length, buckets), message)

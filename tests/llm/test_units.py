@@ -141,6 +141,32 @@ def test_blind_trie_orders_and_groups():
     assert all(len({strings[i] for i in x}) == 1 for x in got) and sum(map(len, got)) == 80
 
 
+def test_multikey_quicksort_sorts_each_group():
+    raw = bytes(RNG.choice(b"ab") for _ in range(400)) * 2 + bytes(RNG.choice(b"abc") for _ in range(300))
+    word = np.array([int.from_bytes(raw[i : i + 8].ljust(8, b"\0"), "big") for i in range(len(raw))], np.uint64)
+    at = np.array([RNG.randrange(len(raw) - 32) for _ in range(900)])
+    group = np.array([RNG.randrange(5) for _ in at])
+    index, cls = suffix_dedup.multikey_quicksort(word, at, group, 16)
+    key = lambda i: (group[i], raw[at[i] : at[i] + 16])
+    same = {}
+    for i in range(len(at)):
+        same.setdefault(key(i), []).append(i)
+    want = [sorted(v) for k, v in sorted(same.items()) if len(v) > 1]
+    got = [sorted(index[cls == c].tolist()) for c in range(cls.max() + 1)]
+    assert got == want
+    assert [len(x) for x in suffix_dedup.multikey_quicksort(word, at[:0], group[:0], 16)] == [0, 0]
+
+
+def test_texts_longer_than_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
+    base = "".join(RNG.choice("abcdef ") for _ in range(2000))
+    texts = [base[:1500], base[700:] + base[:900], "x" * 1000]
+    ids = np.arange(3)
+    whole = suffix_dedup.blocks(ids, [t.encode() for t in texts], 100)
+    covered = {(int(o["doc"]), s) for o in whole for s in range(int(o["start"]), int(o["start"]) + int(o["size"]) - 99)}
+    assert covered == {(k, s) for k, t in enumerate(texts) for s in range(len(t) - 99)}
+
+
 def test_deep_shallow_finds_equal_suffixes():
     raw = np.frombuffer(bytes(RNG.choice(b"ab") for _ in range(60)) * 4 + bytes(RNG.choice(b"abc") for _ in range(200)), np.uint8)
     at = np.arange(len(raw) - 50)
