@@ -109,6 +109,8 @@ def teleport_prior(nodes: DataFrame, hot: DataFrame, beta: float = 0.7) -> DataF
 def hits(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """(id, authority, hub), each L2-normalised every round, from 1/sqrt(n)."""
     n = nodes.count()
+    edges = stage(edges.select("src", "dst", "w"), "edges")  # both products of every round read them
+    held = None
     state = nodes.select("id", F.lit(1.0 / max(n, 1) ** 0.5).alias("authority"), F.lit(1.0 / max(n, 1) ** 0.5).alias("hub"))
 
     def normed(df: DataFrame, c: str) -> DataFrame:
@@ -125,6 +127,9 @@ def hits(nodes: DataFrame, edges: DataFrame, tol: float = 1e-6, max_iter: int =
         new = stage(both, "hits", change=F.sum(F.abs(F.col("authority") - F.col("a0")) + F.abs(F.col("hub") - F.col("h0"))))
         change = new.measured["change"]
         state = new.select("id", "authority", "hub")
+        if held is not None:
+            unstage(held)
+        held = new
         if change is None or change < tol:
             break
     return state

@@ -131,12 +131,17 @@ def naming_vote(names: DataFrame, least: int = 20, share: float = 0.90) -> DataF
 def confusable_names(names: DataFrame, most: int = 1) -> DataFrame:
     """(scope, a, b, distance) of names of one scope within ``most`` edits, a < b.
 
-    Names are joined on a deletion neighbourhood (the name with one character
-    left out), so only near names ever meet.
+    Names are joined on a deletion neighbourhood (the name with up to ``most``
+    characters left out), so only near names ever meet.
     """
+    if most > 2:
+        raise ValueError("names more than two edits apart are no confusables")
     n = names.select("scope", "name").distinct()
-    short = F.array_distinct(F.concat(F.array("name"), F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.length("name"))))))
-    keyed = n.withColumn("k", F.explode(short))
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    keyed = n.withColumn("ks", F.array(F.col("name")))
+    for _ in range(most):
+        keyed = keyed.withColumn("ks", F.array_distinct(F.concat("ks", F.flatten(F.transform("ks", lambda x: F.when(F.length(x) > 0, without(x)).otherwise(F.array(x)))))))
+    keyed = keyed.withColumn("k", F.explode("ks")).select("scope", "name", "k")
     pairs = keyed.select("scope", "k", F.col("name").alias("a")).join(keyed.select("scope", "k", F.col("name").alias("b")), ["scope", "k"]).filter("a < b").select("scope", "a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)
 

@@ -83,9 +83,11 @@ def external_surface(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``points(file, at, ...)`` with ``sym_id`` of the innermost span (file, start, stop)
-    that holds them, NULL where none does."""
-    p = points.withColumn("_p", F.monotonically_increasing_id()) if "point_id" not in points.columns else points.withColumn("_p", F.col("point_id"))
+    """``points(point_id, file, at, ...)`` with ``sym_id`` of the innermost span (file, start,
+    stop) that holds them, NULL where none does.  ``point_id`` tells the points apart."""
+    if "point_id" not in points.columns:
+        raise ValueError("points need a point_id")
+    p = points.withColumn("_p", F.col("point_id"))
     hit = p.join(spans.select("sym_id", F.col("file").alias("_f"), "start", "stop"), (F.col("file") == F.col("_f")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop")))
     inner = hit.groupBy("_p").agg(F.max_by("sym_id", F.struct("start", "sym_id")).alias("sym_id"))
     return p.join(inner, "_p", "left").drop("_p")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from re import _constants as op
+from re import _parser as parser
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,57 +15,101 @@ class UnsafePattern(ValueError):
     """The pattern may take exponential time or means different things to different engines."""
 
 
+_REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT)
+
+
+def _prefix(item) -> str | None:
+    """The literal that an alternative begins with; None if it begins with something else."""
+    out = ""
+    for what, value in item:
+        if what is not op.LITERAL:
+            break
+        out += chr(value)
+    return out or None
+
+
+def _parts(what, value) -> list:
+    """What an element of a pattern holds."""
+    if what in _REPEATS:
+        return [value[2]]
+    if what is op.SUBPATTERN:
+        return [value[3]]
+    if what is op.ATOMIC_GROUP:
+        return [value]
+    return list(value[1]) if what is op.BRANCH else []
+
+
+def _check(items, repeated: bool) -> None:
+    for what, value in items:
+        if what in (op.GROUPREF, op.GROUPREF_EXISTS, op.ASSERT, op.ASSERT_NOT):
+            raise UnsafePattern("back references and look-around are not portable")
+        open_ended = what in _REPEATS and value[1] is op.MAXREPEAT
+        if open_ended and repeated:
+            raise UnsafePattern("a repeated group holds a repeat")
+        if what is op.BRANCH and repeated:
+            heads = [_prefix(alt) for alt in value[1]]
+            if None in heads or any(a != b and b.startswith(a) or heads.count(a) > 1 for a in heads for b in heads):
+                raise UnsafePattern("a repeated group holds alternatives that may match alike")
+        for part in _parts(what, value):
+            _check(part, repeated or open_ended)
+
+
 def check_pattern(pattern: str) -> None:
-    """Refuse nested unbounded repeats, back references and look-around."""
-    if re.search(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]", pattern):
-        raise UnsafePattern("a repeated group holds a repeat")
-    if re.search(r"\\[1-9]|\(\?[=!<]", pattern):
-        raise UnsafePattern("back references and look-around are not portable")
+    """Refuse nested unbounded repeats, ambiguous alternatives inside one, back references and look-around."""
     try:
         re.compile(pattern)
-    except re.error as e:
+        parsed = parser.parse(pattern)
+    except (re.error, OverflowError) as e:
         raise UnsafePattern(str(e)) from None
+    _check(parsed, False)
 
 
-def required_literals(pattern: str, least: int = 3) -> list[str]:
-    """Literal runs that every match holds; none where alternatives leave that open."""
-    if "|" in pattern:
+def required_literals(pattern: str, least: int = 3) -> list[list[str]]:
+    """Sets of literals: every match holds one of each set.
+
+    Read off the parsed pattern, so escapes, classes and repeats mean what they mean;
+    none where flags or escapes that engines read differently leave it open.
+    """
+    if re.search(r"\\[0-9QEpPhHRXGzZ]|\\c", pattern):
         return []
-    out, run, i = [], "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        nxt = pattern[i + 1] if i + 1 < len(pattern) else ""
-        if c in "([{":
-            depth, close = 1, {"(": ")", "[": "]", "{": "}"}[c]
-            i += 1
-            while i < len(pattern) and depth:
-                if pattern[i] == "\\":
-                    i += 1
-                elif pattern[i] == close:
-                    depth -= 1
-                elif pattern[i] == c and c != "[":
-                    depth += 1
-                i += 1
-            out.append(run)
-            run = ""
-            continue
-        if c == "\\" and nxt and not nxt.isalnum():
-            c, i = nxt, i + 1
-            nxt = pattern[i + 1] if i + 1 < len(pattern) else ""
-        elif c in ".^$\\*+?":
-            out.append(run)
-            run, i = "", i + (2 if c == "\\" else 1)
-            continue
-        if nxt and nxt in "*?{":
-            out.append(run)
+    try:
+        parsed = parser.parse(pattern)
+    except re.error:
+        return []
+    if parsed.state.flags & ~re.UNICODE.value:
+        return []
+
+    def walk(items) -> list[list[str]]:
+        out: list[list[str]] = []
+        run = ""
+
+        def flush() -> None:
+            nonlocal run
+            if len(run) >= least:
+                out.append([run])
             run = ""
-        else:
-            run += c
-            if nxt == "+":
-                out.append(run)
-                run = c
-        i += 1
-    return [r for r in [*out, run] if len(r) >= least]
+
+        for what, value in items:
+            if what is op.LITERAL:
+                run += chr(value)
+                continue
+            if what is op.AT:
+                continue
+            flush()
+            if what in _REPEATS and value[0] >= 1:
+                out += walk(value[2])
+            elif what is op.SUBPATTERN and not value[1] and not value[2]:
+                out += walk(value[3])
+            elif what is op.ATOMIC_GROUP:
+                out += walk(value)
+            elif what is op.BRANCH:
+                sides = [walk(alt) for alt in value[1]]
+                if all(sides):  # of each alternative its most telling set
+                    out.append(sorted({lit for side in sides for lit in max(side, key=lambda s: min(map(len, s)))}))
+        flush()
+        return out
+
+    return walk(parsed)
 
 
 def lines_of(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -71,14 +118,14 @@ def lines_of(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
 
 
 def grep(docs: DataFrame, pattern: str, regex: bool = True, prefilter: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, line, body) of matching lines.  The prefilter drops whole texts that lack a
-    literal every match needs, before they are split; it never changes the result."""
+    """(id, line, body) of matching lines.  The prefilter drops whole texts that lack the
+    literals every match needs, before they are split; it never changes the result."""
     if regex:
         check_pattern(pattern)
     source = docs
     if prefilter:
-        for lit in required_literals(pattern) if regex else [pattern]:
-            source = source.filter(F.col(text_col).contains(lit))
+        for some in required_literals(pattern) if regex else [[pattern]]:
+            source = source.filter(functools.reduce(lambda a, b: a | b, (F.col(text_col).contains(lit) for lit in some)))
     found = lines_of(source, id_col, text_col)
     return found.filter(F.col("body").rlike(pattern) if regex else F.col("body").contains(pattern))
 

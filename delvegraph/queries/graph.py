@@ -26,24 +26,24 @@ def graph_query_fanin(spark, sf):
 
 
 @query(
-    f"{OFTEN}, seed AS (SELECT id FROM nodes WHERE name = 'blue anvil'), h1 AS (SELECT DISTINCT dst AS id FROM often WHERE src IN (SELECT id FROM seed)), "
-    "h2 AS (SELECT DISTINCT dst AS id FROM often WHERE src IN (SELECT id FROM h1)) SELECT id, name, kind, cx, file FROM nodes WHERE id IN (SELECT id FROM h1 UNION SELECT id FROM h2) AND id NOT IN (SELECT id FROM seed)"
+    f"{GRAPH}, seed AS (SELECT id FROM nodes WHERE name = 'blue anvil'), h1 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM seed)), "
+    "h2 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM h1)) SELECT id, name, kind, cx, file FROM nodes WHERE id IN (SELECT id FROM h1 UNION SELECT id FROM h2) AND id NOT IN (SELECT id FROM seed)"
 )
 def graph_query_callees_two_hops(spark, sf):
-    return graph_query('callees(name("blue anvil"), 2)', nodes(spark, sf), often(spark, sf))
+    return graph_query('callees(name("blue anvil"), 2)', nodes(spark, sf), edges(spark, sf))
 
 
-_REACH = "{w}, r(id, hop) AS (SELECT id, 0 FROM nodes WHERE {seed} UNION SELECT {to}, r.hop + 1 FROM r JOIN often ON often.{at} = r.id WHERE r.hop < {most}) SELECT id, min(hop)::INTEGER AS hop FROM r GROUP BY id HAVING min(hop) > 0"
+_REACH = "{w}, r(id, hop) AS (SELECT id, 0 FROM nodes WHERE {seed} UNION SELECT {to}, r.hop + 1 FROM r JOIN edges ON edges.{at} = r.id WHERE r.hop < {most}) SELECT id, min(hop)::INTEGER AS hop FROM r GROUP BY id HAVING min(hop) > 0"
 
 
-@query(_REACH.format(w=OFTEN, seed="id = 0", to="src", at="dst", most=40))
+@query(_REACH.format(w=GRAPH, seed="id = 0", to="src", at="dst", most=40))
 def impact_hops(spark, sf):
-    return G.reach(often(spark, sf), nodes(spark, sf).filter("id = 0"), forward=False)
+    return G.reach(edges(spark, sf), nodes(spark, sf).filter("id = 0"), forward=False)
 
 
-@query(_REACH.format(w=OFTEN, seed="id % 40 = 7", to="dst", at="src", most=40))
+@query(_REACH.format(w=GRAPH, seed="id % 40 = 7", to="dst", at="src", most=40))
 def forward_reach_hops(spark, sf):
-    return G.reach(often(spark, sf), nodes(spark, sf).filter("id % 40 = 7"), forward=True)
+    return G.reach(edges(spark, sf), nodes(spark, sf).filter("id % 40 = 7"), forward=True)
 
 
 @query(f"{GRAPH} SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY id")
@@ -56,58 +56,71 @@ def weighted_call_edges(spark, sf):
     return rounded(edges(spark, sf), "w")
 
 
-def _rank_sql(prior: str, rounds: int) -> str:
-    sql = f"{GRAPH}, p AS ({prior}), wout AS (SELECT src, sum(w) AS wo FROM edges GROUP BY src), r0 AS (SELECT id, p AS rank FROM p)"
-    for k in range(1, rounds + 1):
+#: Rounds that the SQL has at hand; the stop rule picks the first whose change is below 1e-6.
+_ROUNDS = 24
+
+
+def _stopped(names: str, column: str, rounds: int) -> str:
+    """The rows of the first round whose change is below the tolerance."""
+    all_ = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {names}{k}" for k in range(1, rounds + 1))
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, c FROM c{k}" for k in range(1, rounds + 1))
+    return f"SELECT {column} FROM ({all_}) WHERE k = (SELECT min(k) FROM ({changes}) WHERE c < 1e-6)"
+
+
+def _rank_sql(prior: str) -> str:
+    sql = f"{GRAPH}, p AS MATERIALIZED ({prior}), wout AS MATERIALIZED (SELECT src, sum(w) AS wo FROM edges GROUP BY src), li AS MATERIALIZED (SELECT e.src, e.dst, e.w / o.wo AS share FROM edges e JOIN wout o USING (src)), r0 AS (SELECT id, p AS rank FROM p)"
+    for k in range(1, _ROUNDS + 1):
         sql += (
             f", d{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k-1} WHERE id NOT IN (SELECT src FROM wout))"
-            f", f{k} AS (SELECT e.dst AS id, sum(e.w / o.wo * r.rank) AS inflow FROM edges e JOIN wout o USING (src) JOIN r{k-1} r ON r.id = e.src GROUP BY e.dst)"
-            f", r{k} AS (SELECT p.id, 0.85 * coalesce(f.inflow, 0) + (0.85 * d.lost + 0.15) * p.p AS rank FROM p LEFT JOIN f{k} f USING (id) CROSS JOIN d{k} d)"
+            f", f{k} AS (SELECT l.dst AS id, sum(l.share * r.rank) AS inflow FROM li l JOIN r{k-1} r ON r.id = l.src GROUP BY l.dst)"
+            f", r{k} AS MATERIALIZED (SELECT p.id, 0.85 * coalesce(f.inflow, 0) + (0.85 * d.lost + 0.15) * p.p AS rank FROM p LEFT JOIN f{k} f USING (id) CROSS JOIN d{k} d)"
+            f", c{k} AS (SELECT sum(abs(x.rank - y.rank)) AS c FROM r{k} x JOIN r{k-1} y USING (id))"
         )
-    return f"{sql} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+    return f"{sql} {_stopped('r', 'id, round(rank, 9) AS rank', _ROUNDS)}"
 
 
 _UNIFORM = "SELECT id, 1.0 / (SELECT count(*) FROM nodes)::DOUBLE AS p FROM nodes"
 
 
-@query(_rank_sql(_UNIFORM, 5))
+@query(_rank_sql(_UNIFORM))
 def pagerank_uniform(spark, sf):
-    return rounded(G.personalized_pagerank(nodes(spark, sf), edges(spark, sf), tol=0, max_iter=5), "rank", digits=9)
+    return rounded(G.personalized_pagerank(nodes(spark, sf), edges(spark, sf)), "rank", digits=9)
 
 
 _NAMED = "SELECT id, u / (sum(u) OVER ()) AS p FROM (SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 5 THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN starts_with(name, '_') THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN length(name) >= 8 AND contains(name, ' ') THEN 1.7 ELSE 1.0 END::DOUBLE AS u FROM nodes)"
 
 
-@query(_rank_sql(_NAMED, 4))
+@query(_rank_sql(_NAMED))
 def pagerank_name_prior(spark, sf):
     n = nodes(spark, sf)
-    return rounded(G.personalized_pagerank(n, edges(spark, sf), G.name_prior(n), tol=0, max_iter=4), "rank", digits=9)
+    return rounded(G.personalized_pagerank(n, edges(spark, sf), G.name_prior(n)), "rank", digits=9)
 
 
 _HOT = "SELECT id, 0.3::DOUBLE / (SELECT count(*) FROM nodes) + CASE WHEN file = 'src/brand7.py' THEN 0.7::DOUBLE / (SELECT count(*) FROM nodes WHERE file = 'src/brand7.py') ELSE 0 END AS p FROM nodes"
 
 
-@query(_rank_sql(_HOT, 4))
+@query(_rank_sql(_HOT))
 def pagerank_changed_files(spark, sf):
     n = nodes(spark, sf)
-    return rounded(G.personalized_pagerank(n, edges(spark, sf), G.teleport_prior(n, n.filter("file = 'src/brand7.py'")), tol=0, max_iter=4), "rank", digits=9)
+    return rounded(G.personalized_pagerank(n, edges(spark, sf), G.teleport_prior(n, n.filter("file = 'src/brand7.py'"))), "rank", digits=9)
 
 
-def _hits_sql(rounds: int) -> str:
-    sql = f"{GRAPH}, h0 AS (SELECT id, 1.0 / sqrt((SELECT count(*) FROM nodes)) AS hub FROM nodes)"
+def _hits_sql(rounds: int = 16) -> str:
+    sql = f"{GRAPH}, ed AS MATERIALIZED (SELECT * FROM edges), h0 AS (SELECT id, 1.0 / sqrt((SELECT count(*) FROM nodes)) AS hub, 1.0 / sqrt((SELECT count(*) FROM nodes)) AS authority FROM nodes)"
     for k in range(1, rounds + 1):
         sql += (
-            f", ar{k} AS (SELECT n.id, coalesce(sum(e.w * h.hub), 0) AS v FROM nodes n LEFT JOIN edges e ON e.dst = n.id LEFT JOIN h{k-1} h ON h.id = e.src GROUP BY n.id)"
-            f", a{k} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM ar{k}) AS authority FROM ar{k})"
-            f", hr{k} AS (SELECT n.id, coalesce(sum(e.w * a.authority), 0) AS v FROM nodes n LEFT JOIN edges e ON e.src = n.id LEFT JOIN a{k} a ON a.id = e.dst GROUP BY n.id)"
-            f", h{k} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM hr{k}) AS hub FROM hr{k})"
+            f", ar{k} AS (SELECT n.id, coalesce(sum(e.w * h.hub), 0) AS v FROM nodes n LEFT JOIN ed e ON e.dst = n.id LEFT JOIN h{k-1} h ON h.id = e.src GROUP BY n.id)"
+            f", a{k} AS MATERIALIZED (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM ar{k}) AS authority FROM ar{k})"
+            f", hr{k} AS (SELECT n.id, coalesce(sum(e.w * a.authority), 0) AS v FROM nodes n LEFT JOIN ed e ON e.src = n.id LEFT JOIN a{k} a ON a.id = e.dst GROUP BY n.id)"
+            f", h{k} AS MATERIALIZED (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM hr{k}) AS hub, authority FROM hr{k} JOIN a{k} USING (id))"
+            f", c{k} AS (SELECT sum(abs(x.hub - y.hub) + abs(x.authority - y.authority)) AS c FROM h{k} x JOIN h{k-1} y USING (id))"
         )
-    return f"{sql} SELECT id, round(authority, 9) AS authority, round(hub, 9) AS hub FROM a{rounds} JOIN h{rounds} USING (id)"
+    return f"{sql} {_stopped('h', 'id, round(authority, 9) AS authority, round(hub, 9) AS hub', rounds)}"
 
 
-@query(_hits_sql(3))
+@query(_hits_sql())
 def hits_scores(spark, sf):
-    return rounded(G.hits(nodes(spark, sf), edges(spark, sf), tol=0, max_iter=3), "authority", "hub", digits=9)
+    return rounded(G.hits(nodes(spark, sf), edges(spark, sf)), "authority", "hub", digits=9)
 
 
 _TWO = f"{GRAPH}, a AS (SELECT dst AS id, count(*)::DOUBLE AS score FROM edges GROUP BY dst), b AS (SELECT id, cx::DOUBLE AS score FROM nodes)"
@@ -153,13 +166,13 @@ def dependency_cycles(spark, sf):
     return G.cycles(edges(spark, sf))
 
 
-_FILES = f"{GRAPH}, fe AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file < b.file AND e.n_ref >= 2), files AS (SELECT DISTINCT file AS id FROM nodes)"
+_FILES = f"{GRAPH}, fe AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.file <> b.file), files AS (SELECT DISTINCT file AS id FROM nodes)"
 
 
-def _file_graph(spark, sf, acyclic: bool = True):
+def _file_graph(spark, sf):
     n = nodes(spark, sf)
-    e = often(spark, sf).join(n.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
-    return e.filter("a < b" if acyclic else "a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), n.select(F.col("file").alias("id")).distinct()
+    e = edges(spark, sf).join(n.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
+    return e.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), n.select(F.col("file").alias("id")).distinct()
 
 
 @query(
@@ -249,22 +262,22 @@ def coupling_between_objects(spark, sf):
 
 
 @query(
-    f"{OFTEN}, a0 AS (SELECT id, file AS cell, (cx % 5 = 0)::INTEGER AS reads, (cx % 7 = 0)::INTEGER AS writes FROM nodes), "
-    "up(id, cell, reads, writes) AS (SELECT id, cell, reads, writes FROM a0 UNION SELECT o.src, up.cell, up.reads, up.writes FROM up JOIN often o ON o.dst = up.id) SELECT id, cell, max(reads)::INTEGER AS reads, max(writes)::INTEGER AS writes FROM up GROUP BY id, cell"
+    f"{GRAPH}, a0 AS (SELECT id, file AS cell, (cx % 5 = 0)::INTEGER AS reads, (cx % 7 = 0)::INTEGER AS writes FROM nodes), "
+    "up(id, cell, reads, writes) AS (SELECT id, cell, reads, writes FROM a0 UNION SELECT o.src, up.cell, up.reads, up.writes FROM up JOIN edges o ON o.dst = up.id) SELECT id, cell, max(reads)::INTEGER AS reads, max(writes)::INTEGER AS writes FROM up GROUP BY id, cell"
 )
 def state_access_closure(spark, sf):
     access = nodes(spark, sf).select("id", F.col("file").alias("cell"), (F.col("cx") % 5 == 0).cast("int").alias("reads"), (F.col("cx") % 7 == 0).cast("int").alias("writes"))
-    return quality.propagate_bits(often(spark, sf), access)
+    return quality.propagate_bits(edges(spark, sf), access)
 
 
 @query()
 def louvain_communities(spark, sf):
-    return kernels.communities(often(spark, sf))
+    return kernels.communities(edges(spark, sf))
 
 
 @query()
 def community_zoom(spark, sf):
-    return kernels.zoom(often(spark, sf))
+    return kernels.zoom(edges(spark, sf))
 
 
 @query()
@@ -293,7 +306,7 @@ def file_kind_rollup(spark, sf):
 
 
 @query(
-    f"{OFTEN}, inh AS (SELECT DISTINCT a.id AS derived, b.id AS base FROM often e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.kind IN ('cls', 'struct', 'iface') AND b.kind IN ('cls', 'struct', 'iface')), "
+    f"{GRAPH}, inh AS (SELECT DISTINCT a.id AS derived, b.id AS base FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.kind IN ('cls', 'struct', 'iface') AND b.kind IN ('cls', 'struct', 'iface')), "
     "up(id) AS (SELECT base FROM inh WHERE derived % 40 = 3 UNION SELECT base FROM up JOIN inh ON inh.derived = up.id), dn(id) AS (SELECT derived FROM inh WHERE base % 40 = 3 UNION SELECT derived FROM dn JOIN inh ON inh.base = dn.id) "
     "SELECT id FROM nodes WHERE id % 40 = 3 UNION SELECT id FROM up UNION SELECT id FROM dn"
 )
@@ -302,38 +315,38 @@ def class_cones(spark, sf):
 
     n = nodes(spark, sf)
     c = n.filter(F.col("kind").isin("cls", "struct", "iface")).select("id")
-    inh = often(spark, sf).join(c.select(F.col("id").alias("src")), "src", "left_semi").join(c.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("derived"), F.col("dst").alias("base"))
+    inh = edges(spark, sf).join(c.select(F.col("id").alias("src")), "src", "left_semi").join(c.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("derived"), F.col("dst").alias("base"))
     return bundles.class_cone(inh, n.filter("id % 40 = 3"))
 
 
-@query(f"{OFTEN}, r(id) AS (SELECT id FROM nodes WHERE name LIKE 'red%' UNION SELECT src FROM r JOIN often ON often.dst = r.id) SELECT id FROM r")
+@query(f"{GRAPH}, r(id) AS (SELECT id FROM nodes WHERE name LIKE 'red%' UNION SELECT src FROM r JOIN edges ON edges.dst = r.id) SELECT id FROM r")
 def impure_symbols(spark, sf):
     from delvegraph.operators import bundles
 
-    return bundles.impure(nodes(spark, sf), often(spark, sf), "^red")
+    return bundles.impure(nodes(spark, sf), edges(spark, sf), "^red")
 
 
 @query(
-    f"{OFTEN}, ch AS (SELECT id FROM nodes WHERE id % 90 = 1), r(id, hop) AS (SELECT id, 0 FROM ch UNION SELECT often.src, r.hop + 1 FROM r JOIN often ON often.dst = r.id WHERE r.hop < 30), m AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) "
+    f"{GRAPH}, ch AS (SELECT id FROM nodes WHERE id % 90 = 1), r(id, hop) AS (SELECT id, 0 FROM ch UNION SELECT edges.src, r.hop + 1 FROM r JOIN edges ON edges.dst = r.id WHERE r.hop < 30), m AS (SELECT id, min(hop) AS hop FROM r GROUP BY id) "
     "SELECT id, CASE WHEN hop = 0 THEN 'changed' WHEN hop = 1 THEN 'caller' ELSE 'radius' END AS role, hop::INTEGER AS hop FROM m"
 )
 def change_situation(spark, sf):
     from delvegraph.operators import bundles
 
     n = nodes(spark, sf)
-    return bundles.situation(n, often(spark, sf), n.filter("id % 90 = 1"))
+    return bundles.situation(n, edges(spark, sf), n.filter("id % 90 = 1"))
 
 
 @query(
-    f"{OFTEN}, tr(id) AS (SELECT id FROM nodes WHERE starts_with(file, 'tests/') UNION SELECT dst FROM tr JOIN often ON often.src = tr.id), td AS (SELECT id FROM tr WHERE id NOT IN (SELECT id FROM nodes WHERE starts_with(file, 'tests/'))), "
-    "f AS (SELECT dst AS id, count(*) AS fan_in FROM often GROUP BY dst) SELECT n.id, n.name, n.file FROM nodes n LEFT JOIN f USING (id) WHERE kind = 'fn' "
+    f"{GRAPH}, tr(id) AS (SELECT id FROM nodes WHERE starts_with(file, 'tests/') UNION SELECT dst FROM tr JOIN edges ON edges.src = tr.id), td AS (SELECT id FROM tr WHERE id NOT IN (SELECT id FROM nodes WHERE starts_with(file, 'tests/'))), "
+    "f AS (SELECT dst AS id, count(*) AS fan_in FROM edges GROUP BY dst) SELECT n.id, n.name, n.file FROM nodes n LEFT JOIN f USING (id) WHERE kind = 'fn' "
     "ORDER BY (cx > 40)::INTEGER, starts_with(file, 'tests/')::INTEGER, (n.id IN (SELECT id FROM td))::INTEGER DESC, coalesce(fan_in, 0) DESC, cx, cx, n.id LIMIT 1"
 )
 def exemplar_symbol(spark, sf):
     from delvegraph.operators import bundles
 
     n = nodes(spark, sf).withColumn("ccx", F.col("cx")).withColumn("loc", F.col("cx"))
-    return bundles.exemplar(n, often(spark, sf), "fn", ceiling=40).select("id", "name", "file")
+    return bundles.exemplar(n, edges(spark, sf), "fn", ceiling=40).select("id", "name", "file")
 
 
 @query(
@@ -354,7 +367,7 @@ def task_bundle(spark, sf):
 def partitioned_bundle(spark, sf):
     from delvegraph.operators import bundles
 
-    n, e = nodes(spark, sf), often(spark, sf)
+    n, e = nodes(spark, sf), edges(spark, sf)
     fan = G.fan(e).select("id", F.col("fan_in").alias("shared"))
     sizes = n.select("id", F.col("cx").alias("size")).join(fan, "id", "left").fillna(0, ["shared"])
     return bundles.partition_bins(sizes, kernels.communities(e), 4)
