@@ -157,7 +157,7 @@ def partition_bins(sizes: DataFrame, communities: DataFrame, bins: int, core_sha
     from delvegraph.operators.kernels import pack_bins
 
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    core = within_budget(sizes, [F.desc("shared"), F.col("id")], F.col("size"), core_share * total).select("id", F.lit(-1).alias("bin"))
+    core = within_budget(sizes, [(F.col("shared"), False), F.col("id")], F.col("size"), core_share * total).select("id", F.lit(-1).alias("bin"))
     rest = sizes.join(core, "id", "left_anti").join(communities, "id")
     groups = [(r["community"], r["s"]) for r in rest.groupBy("community").agg(F.sum("size").alias("s")).collect()]  # one row a community
     table = sizes.sparkSession.createDataFrame([(int(c), int(b)) for c, b in pack_bins(groups, bins).items()] or [(-1, 0)], "community int, bin int")

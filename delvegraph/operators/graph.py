@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvegraph.plans.ranking import numbered
 from delvegraph.plans.staging import stage, unstage
 
 
@@ -139,7 +140,7 @@ def fused_rank(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """(id, score): reciprocal rank fusion, the sum of 1 / (k + place), places from 0."""
     out = None
     for r in rankings:
-        place = r.select("id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("place"))
+        place = numbered(r.select("id", "score"), [(F.col("score"), False), F.col("id")], "place")
         one = place.select("id", (1.0 / (k + F.col("place"))).alias("part"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("id").agg(F.sum("part").alias("score"))

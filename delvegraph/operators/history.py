@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvegraph.plans.ranking import numbered
+
 
 def absent_lines(authored: DataFrame, head: DataFrame) -> DataFrame:
     """(ref, path, n_stray): authored lines(ref, path, line) that HEAD(path, line) lacks, as multisets."""
@@ -111,4 +113,9 @@ def gate_masters(links: DataFrame, defaults: DataFrame, levels: int = 8) -> Data
 
 def newest_first_windows(commits: DataFrame, k: int = 3) -> DataFrame:
     """(commit_id, slot): equal-count windows by ordinal."""
-    return commits.select("commit_id", F.ntile(k).over(Window.orderBy("ordinal")).alias("slot"))
+    placed = numbered(commits.select("commit_id", "ordinal"), [F.col("ordinal"), F.col("commit_id")], "nth")
+    n = commits.count()
+    small, more = divmod(n, k)  # the first ``more`` windows hold one commit more
+    edge = more * (small + 1)
+    slot = F.when(F.col("nth") < edge, F.floor(F.col("nth") / (small + 1))).otherwise(F.lit(more) + F.floor((F.col("nth") - edge) / max(small, 1)))
+    return placed.select("commit_id", (slot + 1).cast("int").alias("slot"))

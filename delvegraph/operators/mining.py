@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvegraph.operators.history import newest_first_windows
+
 HALF_LIFE_DAYS = 182.5
 BULK = 30
 
@@ -25,7 +27,7 @@ def cochange_pairs(commits: DataFrame, commit_files: DataFrame, support: int = 3
     """
     cf = sized(commit_files, bulk)
     n = commits.count()
-    slot = commits.select("commit_id", F.ntile(max(1, min(windows, n))).over(Window.orderBy("ordinal")).alias("slot")) if n else commits.select("commit_id", F.lit(1).alias("slot"))
+    slot = newest_first_windows(commits, max(1, min(windows, n)))
     a = cf.join(slot, "commit_id").select("commit_id", "slot", F.col("file").alias("a"))
     pairs = a.join(cf.select("commit_id", F.col("file").alias("b")), "commit_id").filter("a < b")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"), F.bit_count(F.bit_or(F.expr("shiftleft(1, slot)"))).alias("recur")).filter(F.col("together") >= support)

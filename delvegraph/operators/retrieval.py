@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delvegraph.functions.text import pinned, subtokens
+from delvegraph.plans.ranking import numbered
 from delvegraph.plans.staging import stage
 
 K1, B = 1.5, 0.75
@@ -127,13 +128,15 @@ def recall_documents(scores: DataFrame, sections: DataFrame, generated: DataFram
     ``sections(id, path)``; ``generated(path)``."""
     best = scores.join(sections, "id").groupBy("path").agg(F.max("score").alias("score")).filter("score > 0")
     late = best.withColumn("generated", F.lit(0)) if generated is None else best.join(generated.select("path", F.lit(1).alias("generated")).distinct(), "path", "left").fillna(0, ["generated"])
-    return late.withColumn("place", F.row_number().over(Window.orderBy("generated", F.desc("score"), "path"))).select("path", "score", "place")
+    placed = numbered(late, [F.col("generated"), (F.col("score"), False), F.col("path")], "place")
+    return placed.select("path", "score", (F.col("place") + 1).cast("int").alias("place"))
 
 
-def within_budget(rows: DataFrame, order: list[Column], cost: Column, budget: float) -> DataFrame:
-    """The longest prefix of ``rows`` in ``order`` whose summed cost stays within the budget."""
-    run = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("cost_so_far", run).filter(F.col("cost_so_far") <= budget)
+def within_budget(rows: DataFrame, order: list[Column | tuple[Column, bool]], cost: Column, budget: float) -> DataFrame:
+    """The longest prefix of ``rows`` in ``order`` (a column, or a column and whether it
+    ascends) whose summed cost stays within the budget."""
+    run = numbered(rows, order, "__nth", cost, "cost_so_far")
+    return run.filter(F.col("cost_so_far") <= budget).drop("__nth")
 
 
 def retrieval_metrics(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:

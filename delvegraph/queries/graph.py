@@ -176,7 +176,7 @@ def _file_graph(spark, sf):
 
 
 @query(
-    f"{_FILES}, r(a, b) AS (SELECT src, dst FROM fe UNION SELECT r.a, fe.dst FROM r JOIN fe ON fe.src = r.b), t AS (SELECT (SELECT count(*) FROM files) AS n, (SELECT count(*) FROM files) + (SELECT count(*) FROM r) AS ccd) "
+    f"{_FILES}, r(a, b) AS (SELECT src, dst FROM fe UNION SELECT r.a, fe.dst FROM r JOIN fe ON fe.src = r.b), t AS (SELECT (SELECT count(*) FROM files) AS n, (SELECT count(*) FROM files) + (SELECT count(*) FROM r WHERE a <> b) AS ccd) "
     "SELECT n, ccd, round(ccd / n::DOUBLE, 6) AS acd, round(ccd / ((n + 1) * log2(n + 1) - n), 6) AS nccd, round(ccd / (n::DOUBLE * n), 6) AS propagation FROM t"
 )
 def dependency_health(spark, sf):

@@ -94,7 +94,7 @@ _TOP = "SELECT id, coalesce(s / sum(s) OVER (), 0)::DOUBLE AS p FROM (SELECT nod
 
 
 @query(
-    f"WITH pr AS ({_rank_sql(_TOP)}), lx AS (SELECT p_partkey AS id, p_size::DOUBLE AS score FROM part WHERE p_size >= 40) "
+    f"WITH pr AS ({_rank_sql(_TOP).replace('round(rank, 9)', 'rank')}), lx AS (SELECT p_partkey AS id, p_size::DOUBLE AS score FROM part WHERE p_size >= 40) "
     "SELECT pr.id, round(0.7::DOUBLE * coalesce(lx.score, 0) / (SELECT max(score) FROM lx) + 0.3::DOUBLE * pr.rank / (SELECT max(rank) FROM pr), 6) AS score FROM pr LEFT JOIN lx USING (id)"
 )
 def anchored_scores(spark, sf):

@@ -75,11 +75,11 @@ COMMITS = "WITH RECURSIVE commits AS (SELECT o_orderkey AS commit_id, o_orderdat
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from delvegraph.plans.ranking import numbered
 
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("author"), F.row_number().over(Window.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).alias("ordinal")
-    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("author"))
+    placed = numbered(rows, [(F.col("ts"), False), (F.col("commit_id"), False)], "ordinal")
+    return placed.withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,19 +142,23 @@ def approx_rows(path: str, lang: str, text: str) -> list[dict]:
     """Definitions, calls and imports by lines and braces."""
     base = {"path": path, "lang": lang, "extractor": "approx"}
     rows, at, defs = [], 0, set()
-    for no, line in enumerate(text.split("\n"), 1):
+    lines = text.split("\n")
+    # of every line: how it changes the depth, whether it may end a definition, its bytes with the line feed
+    shape = [(x.count("{") - x.count("}"), "}" in x or ";" in x or lang in ("ruby", "bash"), len(x.encode()) + 1) for x in lines]
+    for no, line in enumerate(lines, 1):
         for kind, rx in _DEFS.get(lang, _DEFS[""]):
             m = re.match(rx, line)
             if m:
                 start = at + len(line[: m.start(1)].encode())
                 depth = loc = 0
-                stop = at + len(line.encode())
-                for more in text[len(text.encode()[:at].decode("utf-8", "ignore")) :].split("\n")[:4000]:
-                    depth += more.count("{") - more.count("}")
+                stop = at + shape[no - 1][2] - 1
+                for k in range(no - 1, len(lines)):
+                    turn, ends, n = shape[k]
+                    depth += turn
                     loc += 1
-                    if depth <= 0 and loc >= 1 and ("}" in more or ";" in more or lang in ("ruby", "bash") or depth < 0):
+                    if depth <= 0 and (ends or depth < 0):
                         break
-                    stop += len(more.encode()) + 1
+                    stop += n
                 full = m.group(1).split("::")
                 args = m.group(2) if m.lastindex and m.lastindex > 1 else ""
                 defs.add((no, full[-1]))
@@ -166,7 +170,7 @@ def approx_rows(path: str, lang: str, text: str) -> list[dict]:
         m = _IMPORT.match(line)
         if m:
             rows.append(_row(row="import", target=next(g for g in m.groups() if g).lstrip('<"'), line=no, **base))
-        at += len(line.encode()) + 1
+        at += shape[no - 1][2]
     return rows
 
 
