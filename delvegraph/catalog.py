@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from delvegraph.queries import graph, history, overlays, registry, scalars, text  # noqa: F401  they register themselves
+from delvegraph.queries import graph, history, overlays, registry, scalars, serving, text  # noqa: F401  they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
