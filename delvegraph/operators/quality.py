@@ -40,6 +40,57 @@ def delta(now: DataFrame, base: DataFrame, key: str = "canon") -> DataFrame:
     ).filter("now > bar").drop("bar")
 
 
+# A helper is reused from so many callers on; a file is churned from so many commits in the short window on.
+REUSED_FANIN, CHURNED_COMMITS = 3, 2
+
+
+def relational_delta(now: DataFrame, base: DataFrame, calls_now: DataFrame, calls_base: DataFrame, clones_now: DataFrame, clones_base: DataFrame, key: str = "canon") -> DataFrame:
+    """(canon, kind, was, now, origin): what got worse between symbols, beside the kinds of ``delta``.
+
+    dead-code: an internal symbol nobody calls now that was called, or was not there.
+    duplication: a clone group that was not there; new-clone-of-reused-helper: one
+    that holds an older member with enough callers.  api-surface: newly public, or
+    public with other parameters.  error-masking: more masked errors.
+    short-horizon-churn: an older body rewritten in a file with enough recent commits.
+
+    Sides: (canon, params, public, internal, masks, body, commits), one row for each
+    symbol; calls (src, dst); clones (canon, grp, tokens).  A group is its set of
+    members, and its canon their names joined; it is preexisting-worse if any member was there.
+    """
+    n, b = now.alias("n"), base.select(key, "params", "public", "masks", "body").alias("b")
+    both = n.join(b, key, "left")
+    there = F.col("b.params").isNotNull()
+    origin = F.when(there, "preexisting-worse").otherwise("new-symbol")
+    callers = calls_now.select(F.col("dst").alias(key)).distinct()
+    called = calls_base.select(F.col("dst").alias(key), F.lit(True).alias("called")).distinct()
+    zero = F.lit(0).cast("long")
+
+    def rows(df: DataFrame, kind: str, was: Column, value: Column, from_: Column = origin) -> DataFrame:
+        return df.select(F.col(key).cast("string").alias(key), F.lit(kind).alias("kind"), was.cast("long").alias("was"), value.cast("long").alias("now"), from_.alias("origin"))
+
+    dead = both.filter("n.internal").join(callers, key, "left_anti").join(called, key, "left").filter(~there | F.col("called"))
+    public = both.filter("n.public").filter(~there | ~F.col("b.public") | (F.col("n.params") != F.col("b.params")))
+    changed = there & F.col("b.public")
+    masked = both.filter(F.col("n.masks") > F.coalesce("b.masks", F.lit(0)))
+    churned = both.filter(there & (F.col("n.body") != F.col("b.body")) & (F.col("n.commits") >= CHURNED_COMMITS))
+
+    fan = calls_now.groupBy(F.col("dst").alias(key)).agg(F.countDistinct("src").alias("fan"))
+    old = base.select(key, F.lit(True).alias("old"))
+    members = lambda c: c.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda x: x.cast("string")), ",").alias("set"), F.max("tokens").alias("tokens"), F.countDistinct(key).alias("m")).filter("m > 1")
+    fresh = members(clones_now).join(members(clones_base).select("set"), "set", "left_anti")
+    known = clones_now.select("grp", key).distinct().join(old, key).join(fan, key, "left").groupBy("grp").agg(F.lit(True).alias("older"), F.max(F.coalesce("fan", F.lit(0))).alias("fan"))
+    groups = fresh.join(known, "grp", "left").withColumnRenamed("set", key)
+    group_origin = F.when(F.coalesce("older", F.lit(False)), "preexisting-worse").otherwise("new-symbol")
+    return (
+        rows(dead, "dead-code", zero, zero)
+        .unionByName(rows(public, "api-surface", F.when(changed, F.col("b.params")).otherwise(zero), F.when(changed, F.col("n.params")).otherwise(zero)))
+        .unionByName(rows(masked, "error-masking", F.coalesce("b.masks", F.lit(0)), F.col("n.masks")))
+        .unionByName(rows(churned, "short-horizon-churn", zero, F.col("n.commits")))
+        .unionByName(rows(groups, "duplication", zero, F.col("tokens"), group_origin))
+        .unionByName(rows(groups.filter(F.col("fan") >= REUSED_FANIN), "new-clone-of-reused-helper", zero, F.col("fan"), group_origin))
+    )
+
+
 def without_acks(findings: DataFrame, acks: DataFrame, key: str = "canon") -> DataFrame:
     """Findings that no acknowledgement (canon, kind) covers."""
     return findings.join(acks.select(key, "kind").distinct(), [key, "kind"], "left_anti")

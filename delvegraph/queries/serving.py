@@ -107,3 +107,42 @@ def type_sizes(spark, sf):
     declared = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 9 + 1).cast("int"))
     size, align = S.type_size(declared)
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), size.alias("size"), align.alias("align"))
+
+
+# Two states of a corpus: the line items shipped before a date and all of them; parts are symbols, consecutive parts of an order call.
+_CUT = "TIMESTAMP '1995-03-01'"
+
+
+def _state_sql(name: str, where: str) -> str:
+    return (
+        f"{name} AS MATERIALIZED (SELECT l_partkey AS canon, max(l_linenumber)::BIGINT AS params, max(l_linenumber) % 2 = 1 AS public, max(l_linenumber) % 2 = 0 AS internal, count(*) FILTER (l_quantity < 9) AS masks, sum(l_suppkey)::BIGINT AS body, count(DISTINCT l_orderkey) AS commits FROM lineitem WHERE {where} GROUP BY 1), "
+        f"{name}c AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem WHERE {where}) WHERE dst IS NOT NULL AND src <> dst), "
+        f"{name}g AS MATERIALIZED (SELECT p_name || p_type AS grp, array_to_string(list_transform(list_sort(list_distinct(list(canon))), lambda x: x::VARCHAR), ',') AS st, max(p_size)::BIGINT AS tokens FROM {name} JOIN part ON p_partkey = canon GROUP BY 1 HAVING count(DISTINCT canon) > 1)"
+    )
+
+
+@query(
+    f"WITH {_state_sql('n', 'true')}, {_state_sql('b', f'l_shipdate < {_CUT}')}, j AS (SELECT n.*, b.params AS bp, b.public AS bpub, b.masks AS bm, b.body AS bb, CASE WHEN b.canon IS NULL THEN 'new-symbol' ELSE 'preexisting-worse' END AS origin, b.canon IS NOT NULL AS there FROM n LEFT JOIN b USING (canon)), "
+    "fan AS (SELECT dst AS canon, count(DISTINCT src) AS f FROM nc GROUP BY 1), gr AS (SELECT ng.grp, ng.st, ng.tokens, bool_or(b.canon IS NOT NULL) AS older, max(CASE WHEN b.canon IS NOT NULL THEN coalesce(f, 0) END) AS fan FROM ng JOIN part ON p_name || p_type = ng.grp JOIN n ON n.canon = p_partkey LEFT JOIN b ON b.canon = n.canon LEFT JOIN fan ON fan.canon = n.canon WHERE ng.st NOT IN (SELECT st FROM bg) GROUP BY 1, 2, 3) "
+    "SELECT canon::VARCHAR AS canon, 'dead-code' AS kind, 0::BIGINT AS was, 0::BIGINT AS now, origin FROM j WHERE internal AND canon NOT IN (SELECT dst FROM nc) AND (NOT there OR canon IN (SELECT dst FROM bc)) "
+    "UNION ALL SELECT canon::VARCHAR, 'api-surface', CASE WHEN there AND bpub THEN bp ELSE 0 END, CASE WHEN there AND bpub THEN params ELSE 0 END, origin FROM j WHERE public AND (NOT there OR NOT bpub OR params <> bp) "
+    "UNION ALL SELECT canon::VARCHAR, 'error-masking', coalesce(bm, 0), masks, origin FROM j WHERE masks > coalesce(bm, 0) "
+    "UNION ALL SELECT canon::VARCHAR, 'short-horizon-churn', 0, commits, origin FROM j WHERE there AND body <> bb AND commits >= 2 "
+    "UNION ALL SELECT st, 'duplication', 0, tokens, CASE WHEN older THEN 'preexisting-worse' ELSE 'new-symbol' END FROM gr "
+    "UNION ALL SELECT st, 'new-clone-of-reused-helper', 0, fan, 'preexisting-worse' FROM gr WHERE fan >= 3"
+)
+def quality_delta_relational(spark, sf):
+    from pyspark.sql import Window
+
+    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+
+    def state(df):
+        g = df.groupBy(F.col("l_partkey").alias("canon")).agg(F.max("l_linenumber").alias("params"), F.count_if(F.col("l_quantity") < 9).alias("masks"), F.sum("l_suppkey").alias("body"), F.countDistinct("l_orderkey").alias("commits"))
+        symbols = g.withColumns({"public": F.col("params") % 2 == 1, "internal": F.col("params") % 2 == 0})
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        calls = df.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).filter("dst is not null and src <> dst")
+        clones = parts.join(symbols.select(F.col("canon").alias("p_partkey")), "p_partkey").select(F.col("p_partkey").alias("canon"), F.concat("p_name", "p_type").alias("grp"), F.col("p_size").alias("tokens"))
+        return symbols, calls, clones
+
+    now, base = state(lines), state(lines.filter("l_shipdate < timestamp_ntz'1995-03-01'"))
+    return Q.relational_delta(now[0], base[0], now[1], base[1], now[2], base[2])
