@@ -29,7 +29,9 @@ END_ID = 2
 def encoded_stream(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table: doc_id, part, local_start, n, ids (little-endian, packed).
 
-    ``ids`` holds the document's ids and then ``end_id``; null text has that id only.
+    ``ids`` holds the document's ids and then ``end_id``; null and empty texts have
+    that id only.  Rows of equal ids are documents of their own, an empty table gives
+    an empty one, and other columns are not read.
     """
     path = path or default_path()
 

@@ -10,7 +10,12 @@ from delvegraph.llm.storage import materialize, shuffle_partitions
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with a gapless number from 0 in the order of ``order``: ranges of rows
-    are sorted apart and offset by the prefix sums of their counts."""
+    are sorted apart and offset by the prefix sums of their counts.
+
+    Nulls come first; rows equal in ``order`` are numbered in any order, once; an
+    empty table stays empty.  Columns named ``__part``, ``__nth`` and ``__before``
+    may not be there already.
+    """
     spark = df.sparkSession
     laid = materialize(df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranked")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
