@@ -146,3 +146,60 @@ def quality_delta_relational(spark, sf):
 
     now, base = state(lines), state(lines.filter("l_shipdate < timestamp_ntz'1995-03-01'"))
     return Q.relational_delta(now[0], base[0], now[1], base[1], now[2], base[2])
+
+
+_CODE = ["goto end;", "strcpy(a, b);", "x = md5(y);", "catch (...) { }", "  a = a;", "if (x) ;", "typedef int T;", "foo(12345, x);", "return x;", "do x++; while (x < 5) ;", "sprintf(b, c); gets(b);"]
+_HITS = ["goto", "unsafe-c-fn", "weak-crypto", "empty-catch", "self-assign", "suspicious-semicolon", "typedef-over-using", "magic-number", None, None, "unsafe-c-fn"]
+
+
+@query(
+    "WITH f AS (SELECT p_brand AS path, p_partkey::INTEGER AS line, (["
+    + ", ".join("NULL" if h is None else f"'{h}'" for h in _HITS)
+    + "])[p_partkey % 11 + 1] AS rule FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line)::INTEGER AS nth, count(*) OVER (PARTITION BY rule) AS total FROM f WHERE rule IS NOT NULL) "
+    "SELECT path, line, rule, CASE WHEN rule IN ('unsafe-c-fn', 'weak-crypto') THEN 'error' ELSE 'warning' END AS severity, nth, total FROM r WHERE nth <= 20"
+)
+def lint_tallies(spark, sf):
+    from delvegraph.sources import rules
+
+    body = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("p_partkey") % 11 + 1).cast("int"))
+    lines = table(spark, sf, "part").select(F.col("p_brand").alias("path"), F.lit("cpp").alias("lang"), F.col("p_partkey").cast("int").alias("line"), body.alias("body"))
+    return rules.tallied(rules.lint(lines, rules.BUILTIN), 20)
+
+
+@query(
+    "WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS cls, l_partkey AS m, l_suppkey % 7 AS f FROM lineitem), l AS (SELECT DISTINCT a.cls, a.m AS a, b.m AS b FROM x a JOIN x b ON a.cls = b.cls AND a.f = b.f), "
+    "r(cls, a, b) AS (SELECT * FROM l UNION SELECT r.cls, r.a, l.b FROM r JOIN l ON l.cls = r.cls AND l.a = r.b), c AS (SELECT cls, a, min(b) AS m FROM r GROUP BY 1, 2) SELECT cls::VARCHAR AS cls, count(DISTINCT m) AS lcom4 FROM c GROUP BY 1"
+)
+def class_cohesion(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("cls"), F.col("l_partkey").cast("string").alias("method"), (F.col("l_suppkey") % 7).cast("string").alias("field")).distinct()
+    none = x.select("cls", F.col("method").alias("a"), F.col("method").alias("b")).limit(0)
+    return Q.lcom4(x.select("cls", "method").distinct(), x, none)
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS public FROM part")
+def public_names(spark, sf):
+    from delvegraph.operators.bundles import public_api
+
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.initcap("p_name")).when(k == 1, F.lower("p_name")).when(k == 2, F.lower("p_name")).otherwise(F.concat(F.lit("_"), "p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), public_api(name, F.when(k < 2, "go").otherwise("python")).alias("public"))
+
+
+@query("SELECT p_partkey AS sym_id, 'def ' || replace(p_name, ' ', '_') || '(a, b=' || p_size || ')' AS signature FROM part")
+def symbol_signatures(spark, sf):
+    from delvegraph.operators.bundles import signatures
+
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    p = table(spark, sf, "part").withColumn("head", F.concat(F.lit("def "), name, F.lit("(a,\n      b="), F.col("p_size").cast("string"), F.lit("):\n    return a\n")))
+    files = p.select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit("import x\n"), "head", F.lit("rest")).alias("content"))
+    symbols = p.select(F.col("p_partkey").alias("sym_id"), F.col("p_partkey").cast("string").alias("file"), F.lit(9).alias("start"), (F.lit(9) + F.length("head")).alias("stop"))
+    return signatures(symbols, files)
+
+
+@query("SELECT doc_id AS id, replace(coalesce(source, '') || ' = 1;' || chr(10) || 'b();' || chr(10) || chr(10) || 'c();', chr(13), '') AS code FROM documents WHERE source IS NOT NULL")
+def compressed_code(spark, sf):
+    from delvegraph.operators.bundles import compress
+
+    d = table(spark, sf, "documents").filter("source is not null")
+    code = F.concat("source", F.lit(" = 1;\n// about it\nb();\n\n\n  # why\n\nc();"))
+    return d.select(F.col("doc_id").alias("id"), compress(code).alias("code"))

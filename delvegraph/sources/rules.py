@@ -82,6 +82,16 @@ def lint(lines: DataFrame, rules: list[dict]) -> DataFrame:
     return out
 
 
+def tallied(findings: DataFrame, cap: int) -> DataFrame:
+    """(path, line, rule, severity, nth, total): the first ``cap`` findings of each rule by
+    place, with the rule's whole count, so that what a cap hides is known."""
+    from pyspark.sql import Window
+
+    total = findings.groupBy("rule").agg(F.count(F.lit(1)).alias("total"))
+    nth = F.row_number().over(Window.partitionBy("rule").orderBy("path", "line"))
+    return findings.withColumn("nth", nth).filter(F.col("nth") <= cap).join(F.broadcast(total), "rule").select("path", "line", "rule", "severity", "nth", "total")
+
+
 #: A built-in pack of line rules.
 BUILTIN = [
     {"id": "goto", "query": r"^\s*goto\s+\w+\s*;"},
