@@ -62,6 +62,58 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return c.select("ref_id", "src", "dst", conf.alias("conf"), "k")
 
 
+def class_cones(inherits: DataFrame) -> DataFrame:
+    """(type, member): every class of ``inherits(derived, base)`` with itself, its ancestors and
+    its descendants; siblings are no part of each other's cone."""
+    from delvegraph.plans.staging import stage
+
+    step = inherits.filter("derived <> base").select("derived", "base").distinct()
+    up = stage(step.select(F.col("derived").alias("type"), F.col("base").alias("member")), "cone")
+    front = up
+    while True:
+        new = stage(front.join(step, F.col("member") == F.col("derived")).select("type", F.col("base").alias("member")).filter("type <> member").distinct().join(up, ["type", "member"], "left_anti"), "cone")
+        if not new.measured["rows"]:
+            break
+        up, front = up.unionByName(new), new
+    own = step.select(F.col("derived").alias("type")).union(step.select("base")).distinct().select("type", F.col("type").alias("member"))
+    return own.unionByName(up).unionByName(up.select(F.col("member").alias("type"), F.col("type").alias("member"))).distinct()
+
+
+def scoped_candidates(refs: DataFrame, symbols: DataFrame, cones: DataFrame) -> DataFrame:
+    """(ref_id, dst): the definitions that a reference's own words single out.
+
+    The first of these that holds any: scopes named by the ``qualifier``; the
+    caller's own scope (``self_scope``, for this, self or a bare member); the scope
+    of the receiver's type (``recv_type``); classes above or below that type.
+    ``symbols`` have a ``scope``; ``cones(type, member)``.
+    """
+    s = symbols.select(F.col("sym_id").alias("dst"), "name", "scope", lang_family(F.col("lang")).alias("family"))
+    hinted = refs.filter(F.coalesce("qualifier", "self_scope", "recv_type").isNotNull())
+    r = hinted.select("ref_id", F.col("callee").alias("name"), lang_family(F.col("lang")).alias("family"), "qualifier", "self_scope", "recv_type")
+    j = r.join(s, ["name", "family"]).join(cones.select(F.col("type").alias("recv_type"), F.col("member").alias("scope"), F.lit(True).alias("cone")), ["recv_type", "scope"], "left")
+    named = (F.col("scope") == F.col("qualifier")) | F.col("scope").endswith(F.concat(F.lit("::"), F.col("qualifier")))
+    rank = F.when(named, 1).when(F.col("scope") == F.col("self_scope"), 2).when(F.col("scope") == F.col("recv_type"), 3).when(F.col("cone"), 4)
+    held = j.withColumn("rank", rank).filter("rank is not null").withColumn("top", F.min("rank").over(Window.partitionBy("ref_id")))
+    return held.filter("rank = top").select("ref_id", "dst").distinct()
+
+
+def resolve_scoped(refs: DataFrame, symbols: DataFrame, cones: DataFrame) -> DataFrame:
+    """``resolve`` where a reference that its own words single out chooses among those
+    definitions only: nearest file, then arity, then the longest shared path; it has a
+    target even if it is not the only one far away."""
+    allowed = scoped_candidates(refs, symbols, cones)
+    rest = resolve(refs.join(allowed.select("ref_id").distinct(), "ref_id", "left_anti"), symbols)
+    s = symbols.select(F.col("sym_id").alias("dst"), F.col("file").alias("d_file"), F.col("dir").alias("d_dir"), "params", "arity_exact")
+    r = refs.select("ref_id", F.col("from_sym").alias("src"), F.col("file").alias("r_file"), F.col("dir").alias("r_dir"), "arg_count")
+    by_ref = Window.partitionBy("ref_id")
+    step = F.when(F.col("r_file") == F.col("d_file"), 1).when(F.col("r_dir") == F.col("d_dir"), 2).otherwise(3)
+    c = allowed.join(s, "dst").join(r, "ref_id").withColumn("step", step).withColumn("first", F.min("step").over(by_ref)).filter("step = first")
+    c = _prune(c, ~F.coalesce(F.col("arity_exact") & (F.col("arg_count") > F.col("params")), F.lit(False)))
+    c = c.withColumn("near", shared_prefix(F.col("r_file"), F.col("d_file"))).withColumn("top", F.max("near").over(by_ref)).filter("near = top")
+    conf = F.when(F.col("step") == 1, 1.0).when(F.col("step") == 2, 0.5).otherwise(0.2)
+    return c.select("ref_id", "src", "dst", conf.alias("conf"), F.count(F.lit(1)).over(by_ref).alias("k")).unionByName(rest)
+
+
 def weighted_edges(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, dst, n_ref, w, amb): w = mean confidence * sqrt(references), capped at 8,
     a tenth for over-common names and a tenth for private names."""

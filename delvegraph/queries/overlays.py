@@ -87,6 +87,27 @@ def native_method_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), B.jni_alias(native).alias("method"))
 
 
+# Scopes C0 to C9 form a tree: Ck is derived from C(k // 2).
+_CONES = "up(t, m) AS (SELECT k, k FROM range(10) q(k) UNION SELECT t, m // 2 FROM up WHERE m > 0), cone AS (SELECT t, m FROM up UNION SELECT m, t FROM up)"
+
+
+@query(
+    _RES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", {_CONES}, h AS (SELECT rf.*, ref_id % 4 AS way, ref_id % 10 AS q FROM rf), cand AS (SELECT h.*, sy.dst, sy.d_file, sy.d_dir, sy.params, sy.ax, sy.dst % 10 AS sc FROM h JOIN sy USING (name)), "
+    "rk AS (SELECT *, CASE WHEN way = 0 AND sc = q THEN 1 WHEN way = 1 AND sc = src % 10 THEN 2 WHEN way = 2 AND sc = q THEN 3 WHEN way = 2 AND (q, sc) IN (SELECT (t, m) FROM cone) THEN 4 END AS rank FROM cand), "
+    "al AS (SELECT * FROM (SELECT * FROM rk WHERE rank IS NOT NULL) QUALIFY rank = min(rank) OVER (PARTITION BY ref_id)), s1 AS (SELECT *, CASE WHEN r_file = d_file THEN 1 WHEN r_dir = d_dir THEN 2 ELSE 3 END AS step FROM al), s2 AS (SELECT * FROM s1 QUALIFY step = min(step) OVER (PARTITION BY ref_id)), "
+    "s3 AS (SELECT *, NOT (ax AND args > params) AS ok FROM s2), s4 AS (SELECT * FROM s3 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY ref_id)), s5 AS (SELECT *, CASE WHEN r_file = d_file THEN 2 WHEN r_dir = d_dir THEN 1 ELSE 0 END AS near FROM s4), s6 AS (SELECT * FROM s5 QUALIFY near = max(near) OVER (PARTITION BY ref_id)) "
+    "SELECT ref_id, src, dst, CASE step WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.2 END::DOUBLE AS conf, count(*) OVER (PARTITION BY ref_id) AS k FROM s6 UNION ALL SELECT ref_id, src, dst, conf, k FROM res WHERE ref_id NOT IN (SELECT ref_id FROM al)"
+)
+def scoped_resolution(spark, sf):
+    refs, symbols = _references(spark, sf)
+    scope = lambda c: F.concat(F.lit("C"), (c % 10).cast("string"))
+    way = F.col("ref_id") % 4
+    hinted = refs.withColumns({"qualifier": F.when(way == 0, scope(F.col("ref_id"))), "self_scope": F.when(way == 1, scope(F.col("from_sym"))), "recv_type": F.when(way == 2, scope(F.col("ref_id")))})
+    tree = spark.createDataFrame([(f"C{k}", f"C{k // 2}") for k in range(1, 10)], "derived string, base string")
+    return resolve.resolve_scoped(hinted, symbols.withColumn("scope", scope(F.col("sym_id"))), resolve.class_cones(tree))
+
+
 # ---------------------------------------------------------------- ranks
 
 
