@@ -7,6 +7,7 @@ and reads it back, so a lost executor costs one round, not the whole loop.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; one of our own only where driver and executors are one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="delvegraph-"))
     return root.rstrip("/")
 
