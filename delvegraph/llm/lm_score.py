@@ -14,11 +14,12 @@ place's own id and of the hashed pairs and triples that end there.  The next id
 predicted as a class and a member of the class (frequent ids), or as a rare id with
 its share of the training counts, so the probabilities of all ids sum to one.
 
-Fitting.  Windows are drawn from all training texts in proportion to their bytes,
-one for every ``GAP`` bytes, more from small corpora.  One task fits first weights on
-``SEED_WINDOWS`` of them; then tasks that grow in number with the corpus go on from
-there with all other windows, and every row of weights is averaged over the tasks
-that touched it.
+Fitting.  Every id of every training text, its end included, is predicted and learned
+from.  The counts of ids and of neighbours that make the classes are of all training
+texts too.  One task fits a start on about ``SEED_WINDOWS`` windows, drawn from all
+training texts by bytes; then tasks that grow in number with the corpus go on from there
+with all windows of all training texts, each once, and every row of weights is averaged
+over the tasks that touched it.  A corpus of no more windows is fitted whole in one task.
 """
 
 from __future__ import annotations
@@ -38,20 +39,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delvegraph.llm.storage import drop, materialize
-from delvegraph.llm.textkit import mix, slices
+from delvegraph.llm.textkit import _SPACE, mix, slices
 from delvegraph.llm.worker import hold, one_thread, tidy
 
 #: Words whose counts every task holds, and pieces that a worker remembers.
 HEAD_WORDS, MEMORY = 200_000, 200_000
-#: Windows the first weights are fitted on; bytes of training text for each window drawn; windows of one later task,
-#: and most such tasks.
-SEED_WINDOWS, GAP, TASK_WINDOWS, FIT_TASKS = 56_000, 16_384, 16_384, 4096
+#: Windows that the start is fitted on; windows of one later task, and most such tasks (each takes more beyond).
+SEED_WINDOWS, TASK_WINDOWS, FIT_TASKS = 56_000, 262_144, 4096
+#: Windows of a row that is dealt to a task, windows that a task shuffles at once, and windows of one of its steps.
+BLOCK, POOL, STEP = 128, 16_384, 256
 #: Ids with vectors of their own, vectors that all others share, and vectors of hashed pairs and triples.
 HEAD, SHARED, PAIR_BITS, TRIPLE_BITS = 4096, 1024, 15, 16
 CLASSES, MEMBERS, WIDTH, KEY = 32, 32, 24, 8
 CONTEXT, SCORED = 16, 32
 SPAN = CONTEXT + SCORED
 RARE = CLASSES * MEMBERS - 1
+#: Members of most uses, by which the company that ids keep is told.
+NEAR = 512
 PAD, BEGIN = HEAD + SHARED, HEAD + SHARED + 1
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
@@ -91,11 +95,13 @@ class Subwords:
     def many(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, ids of each piece)."""
         shown = [p if p[:1] == b"\n" else b" " + p for p in some]
-        plain = np.array([len(s) > 1 and s[1:].split() == [s[1:]] for s in shown], bool)
+        length = np.array([len(s) for s in shown], np.int64)
+        white = _SPACE[np.frombuffer(b"".join(shown), np.uint8)]
+        plain = (length > 1) & (np.add.reduceat(white, np.cumsum(length) - length, dtype=np.int64) == 1 if len(shown) else False)
         # plain pieces go together, as no word crosses from one to the next; those with other white space go alone
         joined = [s for s, x in zip(shown, plain.tolist(), strict=True) if x]
         ids = self.encoding.encode_to_numpy(b"".join(joined).decode("utf-8", "replace")).astype(np.int64)
-        ends, stop = np.cumsum(self.length[ids]), np.cumsum([len(s) for s in joined], dtype=np.int64)
+        ends, stop = np.cumsum(self.length[ids]), np.cumsum(length[plain])
         cut = np.searchsorted(ends, stop)
         if len(joined) and (cut[-1] != len(ids) - 1 or not (ends[cut] == stop).all()):
             plain[:], ids, cut = False, ids[:0], cut[:0]
@@ -178,47 +184,53 @@ def first_steps(p: Weights) -> Weights:
     return {k: np.full(len(w), 1e-2 if k in ("two", "three") else 1e-3, np.float32) for k, w in p.items()}
 
 
-def hidden(p: Weights, x: np.ndarray, exp=np.exp) -> tuple[np.ndarray, tuple]:
+def hidden(p: Weights, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """State after each of the last SCORED slots of every window (rows of ``x``), and what a gradient needs."""
     pair, triple = grams(x)
     own = x[:, CONTEXT:]
-    q, k, v = p["query"][own], p["key"][x], p["value"][x]
-    s = np.matmul(q, k.transpose(0, 2, 1)) + p["back"][:, 0][_BACK]
-    a = exp(np.clip(s, -25, 25)) * _CAUSAL
-    a /= a.sum(axis=2, keepdims=True)
-    z = np.matmul(a, v) + p["one"][own] + p["two"][pair] + p["three"][triple]
+    q, k, v = p["query"].take(own, axis=0), p["key"].take(x, axis=0), p["value"].take(x, axis=0)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += p["back"][:, 0][_BACK]
+    np.exp(np.clip(a, -25, 25, out=a), out=a)
+    a *= _CAUSAL
+    a /= a @ np.ones((SPAN, 1), a.dtype)
+    gathered = np.matmul(a, v)
+    z = gathered + p["one"].take(own, axis=0)
+    z += p["two"].take(pair, axis=0)
+    z += p["three"].take(triple, axis=0)
     r = 1 / np.sqrt(1 + z * z)
-    return z * r, (pair, triple, own, q, k, v, a, r)
+    return z * r, (pair, triple, own, q, k, v, a, gathered, r)
 
 
 def gradients(p: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, int, list[tuple[str, np.ndarray | None, np.ndarray]]]:
     """(loss in nats, places, gradients as (table, rows or all, values)) for the output slots ``y``; -1: none."""
-    h, (pair, triple, own, q, k, v, a, r) = hidden(p, x)
-    use = y.ravel() >= 0
-    state, y = h.reshape(-1, WIDTH)[use], y.ravel()[use]
-    c, m, every = y // MEMBERS, y % MEMBERS, np.arange(len(y))
+    h, (pair, triple, own, q, k, v, a, gathered, r) = hidden(p, x)
+    y = y.ravel().astype(np.int16)
+    order = np.argsort(y, kind="stable")
+    cuts = np.searchsorted(y.take(order), np.arange(CLASSES + 1) * MEMBERS)
+    order, cuts = order[cuts[0] :], cuts - cuts[0]  # by class; places with nothing to predict came first
+    state, y = h.reshape(-1, WIDTH).take(order, axis=0), y.take(order).astype(np.intp)
+    at = np.arange(len(y))
     e = _softmax(state @ p["out"].T + p["bias"][:, 0])
-    nats = -float(np.log(e[every, c]).sum())
-    e[every, c] -= 1
+    nats = _less_one(e, at * CLASSES + y // MEMBERS)
     d_state, d_out, d_bias = e @ p["out"], e.T @ state, e.sum(axis=0)[:, None]
     d_member, d_member_bias = np.zeros_like(p["member"]), np.zeros_like(p["member_bias"])
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for g in range(CLASSES):
-        i = order[cuts[g] : cuts[g + 1]]
-        if len(i):
-            rows, at = slice(g * MEMBERS, (g + 1) * MEMBERS), np.arange(len(i))
-            f = _softmax(state[i] @ p["member"][rows].T + p["member_bias"][rows, 0])
-            nats -= float(np.log(f[at, m[i]]).sum())
-            f[at, m[i]] -= 1
-            d_state[i] += f @ p["member"][rows]
-            d_member[rows], d_member_bias[rows] = f.T @ state[i], f.sum(axis=0)[:, None]
-    dz = np.zeros((len(use), WIDTH), d_state.dtype)
-    dz[use] = d_state
-    dz = dz.reshape(h.shape) * (r * r * r)
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    d_back = np.bincount(np.broadcast_to(_BACK, ds.shape).ravel(), ds.ravel(), SPAN).astype(ds.dtype)[:, None]
+        i, j = cuts[g : g + 2]
+        if i < j:
+            rows = slice(g * MEMBERS, (g + 1) * MEMBERS)
+            f = _softmax(state[i:j] @ p["member"][rows].T + p["member_bias"][rows, 0])
+            nats += _less_one(f, at[: j - i] * MEMBERS + y[i:j] % MEMBERS)
+            d_state[i:j] += f @ p["member"][rows]
+            d_member[rows], d_member_bias[rows] = f.T @ state[i:j], f.sum(axis=0)[:, None]
+    dz = np.zeros((h.size // WIDTH, WIDTH), d_state.dtype)
+    dz[order] = d_state
+    dz = dz.reshape(h.shape)
+    dz *= r * r * r
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds -= np.einsum("bij,bij->bi", dz, gathered)[:, :, None]
+    ds *= a
+    d_back = np.bincount(_BACK.ravel(), ds.sum(axis=0).ravel(), SPAN).astype(ds.dtype)[:, None]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     dz_flat = flat(dz)
     return nats, len(y), [
@@ -229,31 +241,49 @@ def gradients(p: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, int, lis
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    return np.maximum(e, 1e-30)
+    """Of rows of logits, which are kept within 60 of 0 as ``Scorer`` keeps them; in place."""
+    np.exp(np.clip(x, -60, 60, out=x), out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
+    return x
 
 
-def descend(p: Weights, steps: Weights, grads: list, n: int, rate: float, touched: Weights | None = None) -> None:
+def _less_one(e: np.ndarray, at: np.ndarray) -> float:
+    """Take 1 from the flat places ``at`` of probabilities, and return the nats that these cost."""
+    flat = e.reshape(-1)
+    nats = -float(np.log(np.maximum(flat.take(at), 1e-30)).sum())
+    flat[at] -= 1
+    return nats
+
+
+def descend(p: Weights, steps: Weights, grads: list, n: float, rate: float, touched: Weights | None = None) -> None:
     """One step, each row by its own rate; ``touched`` counts the steps of every row."""
+    seen: dict[int, tuple] = {}  # tables that share their rows share the order
     for name, rows, g in grads:
-        g = g * np.float32(100 / n)
         if rows is None:
-            u, s = slice(None), g
+            u, s = slice(None), g * np.float32(100 / n)
         else:
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            u, s = flat[first], np.add.reduceat(g.take(order, axis=0), first, axis=0)
-        steps[name][u] += (s * s).mean(axis=1)
-        p[name][u] -= (rate * s / np.sqrt(steps[name][u])[:, None]).astype(np.float32)
+            if id(rows) not in seen:
+                flat = rows.ravel()
+                flat = flat.astype(np.uint16) if len(p[name]) <= 1 << 16 else flat
+                order = np.argsort(flat, kind="stable")
+                flat = flat.take(order)
+                first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                seen[id(rows)] = order, first, flat.take(first).astype(np.intp)
+            order, first, u = seen[id(rows)]
+            s = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            s *= np.float32(100 / n)
+        steps[name][u] += np.einsum("ij,ij->i", s, s) / s.shape[1]
+        s *= (rate / np.sqrt(steps[name][u]))[:, None].astype(np.float32)
+        p[name][u] -= s
         if touched is not None:
             touched[name][u] += 1
 
 
 def learn(net: Network, rows: np.ndarray, first: float, last: float, touched: Weights | None = None, batch: int = 64) -> None:
-    """Fit ``net`` in place on windows (rows of SPAN + 1 ids) in their order, the rate falling from ``first`` to ``last``."""
+    """Fit ``net`` in place on windows (rows of SPAN + 1 ids) in their order, the rate falling from ``first`` to ``last``.
+
+    A gradient is scaled as one of 64 windows, whatever the batch, so that rows met once weigh alike.
+    """
     slot = np.concatenate([net.slot, [BEGIN, PAD]]).astype(np.int32)
     out = np.concatenate([net.out, [-1, -1]])
     n = -(-len(rows) // batch)
@@ -261,14 +291,11 @@ def learn(net: Network, rows: np.ndarray, first: float, last: float, touched: We
         part = rows[k * batch : (k + 1) * batch]
         _, places, grads = gradients(net.p, slot[part[:, :SPAN]], out[part[:, CONTEXT + 1 :]])
         if places:
-            descend(net.p, net.steps, grads, places, first + (last - first) * k / n, touched)
+            descend(net.p, net.steps, grads, places * 64 / batch, first + (last - first) * k / n, touched)
 
 
-def new_network(counts: np.ndarray, rows: np.ndarray) -> Network:
-    """``counts``: of every id (the end last) in the training corpus; ``rows``: windows that tell
-    which ids keep alike company, as such ids go into one class."""
-    rng = np.random.default_rng(5)
-    size = CLASSES * MEMBERS
+def most_used(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(input slot, place among the members by uses or RARE) of every id by its count."""
     order = np.argsort(-counts, kind="stable")
     slot = (HEAD + np.arange(len(counts)) % SHARED).astype(np.int32)
     slot[order[:HEAD]] = np.arange(min(HEAD, len(counts)))
@@ -276,9 +303,25 @@ def new_network(counts: np.ndarray, rows: np.ndarray) -> Network:
     place[order[:RARE]] = np.arange(min(RARE, len(counts)))
     if place[-1] == RARE:  # the end always has a slot of its own
         place[order[RARE - 1]], place[-1] = RARE, RARE - 1
-    seen = np.concatenate([place, [RARE, RARE]])[rows]
-    profile = np.bincount((seen[:, 1:] * size + seen[:, :-1]).ravel(), minlength=size * size).reshape(size, size)
-    z = np.sqrt(profile[:, :512].astype(np.float32))
+    return slot, place
+
+
+def pairs(seen: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How often each place follows each of the NEAR most used ones."""
+    near = before < NEAR
+    return np.bincount(seen[near] * NEAR + before[near], minlength=(RARE + 1) * NEAR).reshape(RARE + 1, NEAR)
+
+
+def new_network(counts: np.ndarray, rows: np.ndarray | None = None, profile: np.ndarray | None = None) -> Network:
+    """``counts``: of every id (the end last) in the training corpus; ``profile``: its ``pairs`` (or windows ``rows``
+    to take them from), which tell which ids keep alike company, as such ids go into one class."""
+    rng = np.random.default_rng(5)
+    size = CLASSES * MEMBERS
+    slot, place = most_used(counts)
+    if profile is None:
+        seen = np.concatenate([place, [RARE, RARE]])[rows]
+        profile = pairs(seen[:, 1:].ravel(), seen[:, :-1].ravel())
+    z = np.sqrt(profile.astype(np.float32))
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def halves(idx: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -519,34 +562,111 @@ def drawn(enc: Subwords, texts: list[bytes], gap: float) -> tuple[np.ndarray, np
     return np.array(hashes, np.int64), rows
 
 
-def _draw(path: str, gap: float):
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(r[8:] for r in batch["row"].to_pylist()), "<i4").reshape(-1, SPAN + 1)
+
+
+def _kind(size: int) -> np.dtype:
+    """How ids are written, with the end, the beginning and nothing after them."""
+    return np.dtype("<u2" if size + 3 <= 1 << 16 else "<u4")
+
+
+def _ids(batch: pa.RecordBatch, kind: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(b, kind).astype(np.int64) for b in batch["ids"].to_pylist()]
+
+
+def _company(place: np.ndarray):
+    """Pairs of places in training texts, summed: (64 rows of the table, their counts)."""
+
     @tidy("lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(path)
-        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
-            texts = [t.encode("utf-8", "surrogatepass").lower() for t in batch.column(0).to_pylist() if t]
-            step = max(1, int(4096 * gap / (1 << 20) * 64))
-            for k in range(0, len(texts), step):
-                h, rows = drawn(enc, texts[k : k + step], gap)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([r.tobytes() for r in rows], pa.binary())], names=["draw", "row"])
+        total = np.zeros((RARE + 1, NEAR), np.int64)
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
+            texts = _ids(batch, _kind(len(place) - 1))
+            n = np.array([len(t) + 1 for t in texts])
+            first = np.cumsum(n) - n
+            seen = np.full(int(n.sum()), place[-1])
+            at = np.ones(len(seen), bool)
+            at[first + n - 1] = False
+            seen[at] = place[np.concatenate(texts)] if len(texts) else 0
+            before = np.concatenate([[RARE], seen[:-1]])
+            before[first] = RARE
+            total += pairs(seen, before)
+        for k in range(0, RARE + 1, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + 64].tobytes()], pa.binary())], names=["at", "n"])
 
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["row"].to_pylist()), "<i4").reshape(-1, SPAN + 1).astype(np.int64)
+@tidy("lm")
+def _add_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, n in zip(batch["at"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            sums[at] = sums.get(at, 0) + np.frombuffer(n, np.int64)
+    for at, n in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["at", "n"])
+
 
+def _blocks(size: int):
+    """All windows of the texts, in rows of up to BLOCK windows with a hash that orders them."""
+    kind = _kind(size)
+
+    @tidy("lm")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
+            marks, cut = [], []
+            for row, raw in zip(batch["row"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                ids = np.frombuffer(raw, kind)
+                count = len(ids) // SCORED + 1
+                stream = np.full(CONTEXT + 1 + count * SCORED, size + 2, kind)
+                stream[CONTEXT], stream[CONTEXT + 1 : CONTEXT + 1 + len(ids)], stream[CONTEXT + 1 + len(ids)] = size + 1, ids, size
+                at = range(0, count, BLOCK)
+                cut += [stream[k * SCORED : (k + BLOCK) * SCORED + CONTEXT + 1].tobytes() for k in at]
+                marks.append(mix(mix(np.array([row], np.uint64)) + np.arange(len(at), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(marks) >> np.uint64(1)).astype(np.int64)), pa.array(cut, pa.binary())], names=["mark", "block"])
+
+    return run
+
+
+def _unrolled(blocks: list[bytes], size: int) -> np.ndarray:
+    """The windows (rows of SPAN + 1 ids) of some blocks."""
+    streams = [np.frombuffer(b, _kind(size)) for b in blocks]
+    n = np.array([(len(s) - CONTEXT - 1) // SCORED for s in streams])
+    length = np.array([len(s) for s in streams])
+    first = np.repeat(np.cumsum(length) - length - SCORED * (np.cumsum(n) - n), n) + SCORED * np.arange(int(n.sum()))
+    return np.concatenate(streams).astype(np.int32)[first[:, None] + np.arange(SPAN + 1)]
+
+
+def _pools(batches: Iterator[pa.RecordBatch], size: int, most: int = POOL) -> Iterator[np.ndarray]:
+    """The windows of a task's blocks in their order, shuffled within pools of about ``most``."""
+    rng = np.random.default_rng(9)
+    held: list[bytes] = []
+    room = most * SCORED * _kind(size).itemsize
+    for block in (b for batch in batches for b in batch["block"].to_pylist()):
+        held.append(block)
+        room -= len(block)
+        if room <= 0:
+            yield rng.permutation(_unrolled(held, size))
+            held, room = [], most * SCORED * _kind(size).itemsize
+    if held:
+        yield rng.permutation(_unrolled(held, size))
+
+
+def _fit_start(shared, passes: int):
+    """Weights and steps after ``passes`` over the rows: drawn windows, or (blocks) all windows of a small corpus."""
 
-def _fit_seed(counts: np.ndarray, passes: int):
     @tidy("lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        parts = [_rows(b) for b in batches]
-        rows = np.concatenate(parts) if parts else np.zeros((0, SPAN + 1), np.int64)
-        net = new_network(counts, rows)
-        learn(net, np.concatenate([rows] * passes), 0.1, 0.005)
-        held = [("slot", net.slot), ("out", net.out), ("share", net.share), *((f"p:{k}", v) for k, v in net.p.items()), *((f"s:{k}", v) for k, v in net.steps.items())]
-        for k, v in held:
+        net, parts = shared.value, []
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(_rows(batch) if "row" in batch.schema.names else _unrolled(batch["block"].to_pylist(), net.end))
+        if parts:
+            rows, rng = np.concatenate(parts), np.random.default_rng(9)
+            learn(net, rows[np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])], 0.1, 0.005)
+        for k, v in [*((f"p:{k}", v) for k, v in net.p.items()), *((f"s:{k}", v) for k, v in net.steps.items())]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.tobytes()], pa.binary())], names=["name", "data"])
 
     return run
@@ -564,8 +684,8 @@ def _fit_more(shared, key: int):
         base = hold("lm", ("fit", key), lambda: shared.value)
         net = Network(base.slot, base.out, base.share, {k: v.copy() for k, v in base.p.items()}, {k: v.copy() for k, v in base.steps.items()})
         touched = {k: np.zeros(len(v), np.float32) for k, v in net.p.items()}
-        for batch in batches:
-            learn(net, _rows(batch), 0.03, 0.03, touched)
+        for rows in _pools(batches, net.end):
+            learn(net, rows, 0.03, 0.03, touched, STEP)
         for name, w in net.p.items():
             change = (w - base.p[name]) * touched[name][:, None]
             for k in range(0, len(w), CHUNK):
@@ -588,24 +708,30 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([chunk], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([touches.tobytes()], pa.binary())], names=["name", "chunk", "change", "touches"])
 
 
-def fit_network(train: DataFrame, id_counts: np.ndarray, n_bytes: int, path: str, seed_windows: int = SEED_WINDOWS, gap: int = GAP) -> Network:
-    """The network of the texts ``train(text)``, of ``n_bytes`` in all; an empty corpus leaves it at its first weights."""
-    spark = train.sparkSession
-    drawn_rows = materialize(train.mapInArrow(_draw(path, max(8.0, min(gap, n_bytes / seed_windows))), "draw long, row binary"), "lm-windows", n=F.count(F.lit(1)))
-    n = drawn_rows.measured["n"]
-    edge = drawn_rows.approxQuantile("draw", [seed_windows / n], 0.005)[0] if n > 1.05 * seed_windows else float(1 << 63)
-    seed = drawn_rows.filter(F.col("draw") <= F.lit(edge)).orderBy("draw", "row").limit(2 * seed_windows)
-    passes = max(1, min(8, seed_windows // max(1, n)))
-    fitted = {r.name: r.data for r in seed.coalesce(1).sortWithinPartitions("draw", "row").mapInArrow(_fit_seed(id_counts, passes), "name string, data binary").collect()}
-    width = {"query": KEY, "key": KEY, "back": 1, "bias": 1, "member_bias": 1}
-    p = {k[2:]: np.frombuffer(v, np.float32).reshape(-1, width.get(k[2:], WIDTH)).copy() for k, v in fitted.items() if k[:2] == "p:"}
-    net = Network(np.frombuffer(fitted["slot"], np.int32), np.frombuffer(fitted["out"], np.int64), np.frombuffer(fitted["share"], np.float32), p, {k[2:]: np.frombuffer(v, np.float32) for k, v in fitted.items() if k[:2] == "s:"})
-    more = drawn_rows.filter(F.col("draw") > F.lit(edge))
-    if n > 1.05 * seed_windows:
-        shared = spark.sparkContext.broadcast(net)
-        tasks = max(1, min(FIT_TASKS, math.ceil(n / TASK_WINDOWS)))
+def fit_network(train: DataFrame, id_counts: np.ndarray, n: int, seed_windows: int = SEED_WINDOWS, task_windows: int = TASK_WINDOWS) -> Network:
+    """The network of the texts ``train(row, ids, draws)``, which have ``n`` windows; an empty corpus leaves it at its first weights."""
+    context = train.sparkSession.sparkContext
+    size = len(id_counts) - 1
+    table = train.select("ids").mapInArrow(_company(most_used(id_counts)[1]), "at int, n binary").repartition("at").mapInArrow(_add_company, "at int, n binary").collect()  # one table of fixed size
+    profile = np.zeros((RARE + 1, NEAR), np.int64)
+    for at, counts in table:
+        profile[at : at + 64] = np.frombuffer(counts, np.int64).reshape(-1, NEAR)
+    net = new_network(id_counts, profile=profile)
+    whole = n <= 1.05 * seed_windows
+    blocks = train.select("row", "ids").mapInArrow(_blocks(size), "mark long, block binary")
+    first = blocks if whole else train.select(F.explode("draws").alias("row"))
+    shared = context.broadcast(net)
+    start = first.repartition(1).sortWithinPartitions(*first.columns).mapInArrow(_fit_start(shared, max(1, min(8, -(-seed_windows // max(1, n))))), "name string, data binary").collect()
+    shared.destroy()
+    for name, data in start:
+        held, k = (net.p if name[0] == "p" else net.steps), name[2:]
+        held[k] = np.frombuffer(data, np.float32).reshape(held[k].shape).copy()
+    if not whole:
+        shared = context.broadcast(net)
+        tasks = max(1, min(FIT_TASKS, math.ceil(n / task_windows)))
         schema = "name string, chunk int, change binary, touches binary"
-        parts = more.repartition(tasks, "draw").sortWithinPartitions("draw", "row").mapInArrow(_fit_more(shared, shared._jbroadcast.id()), schema)
+        # dealt evenly, not by a key: a task's changes are as large as the network, so tasks follow the windows alone
+        parts = blocks.repartition(tasks).sortWithinPartitions("mark", "block").mapInArrow(_fit_more(shared, shared._jbroadcast.id()), schema)
         sums = materialize(parts.repartition("name", "chunk").mapInArrow(_add_up, schema), "lm-weights")
         for name, chunk, change, touches in sums.collect():  # as large as the network
             w = net.p[name]
@@ -613,23 +739,15 @@ def fit_network(train: DataFrame, id_counts: np.ndarray, n_bytes: int, path: str
             w[chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(change, "<f4").reshape(len(t), -1) / np.maximum(t, 1)
         shared.destroy()
         drop(sums)
-    drop(drawn_rows)
     net.steps = {}
     return net
 
 
-@dataclass
-class Knowledge:
-    head: dict[bytes, float]  # log10(c + 1) of the most frequent words
-    net: Network
-
-
 class Reader:
-    """Ids and base values of texts; what is known of a piece is remembered."""
+    """Ids and base values of texts (``head``: log10(c + 1) of the most frequent words); what is known of a piece is remembered."""
 
-    def __init__(self, know: Knowledge, enc: Subwords):
-        self.head, self.enc = know.head, enc
-        self.scorer = Scorer(know.net)
+    def __init__(self, head: dict[bytes, float], enc: Subwords):
+        self.head, self.enc = head, enc
         self._clear()
 
     def _clear(self) -> None:
@@ -651,11 +769,14 @@ class Reader:
         self.pool[self.used : self.used + len(ids)] = ids
         self.begin[a:b], self.size[a:b] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
-        for i, p in enumerate(new, a):
-            found = [self.head.get(w) for w in p.split()]
-            self.value[i] = sum(filter(None, found))
-            self.tails[i] = t = found.count(None)
-            self.known[i] = len(found) - t
+        value, known, tails = [], [], []
+        for p in new:
+            found = list(map(self.head.get, p.split()))
+            none = found.count(None)
+            value.append(found[0] if len(found) == 1 and not none else sum(filter(None, found)))
+            known.append(len(found) - none)
+            tails.append(none)
+        self.value[a:b], self.known[a:b], self.tails[a:b] = value, known, tails
         self.index.update(zip(new, range(a, b), strict=True))
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
@@ -686,41 +807,61 @@ class Reader:
         return np.split(flat, stop[edge[1:-1]]), known + tails, known, values, other
 
 
-def _score(path: str, shared, key: int):
+def _read(path: str, shared, key: int, gap: float):
+    """Ids of every text, what its words give the base, and windows drawn from training texts, one for about ``gap`` bytes."""
+
     @tidy("lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
-        reader = hold("lm", ("reader", key), lambda: Reader(shared.value, subwords(path)))
+        enc = subwords(path)
+        reader = hold("lm", ("reader", key), lambda: Reader(shared.value, enc))
+        kind = _kind(enc.size)
         task, row = TaskContext.get().partitionId() << 40, 0
         end_value = reader.head.get(END)
         ends = int(end_value is not None)
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in batch["text"].to_pylist()]
-            n_tokens, known, base, tails, tail_n, scores = [], [], [], [], [], []
+            n_tokens, known, base, tails, tail_n, written = [], [], [], [], [], []
             group, size = [], 0
             for j, t in enumerate(texts):
                 group.append(t)
                 size += len(t)
                 if size > 1_000_000 or j == len(texts) - 1:
                     ids, n, k, v, other = reader.read(group)
-                    scores += reader.scorer.text_scores(ids).tolist()
+                    written += [i.astype(kind).tobytes() for i in ids]
                     n_tokens += (n + 1).tolist()
                     known += (k + ends).tolist()
                     base += (v + (end_value or 0.0)).tolist()
                     tails += [list(x) for x in other]
                     tail_n += [list(x.values()) for x in other]
                     group, size = [], 0
+            learned = [j for j, out in enumerate(batch["held_out"].to_pylist()) if texts[j] and not out]
+            draws: list[list[bytes]] = [[] for _ in texts]
+            if learned:  # the first training row takes those of all
+                hashes, cut = drawn(enc, [texts[j] for j in learned], gap)
+                draws[learned[0]] = [h.to_bytes(8, "big") + r.tobytes() for h, r in zip(hashes.tolist(), cut, strict=True)]
             rows = np.arange(row, row + len(texts)) + task
             row += len(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch["doc_id"], batch["held_out"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int32()))],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "tail_n"],
+                [pa.array(rows), batch["doc_id"], batch["held_out"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int32())), pa.array(written, pa.binary()), pa.array(draws, pa.list_(pa.binary()))],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "tail_n", "ids", "draws"],
             )
 
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column | None = None, path: str | None = None, head_words: int = HEAD_WORDS, seed_windows: int = SEED_WINDOWS, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _score(shared, key: int):
+    @tidy("lm")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        scorer = hold("lm", ("scorer", key), lambda: Scorer(shared.value))
+        for batch in (part for whole in batches for part in slices(whole, "ids", 1 << 20)):
+            scores = scorer.text_scores(_ids(batch, _kind(scorer.net.end)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "ids"), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c != "ids"), "score"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, learn: Column | None = None, path: str | None = None, head_words: int = HEAD_WORDS, seed_windows: int = SEED_WINDOWS, task_windows: int = TASK_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where ``learn`` does not hold (by default the held-out seventh) are
@@ -744,21 +885,29 @@ def score_texts(docs: DataFrame, learn: Column | None = None, path: str | None =
     for r in counts.filter("space + line > 0").mapInArrow(_id_counts(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         id_counts[r.id] = r.n
     id_counts[-1] = texts
-    net = fit_network(train, id_counts, int(n_bytes), path, seed_windows, gap)
-    shared = spark.sparkContext.broadcast(Knowledge(head, net))
+    gap = max(8.0, (int(n_bytes) + 4 * SCORED * texts) / seed_windows)
+    shared = spark.sparkContext.broadcast(head)
     types = dict(source.dtypes)
-    scored = materialize(
-        source.mapInArrow(_score(path, shared, shared._jbroadcast.id()), f"row long, doc_id {types['doc_id']}, held_out boolean, n_tokens long, known long, base double, score double, tail array<binary>, tail_n array<int>"),
-        "scored",
+    columns = f"row long, doc_id {types['doc_id']}, held_out boolean, n_tokens long, known long, base double"
+    n_ids = F.octet_length("ids") / _kind(len(id_counts) - 1).itemsize
+    read = materialize(
+        source.mapInArrow(_read(path, shared, shared._jbroadcast.id(), gap), f"{columns}, tail array<binary>, tail_n array<int>, ids binary, draws array<binary>"),
+        "lm-ids",
+        n=F.sum(F.when(~F.col("held_out"), F.floor(n_ids / SCORED) + 1)),
     )
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
+    shared.destroy()
+    net = fit_network(read.filter(~F.col("held_out")), id_counts, int(read.measured["n"] or 0), seed_windows, task_windows)
+    shared = spark.sparkContext.broadcast(net)
+    scored = materialize(read.drop("tail", "tail_n", "draws").mapInArrow(_score(shared, shared._jbroadcast.id()), f"{columns}, score double"), "scored")
+    shared.destroy()
+    tail = read.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
     rare = (
         tail.join(counts.filter("c > 0").select("word", "c"), "word")
         .groupBy("row")
         .agg(F.sum("n").cast("long").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("value"))
     )
     spread = math.log10(total + distinct + 1)
-    return scored.drop("tail", "tail_n").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -181,6 +181,29 @@ def test_op7_counts_ids_exactly_and_beats_the_base(spark, monkeypatch):
     assert len(rows) == len(texts) and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_op7_learns_from_every_window_of_every_training_text(spark, monkeypatch):
+    from delvegraph.llm import lm_score
+
+    steps = {}
+    write = lm_score.materialize
+
+    def spy(df, tag, *a, **k):
+        out = write(df, tag, *a, **k)
+        if tag == "lm-weights":  # every step touches the bias of each class
+            steps["bias"] = [np.frombuffer(r.touches, "<f4") for r in out.filter("name = 'bias'").collect()]
+        return out
+
+    monkeypatch.setattr(lm_score, "materialize", spy)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, 150)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = score_texts(docs, seed_windows=300).collect()
+    enc = lm_score.Subwords(lm_score.default_path())
+    windows = sum(len(enc.ids(t)) // lm_score.SCORED + 1 for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2)
+    assert len(rows) == len(texts) and windows > 600
+    assert (steps["bias"][0] == -(-windows // 256)).all()  # steps of 256 windows, in one task
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])

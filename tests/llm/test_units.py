@@ -395,3 +395,44 @@ def test_drawn_windows_are_runs_of_their_text(subwords):
         for r in rows.tolist():
             own = [i for i in r if i != subwords.size + 2]
             assert any(whole[k : k + len(own)] == own for k in range(len(whole)))
+
+
+def texts_of(ids, size):
+    import pyarrow as pa
+
+    raw = [np.array(i, lm_score._kind(size)).tobytes() for i in ids]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())], names=["row", "ids"])
+
+
+def test_every_id_of_every_text_is_learned_once():
+    rng = np.random.default_rng(8)
+    for size in (300, 70_000):  # ids of two bytes and of four
+        ids = [rng.integers(0, size, n) for n in (0, 1, 31, 32, 33, 100, lm_score.BLOCK * lm_score.SCORED, 3 * lm_score.BLOCK * lm_score.SCORED + 7)]
+        blocks = list(lm_score._blocks(size)(iter([texts_of(ids, size)])))
+        got = list(lm_score._pools(iter(blocks), size, 40))
+        assert len(got) > 2
+        rows = np.concatenate(got)
+        _, count = lm_score.windows(ids, np.arange(size, dtype=np.int32))
+        want = lm_score.targets(ids, count, size)  # the windows are those that are scored
+        have = rows[:, lm_score.CONTEXT + 1 :]
+        assert sorted(np.where(have > size, -1, have).tolist()) == sorted(want.tolist())
+
+
+def test_company_is_counted_over_all_texts():
+    rng = np.random.default_rng(10)
+    size = 3000
+    place = lm_score.most_used(rng.integers(0, 50, size + 1))[1]
+    ids = [rng.integers(0, size, n) for n in (0, 1, 5, 400)]
+    want = np.zeros((lm_score.RARE + 1, lm_score.NEAR), np.int64)
+    for i in ids:
+        before = lm_score.RARE
+        for k in place[[*i, size]].tolist():
+            if before < lm_score.NEAR:
+                want[k, before] += 1
+            before = k
+    batches = [texts_of(ids[:2], size), texts_of(ids[2:], size)]
+    got = np.zeros_like(want)
+    for part in lm_score._add_company(p for b in batches for p in lm_score._company(place)(iter([b]))):
+        for at, n in zip(part["at"].to_pylist(), part["n"].to_pylist(), strict=True):
+            got[at : at + 64] += np.frombuffer(n, np.int64).reshape(-1, lm_score.NEAR)
+    assert (got == want).all()
