@@ -268,9 +268,16 @@ def descend(p: Weights, steps: Weights, grads: list, n: float, rate: float, touc
                 order = np.argsort(flat, kind="stable")
                 flat = flat.take(order)
                 first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-                seen[id(rows)] = order, first, flat.take(first).astype(np.intp)
-            order, first, u = seen[id(rows)]
-            s = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+                size = np.diff(first, append=len(flat))
+                more = np.flatnonzero(size > 1)  # most rows are met once and need no sum
+                size = size.take(more)
+                begin = np.cumsum(size) - size
+                at = order.take(np.arange(int(size.sum())) + np.repeat(first.take(more) - begin, size))
+                seen[id(rows)] = order.take(first), more, at, begin, flat.take(first).astype(np.intp)
+            once, more, at, begin, u = seen[id(rows)]
+            s = g.take(once, axis=0)
+            if len(more):
+                s[more] = np.add.reduceat(g.take(at, axis=0), begin, axis=0)
             s *= np.float32(100 / n)
         steps[name][u] += np.einsum("ij,ij->i", s, s) / s.shape[1]
         s *= (rate / np.sqrt(steps[name][u]))[:, None].astype(np.float32)
@@ -308,8 +315,9 @@ def most_used(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pairs(seen: np.ndarray, before: np.ndarray) -> np.ndarray:
     """How often each place follows each of the NEAR most used ones."""
-    near = before < NEAR
-    return np.bincount(seen[near] * NEAR + before[near], minlength=(RARE + 1) * NEAR).reshape(RARE + 1, NEAR)
+    cell = np.minimum(before, NEAR)
+    cell += seen * (NEAR + 1)
+    return np.bincount(cell, minlength=(RARE + 1) * (NEAR + 1)).reshape(RARE + 1, NEAR + 1)[:, :NEAR]
 
 
 def new_network(counts: np.ndarray, rows: np.ndarray | None = None, profile: np.ndarray | None = None) -> Network:
@@ -581,16 +589,11 @@ def _company(place: np.ndarray):
     @tidy("lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((RARE + 1, NEAR), np.int64)
-        for batch in (part for whole in batches for part in slices(whole, "ids")):
-            texts = _ids(batch, _kind(len(place) - 1))
-            n = np.array([len(t) + 1 for t in texts])
-            first = np.cumsum(n) - n
-            seen = np.full(int(n.sum()), place[-1])
-            at = np.ones(len(seen), bool)
-            at[first + n - 1] = False
-            seen[at] = place[np.concatenate(texts)] if len(texts) else 0
+        for batch in (part for whole in batches for part in slices(whole, "ids", 1 << 20)):
+            texts = [place[i] for i in _ids(batch, _kind(len(place) - 1))]
+            seen = np.concatenate([x for t in texts for x in (t, place[-1:])])
             before = np.concatenate([[RARE], seen[:-1]])
-            before[first] = RARE
+            before[np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])] = RARE
             total += pairs(seen, before)
         for k in range(0, RARE + 1, 64):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + 64].tobytes()], pa.binary())], names=["at", "n"])
@@ -868,7 +871,8 @@ def score_texts(docs: DataFrame, learn: Column | None = None, path: str | None =
     scored but not learned from.  Null text is empty: its end is its only token.
     Rows of equal ids are texts of their own.  Without training rows every count
     is 0 and the network keeps its first weights; an empty table gives an empty
-    result.  Other columns of ``docs`` are not read.
+    result.  Other columns of ``docs`` are not read.  Rows that lie otherwise in
+    partitions are learned from in another order, which moves ``score`` a little.
     """
     spark = docs.sparkSession
     path = path or default_path()

@@ -436,3 +436,18 @@ def test_company_is_counted_over_all_texts():
         for at, n in zip(part["at"].to_pylist(), part["n"].to_pylist(), strict=True):
             got[at : at + 64] += np.frombuffer(n, np.int64).reshape(-1, lm_score.NEAR)
     assert (got == want).all()
+
+
+def test_a_step_sums_the_gradients_of_each_row():
+    rng = np.random.default_rng(12)
+    for n_rows in (5, 400, 70_000):
+        rows = rng.integers(0, n_rows, (6, 20)).astype(np.int32)
+        p, steps, touched = {"t": rng.standard_normal((n_rows, 3)).astype(np.float32)}, {"t": np.full(n_rows, 0.1, np.float32)}, {"t": np.zeros(n_rows, np.float32)}
+        g = rng.standard_normal((120, 3)).astype(np.float32)
+        total = np.zeros((n_rows, 3))
+        np.add.at(total, rows.ravel(), g * 2.0)
+        size = 0.1 + (total**2).mean(axis=1)
+        want = p["t"] - 0.3 * total / np.sqrt(size)[:, None]
+        lm_score.descend(p, steps, [("t", rows, g)], 50, 0.3, touched)
+        assert np.allclose(p["t"], want, atol=1e-5) and np.allclose(steps["t"], size, atol=1e-4)
+        assert (np.flatnonzero(touched["t"]) == np.unique(rows)).all() and touched["t"].max() == 1
