@@ -30,7 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,14 @@ def pieces(raw: bytes) -> list[bytes]:
     return raw.replace(b"\n", b" \n").split(b" ")
 
 
+def one_word(some: list[bytes]) -> np.ndarray:
+    """Which of them are words: not empty, and without white space."""
+    length = np.fromiter(map(len, some), np.int64, len(some))
+    white = np.concatenate([[0], np.cumsum(_SPACE[np.frombuffer(b"".join(some), np.uint8)])])
+    stop = np.cumsum(length)
+    return (length > 0) & (white[stop] == white[stop - length])
+
+
 class Subwords:
     """Ids of pieces by a public byte-level vocabulary; nothing is added."""
 
@@ -185,72 +193,108 @@ def first_steps(p: Weights) -> Weights:
 
 
 def hidden(p: Weights, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """State after each of the last SCORED slots of every window (rows of ``x``), and what a gradient needs."""
+    """State after each of the last SCORED slots of every window (rows of ``x``) with a 1 at its end, and what a gradient needs."""
     pair, triple = grams(x)
-    own = x[:, CONTEXT:]
-    q, k, v = p["query"].take(own, axis=0), p["key"].take(x, axis=0), p["value"].take(x, axis=0)
+    x = x.astype(np.intp)
+    own = np.ascontiguousarray(x[:, CONTEXT:])
+    q, k = p["query"].take(own, axis=0), p["key"].take(x, axis=0)
+    v = _with_one(p["value"]).take(x, axis=0)  # the ones sum the weights of the places
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += p["back"][:, 0][_BACK]
     np.exp(np.clip(a, -25, 25, out=a), out=a)
     a *= _CAUSAL
-    a /= a @ np.ones((SPAN, 1), a.dtype)
     gathered = np.matmul(a, v)
-    z = gathered + p["one"].take(own, axis=0)
+    whole = 1 / gathered[:, :, WIDTH:]
+    gathered = gathered[:, :, :WIDTH] * whole
+    z = p["one"].take(own, axis=0)
+    z += gathered
     z += p["two"].take(pair, axis=0)
     z += p["three"].take(triple, axis=0)
-    r = 1 / np.sqrt(1 + z * z)
-    return z * r, (pair, triple, own, q, k, v, a, gathered, r)
+    r = z * z
+    r += 1
+    np.divide(1, np.sqrt(r, out=r), out=r)
+    h = np.ones((*z.shape[:2], WIDTH + 1), z.dtype)
+    np.multiply(z, r, out=h[:, :, :WIDTH])
+    return h, (pair, triple, own, x, q, k, v, a, whole, gathered, r)
+
+
+def _with_one(t: np.ndarray) -> np.ndarray:
+    return np.concatenate([t, np.ones((len(t), 1), t.dtype)], axis=1)
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values for different rows, each moved as one item."""
+    kind = np.dtype((np.void, table.shape[1] * table.itemsize))
+    np.put(table.view(kind), rows, np.ascontiguousarray(values).view(kind))
+
 
+def heads(out: np.ndarray, bias: np.ndarray, member: np.ndarray, member_bias: np.ndarray) -> np.ndarray:
+    """For each class: rows of all classes and then of its members, with their bias last."""
+    both = np.empty((CLASSES, CLASSES + MEMBERS, WIDTH + 1), out.dtype)
+    both[:, :CLASSES, :WIDTH], both[:, :CLASSES, WIDTH:] = out, bias
+    both[:, CLASSES:, :WIDTH], both[:, CLASSES:, WIDTH] = member.reshape(CLASSES, MEMBERS, WIDTH), member_bias.reshape(CLASSES, MEMBERS)
+    return both
 
-def gradients(p: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, int, list[tuple[str, np.ndarray | None, np.ndarray]]]:
-    """(loss in nats, places, gradients as (table, rows or all, values)) for the output slots ``y``; -1: none."""
-    h, (pair, triple, own, q, k, v, a, gathered, r) = hidden(p, x)
+
+def spans(cuts: np.ndarray) -> list[tuple[int, slice]]:
+    """The classes that have places, and where these lie."""
+    ends = cuts.tolist()
+    return [(g, slice(i, j)) for g, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+
+
+def logits(both: np.ndarray, state: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A column for each state (rows by class): of all classes, then of the members of its class."""
+    e = np.empty((CLASSES + MEMBERS, len(state)), state.dtype)
+    for g, own in spans(cuts):
+        np.matmul(both[g], state[own].T, out=e[:, own])
+    return e
+
+
+def gradients(p: Weights, x: np.ndarray, y: np.ndarray, cost: bool = True) -> tuple[float, int, list[tuple[str, np.ndarray | None, np.ndarray]]]:
+    """(loss in nats if ``cost``, places, gradients as (table, rows or all, values)) for the output slots ``y``; -1: none."""
+    h, (pair, triple, last, x, q, k, v, a, whole, gathered, r) = hidden(p, x)
     y = y.ravel().astype(np.int16)
     order = np.argsort(y, kind="stable")
     cuts = np.searchsorted(y.take(order), np.arange(CLASSES + 1) * MEMBERS)
     order, cuts = order[cuts[0] :], cuts - cuts[0]  # by class; places with nothing to predict came first
-    state, y = h.reshape(-1, WIDTH).take(order, axis=0), y.take(order).astype(np.intp)
-    at = np.arange(len(y))
-    e = _softmax(state @ p["out"].T + p["bias"][:, 0])
-    nats = _less_one(e, at * CLASSES + y // MEMBERS)
-    d_state, d_out, d_bias = e @ p["out"], e.T @ state, e.sum(axis=0)[:, None]
-    d_member, d_member_bias = np.zeros_like(p["member"]), np.zeros_like(p["member_bias"])
-    for g in range(CLASSES):
-        i, j = cuts[g : g + 2]
-        if i < j:
-            rows = slice(g * MEMBERS, (g + 1) * MEMBERS)
-            f = _softmax(state[i:j] @ p["member"][rows].T + p["member_bias"][rows, 0])
-            nats += _less_one(f, at[: j - i] * MEMBERS + y[i:j] % MEMBERS)
-            d_state[i:j] += f @ p["member"][rows]
-            d_member[rows], d_member_bias[rows] = f.T @ state[i:j], f.sum(axis=0)[:, None]
-    dz = np.zeros((h.size // WIDTH, WIDTH), d_state.dtype)
-    dz[order] = d_state
-    dz = dz.reshape(h.shape)
-    dz *= r * r * r
-    ds = np.matmul(dz, v.transpose(0, 2, 1))
-    ds -= np.einsum("bij,bij->bi", dz, gathered)[:, :, None]
+    state, y = h.reshape(-1, WIDTH + 1).take(order, axis=0), y.take(order).astype(np.intp)
+    n = len(order)
+    both = heads(p["out"], p["bias"], p["member"], p["member_bias"])
+    e = logits(both, state, cuts)
+    np.exp(np.clip(e, -60, 60, out=e), out=e)  # as ``Scorer`` keeps logits
+    nats = _less_one(e[:CLASSES], y // MEMBERS, cost) + _less_one(e[CLASSES:], y % MEMBERS, cost)
+    d_state, d_heads = np.empty((n, WIDTH), h.dtype), np.zeros_like(both)
+    for g, own in spans(cuts):
+        np.matmul(e[:, own].T, both[g, :, :WIDTH], out=d_state[own])
+        np.matmul(e[:, own], state[own], out=d_heads[g])
+    d_out, d_member = d_heads[:, :CLASSES].sum(axis=0), d_heads[:, CLASSES:].reshape(-1, WIDTH + 1)
+    dz = np.zeros((r.size // WIDTH, WIDTH), d_state.dtype)
+    _put(dz, order, d_state)
+    dz = dz.reshape(r.shape)
+    dz *= r
+    r *= r
+    dz *= r
+    d = np.empty((*r.shape[:2], WIDTH + 1), dz.dtype)
+    np.multiply(dz, whole, out=d[:, :, :WIDTH])
+    np.negative(np.einsum("bij,bij->bi", d[:, :, :WIDTH], gathered), out=d[:, :, WIDTH])
+    ds = np.matmul(d, v.transpose(0, 2, 1))
     ds *= a
     d_back = np.bincount(_BACK.ravel(), ds.sum(axis=0).ravel(), SPAN).astype(ds.dtype)[:, None]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     dz_flat = flat(dz)
-    return nats, len(y), [
-        ("query", own, flat(np.matmul(ds, k))), ("key", x, flat(np.matmul(ds.transpose(0, 2, 1), q))), ("value", x, flat(np.matmul(a.transpose(0, 2, 1), dz))),
-        ("one", own, dz_flat), ("two", pair, dz_flat), ("three", triple, dz_flat), ("back", None, d_back),
-        ("out", None, d_out), ("bias", None, d_bias), ("member", None, d_member), ("member_bias", None, d_member_bias),
+    return nats, n, [
+        ("query", last, flat(np.matmul(ds, k))), ("key", x, flat(np.matmul(ds.transpose(0, 2, 1), q))), ("value", x, flat(np.matmul(a.transpose(0, 2, 1), d[:, :, :WIDTH]))),
+        ("one", last, dz_flat), ("two", pair, dz_flat), ("three", triple, dz_flat), ("back", None, d_back),
+        ("out", None, d_out[:, :WIDTH]), ("bias", None, d_out[:, WIDTH:]), ("member", None, d_member[:, :WIDTH]), ("member_bias", None, d_member[:, WIDTH:]),
     ]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of rows of logits, which are kept within 60 of 0 as ``Scorer`` keeps them; in place."""
-    np.exp(np.clip(x, -60, 60, out=x), out=x)
-    x /= x @ np.ones((x.shape[1], 1), x.dtype)
-    return x
-
-
-def _less_one(e: np.ndarray, at: np.ndarray) -> float:
-    """Take 1 from the flat places ``at`` of probabilities, and return the nats that these cost."""
+def _less_one(e: np.ndarray, at: np.ndarray, cost: bool) -> float:
+    """Make columns of sums 1, take 1 from row ``at`` of each, and return the nats that these cost."""
+    e *= 1 / e.sum(axis=0)
     flat = e.reshape(-1)
-    nats = -float(np.log(np.maximum(flat.take(at), 1e-30)).sum())
+    at = at * e.shape[1] + np.arange(e.shape[1])
+    nats = -float(np.log(np.maximum(flat.take(at), 1e-30)).sum()) if cost else 0.0
     flat[at] -= 1
     return nats
 
@@ -258,9 +302,10 @@ def _less_one(e: np.ndarray, at: np.ndarray) -> float:
 def descend(p: Weights, steps: Weights, grads: list, n: float, rate: float, touched: Weights | None = None) -> None:
     """One step, each row by its own rate; ``touched`` counts the steps of every row."""
     seen: dict[int, tuple] = {}  # tables that share their rows share the order
+    scale = np.float32(100 / n)
     for name, rows, g in grads:
         if rows is None:
-            u, s = slice(None), g * np.float32(100 / n)
+            u, s, size = slice(None), g, steps[name]
         else:
             if id(rows) not in seen:
                 flat = rows.ravel()
@@ -277,15 +322,26 @@ def descend(p: Weights, steps: Weights, grads: list, n: float, rate: float, touc
             once, more, at, begin, u = seen[id(rows)]
             s = g.take(once, axis=0)
             if len(more):
-                s[more] = np.add.reduceat(g.take(at, axis=0), begin, axis=0)
-            s *= np.float32(100 / n)
-        steps[name][u] += np.einsum("ij,ij->i", s, s) / s.shape[1]
-        s *= (rate / np.sqrt(steps[name][u]))[:, None].astype(np.float32)
-        p[name][u] -= s
+                _put(s, more, _sums(g.take(at, axis=0), begin))
+            size = steps[name].take(u)
+        size += np.einsum("ij,ij->i", s, s) * (scale * scale / s.shape[1])
+        s *= (rate * scale / np.sqrt(size))[:, None]
+        if rows is None:
+            p[name] -= s
+        else:
+            steps[name][u] = size
+            _put(p[name], u, p[name].take(u, axis=0) - s)
         if touched is not None:
             touched[name][u] += 1
 
 
+def _sums(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that ``begin`` there; two columns are summed as one of complex numbers, which halves the work."""
+    if g.dtype != np.float32 or g.shape[1] % 2:
+        return np.add.reduceat(g, begin, axis=0)
+    return np.add.reduceat(g.view(np.complex64), begin, axis=0).view(np.float32)
+
+
 def learn(net: Network, rows: np.ndarray, first: float, last: float, touched: Weights | None = None, batch: int = 64) -> None:
     """Fit ``net`` in place on windows (rows of SPAN + 1 ids) in their order, the rate falling from ``first`` to ``last``.
 
@@ -296,7 +352,7 @@ def learn(net: Network, rows: np.ndarray, first: float, last: float, touched: We
     n = -(-len(rows) // batch)
     for k in range(n):
         part = rows[k * batch : (k + 1) * batch]
-        _, places, grads = gradients(net.p, slot[part[:, :SPAN]], out[part[:, CONTEXT + 1 :]])
+        _, places, grads = gradients(net.p, slot[part[:, :SPAN]], out[part[:, CONTEXT + 1 :]], cost=False)
         if places:
             descend(net.p, net.steps, grads, places * 64 / batch, first + (last - first) * k / n, touched)
 
@@ -476,17 +532,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = 0
 
     def out() -> pa.RecordBatch:
-        rows: list[tuple[bytes, int, int, int]] = [(END, ends, 0, 0)] if ends else []
-        for piece, n in counts.items():
-            line = piece[:1] == b"\n"
-            body = piece[1:] if line else piece
-            w = body.split()
-            plain = len(w) == 1 and len(w[0]) == len(body)
-            rows.append((body, n if plain else 0, 0 if line else n, n if line else 0))
-            if not plain:
-                rows += [(x, n, 0, 0) for x in w]
-        word, c, space, line = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(c, pa.int64()), pa.array(space, pa.int64()), pa.array(line, pa.int64())], names=["word", "c", "space", "line"])
+        found, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        body = [p[1:] if p[:1] == b"\n" else p for p in found]
+        line = np.fromiter(map(len, found), np.int64, len(found)) > np.fromiter(map(len, body), np.int64, len(found))
+        plain = one_word(body)
+        more = [(w, k) for i, k in zip(np.flatnonzero(~plain).tolist(), n[~plain].tolist(), strict=True) for w in body[i].split()]
+        more += [(END, ends)] if ends else []
+        none = np.zeros(len(more), np.int64)
+        columns = (np.where(plain, n, 0), np.array([k for _, k in more], np.int64)), (np.where(line, 0, n), none), (np.where(line, n, 0), none)
+        return pa.RecordBatch.from_arrays([pa.array(body + [w for w, _ in more], pa.binary()), *(pa.array(np.concatenate(c)) for c in columns)], names=["word", "c", "space", "line"])
 
     for batch in (part for whole in batches for part in slices(whole, "text")):
         for text in batch.column(0).to_pylist():
@@ -746,53 +800,77 @@ def fit_network(train: DataFrame, id_counts: np.ndarray, n: int, seed_windows: i
     return net
 
 
+class _Numbers(dict):
+    """Numbers things as they are first asked for."""
+
+    def __missing__(self, thing):
+        self[thing] = n = len(self)
+        return n
+
+
 class Reader:
-    """Ids and base values of texts (``head``: log10(c + 1) of the most frequent words); what is known of a piece is remembered."""
+    """Ids and base values of texts (``head``: log10(c + 1) of the most frequent words).
+
+    What is known of a piece is remembered; where that gets too much, pieces met once go first.
+    """
 
     def __init__(self, head: dict[bytes, float], enc: Subwords):
         self.head, self.enc = head, enc
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = _Numbers()
         self.pool, self.begin = np.zeros(1 << 16, np.uint16 if self.enc.size <= 1 << 16 else np.uint32), np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int32)
+        self.size, self.uses = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.value, self.known, self.tails = np.zeros(1 << 14), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces met most since the last time, of those met again; earlier uses count half."""
+        uses = self.uses[: len(self.index)]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > MEMORY // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: MEMORY // 2]])
+        names, size = list(self.index), self.size[keep].astype(np.int64)
+        stop = np.cumsum(size)
+        self.used = int(size.sum())
+        self.pool[: self.used] = self.pool[np.arange(self.used) + np.repeat(self.begin[keep] - (stop - size), size)]
+        for c in ("size", "value", "known", "tails"):
+            getattr(self, c)[: len(keep)] = getattr(self, c)[keep]
+        self.begin[: len(keep)] = stop - size
+        uses[: len(keep)], uses[len(keep) :] = uses[keep] // 2, 0
+        self.index = _Numbers(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+
     def _learn(self, new: list[bytes]) -> None:
-        a = len(self.index)
-        b = a + len(new)
+        """``new``: the pieces that came last into ``index``."""
+        b = len(self.index)
+        a = b - len(new)
         ids, size = self.enc.many(new)
         while b > len(self.begin):
-            for c in ("begin", "size", "value", "known", "tails"):
+            for c in ("begin", "size", "value", "known", "tails", "uses"):
                 setattr(self, c, np.concatenate([getattr(self, c), np.zeros_like(getattr(self, c))]))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
         self.begin[a:b], self.size[a:b] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
-        value, known, tails = [], [], []
-        for p in new:
-            found = list(map(self.head.get, p.split()))
+        self.value[a:b] = np.fromiter(map(self.head.get, new, repeat(-1.0)), float, len(new))  # no word has less than 0
+        self.known[a:b] = self.value[a:b] >= 0
+        self.tails[a:b] = ~(self.value[a:b] >= 0)
+        self.value[a:b] *= self.known[a:b]
+        for i in np.flatnonzero(~one_word(new)).tolist():
+            found = list(map(self.head.get, new[i].split()))
             none = found.count(None)
-            value.append(found[0] if len(found) == 1 and not none else sum(filter(None, found)))
-            known.append(len(found) - none)
-            tails.append(none)
-        self.value[a:b], self.known[a:b], self.tails[a:b] = value, known, tails
-        self.index.update(zip(new, range(a, b), strict=True))
+            self.value[a + i], self.known[a + i], self.tails[a + i] = sum(filter(None, found)), len(found) - none, none
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
         """(ids, words, known words, base values, other words) of some texts."""
         cut = [pieces(t) if t else [] for t in texts]
         if len(self.index) > MEMORY:
-            self._clear()
+            self._forget()
         every = list(chain.from_iterable(cut))
-        found = list(map(self.index.get, every))
-        if None in found:
-            self._learn(list({p for p, k in zip(every, found, strict=True) if k is None}))
-            found = list(map(self.index.__getitem__, every))
-        n, at = np.array([len(c) for c in cut]), np.array(found, np.int64)
+        before = len(self.index)
+        n, at = np.array([len(c) for c in cut]), np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if len(self.index) > before:
+            self._learn(list(islice(self.index, before, None)))
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
         size = self.size[at].astype(np.int64)
         stop = np.concatenate([[0], np.cumsum(size)])
         flat = self.pool[np.arange(stop[-1]) + np.repeat(self.begin[at] - stop[:-1], size)].astype(np.int64)

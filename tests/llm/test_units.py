@@ -451,3 +451,58 @@ def test_a_step_sums_the_gradients_of_each_row():
         lm_score.descend(p, steps, [("t", rows, g)], 50, 0.3, touched)
         assert np.allclose(p["t"], want, atol=1e-5) and np.allclose(steps["t"], size, atol=1e-4)
         assert (np.flatnonzero(touched["t"]) == np.unique(rows)).all() and touched["t"].max() == 1
+
+
+def test_a_reader_keeps_the_pieces_it_meets_most(subwords, monkeypatch):
+    monkeypatch.setattr(lm_score, "MEMORY", 60)
+    rng = np.random.default_rng(13)
+    often = [f"w{k}" for k in range(20)]
+    head = {w.encode(): 1.0 + k for k, w in enumerate(often)} | {lm_score.END: 0.5}
+    encoded = []
+    many = lm_score.Subwords.many
+    monkeypatch.setattr(lm_score.Subwords, "many", lambda self, some: (encoded.extend(some), many(self, some))[1])
+    reader = lm_score.Reader(head, subwords)
+    for k in range(12):  # 50 pieces of its own each time, so that the memory runs over again and again
+        texts = [" ".join([*rng.permutation(often * 3).tolist(), *(f"q{k}x{j}" for j in range(50)), "\n", "a\tw3\nw4 ", ""]).encode(), b"", b"\n\nw1"]
+        ids, n, known, value, other = reader.read(texts)
+        for i, t in enumerate(texts):
+            words = t.split()
+            tail = [w for w in words if w not in head]
+            assert ids[i].tolist() == many(subwords, lm_score.pieces(t))[0].tolist() if t else len(ids[i]) == 0
+            assert (n[i], known[i], other[i]) == (len(words), len(words) - len(tail), {w: tail.count(w) for w in tail})
+            assert abs(value[i] - sum(head.get(w, 0) for w in words)) < 1e-9
+    assert len(reader.index) < 60 + 100 and max(encoded.count(w.encode()) for w in often) == 1
+
+
+def test_rows_of_even_width_are_summed_alike():
+    rng = np.random.default_rng(14)
+    for width in (1, 3, 8, lm_score.WIDTH):
+        rows = rng.integers(0, 40, (6, 20)).astype(np.int32)
+        p, steps = {"t": rng.standard_normal((50, width)).astype(np.float32)}, {"t": np.full(50, 0.1, np.float32)}
+        g = rng.standard_normal((120, width)).astype(np.float32)
+        total = np.zeros((50, width))
+        np.add.at(total, rows.ravel(), g * 2.0)
+        size = 0.1 + (total**2).mean(axis=1)
+        want = p["t"] - 0.3 * total / np.sqrt(size)[:, None]
+        lm_score.descend(p, steps, [("t", rows, g)], 50, 0.3)
+        assert np.allclose(p["t"], want, atol=1e-5) and np.allclose(steps["t"], size, atol=1e-4)
+
+
+def test_counts_of_pieces_and_words():
+    import pyarrow as pa
+    from collections import Counter
+
+    odd = ["a b", " a", "", None, "A  b\n", "a\nb\n\n\nc", "\t x\r\ny z\tz", "\n", " "]
+    want = Counter()
+    for t in odd:
+        raw = (t or "").encode().lower()
+        for w in [*raw.split(), lm_score.END]:
+            want[w, "c"] += 1
+        for x in lm_score.pieces(raw) if raw else []:
+            want[x[1:] if x[:1] == b"\n" else x, "line" if x[:1] == b"\n" else "space"] += 1
+    got = Counter()
+    for part in lm_score._count(iter([pa.RecordBatch.from_arrays([pa.array(odd)], names=["text"])])):
+        for r in part.to_pylist():
+            for c in ("c", "space", "line"):
+                got[r["word"], c] += r[c]
+    assert +got == +want
