@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,18 +245,39 @@ def edit_check(now: DataFrame, head: DataFrame, key: str = "canon") -> DataFrame
 
 
 def propagate_bits(edges: DataFrame, access: DataFrame) -> DataFrame:
-    """(id, cell, reads, writes): accesses (id, cell, reads, writes) carried from callee to caller to a fixpoint."""
-    from delvegraph.plans.staging import stage
-
-    step = edges.select("src", "dst").distinct()
-    bits = F.sum(F.col("reads").cast("int") + F.col("writes").cast("int"))
-    held = stage(access.groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")), bits=bits)
-    while True:
-        up = held.join(step, held["id"] == step["dst"]).select(F.col("src").alias("id"), "cell", "reads", "writes")
-        new = stage(held.unionByName(up).groupBy("id", "cell").agg(F.max("reads").alias("reads"), F.max("writes").alias("writes")), bits=bits)
-        if new.measured == held.measured:
-            return new
-        held = new
+    """(id, cell, reads, writes): accesses (id, cell, reads, writes) carried from callee to caller to a fixpoint.
+
+    A row of the loop holds the bits of up to 63 cells of a symbol; a round carries only
+    what the last one changed, over edges held by their callee.
+    """
+    from delvegraph.plans.ranking import numbered
+    from delvegraph.plans.staging import hold, stage, unstage
+
+    kinds = dict(access.dtypes)
+    held = stage(access.groupBy("id", "cell").agg(F.max("reads").cast("int").alias("reads"), F.max("writes").cast("int").alias("writes")), "bits")
+    codes = stage(numbered(held.select("cell").distinct(), [F.col("cell")], "code"), "cells")
+    links = hold(edges.filter("src <> dst").select("src", "dst").distinct(), "dst")
+    at = lambda flag: F.bit_or(F.when(flag, F.expr("shiftleft(1L, cast(code % 63 as int))")).otherwise(F.lit(0).cast("long")))
+    flags = {"there": F.lit(True), "r0": F.col("reads").isNotNull(), "r1": F.col("reads") > 0, "w0": F.col("writes").isNotNull(), "w1": F.col("writes") > 0}
+    coded = held.join(codes.withColumnRenamed("cell", "of"), F.col("cell").eqNullSafe(F.col("of")))
+    state = stage(coded.groupBy("id", F.floor(F.col("code") / 63).alias("block")).agg(*(at(c).alias(k) for k, c in flags.items())).withColumn("new", F.lit(True)), "bits")
+    zero = F.lit(0).cast("long")
+    while state.measured["rows"]:
+        front = state.filter("new").select(F.col("id").alias("dst"), "block", *flags)
+        up = links.join(front, "dst").groupBy(F.col("src").alias("id"), "block").agg(*(F.bit_or(k).alias(f"up_{k}") for k in flags))
+        both = {k: F.coalesce(F.col(k), zero).bitwiseOR(F.coalesce(F.col(f"up_{k}"), zero)) for k in flags}
+        changed = functools.reduce(lambda a, b: a | b, (both[k] != F.coalesce(F.col(k), zero) for k in flags))
+        new = stage(state.drop("new").join(up, ["id", "block"], "full").select("id", "block", *(c.alias(k) for k, c in both.items()), changed.alias("new")), "bits", moved=F.count_if("new"))
+        unstage(state)
+        state = new
+        if not state.measured["moved"]:
+            break
+    links.unpersist()
+    bit = lambda k: F.expr(f"shiftright({k}, pos) & 1L = 1L")
+    each = state.select("id", "block", *flags, F.explode(F.sequence(F.lit(0), F.lit(62))).alias("pos")).filter(bit("there"))
+    value = lambda k, kind: F.when(bit(f"{k}1"), 1).when(bit(f"{k}0"), 0).cast(kind)
+    out = each.select("id", (F.col("block") * 63 + F.col("pos")).alias("code"), value("r", kinds["reads"]).alias("reads"), value("w", kinds["writes"]).alias("writes"))
+    return out.join(codes, "code").select("id", "cell", "reads", "writes")
 
 
 def module_metrics(edges: DataFrame, symbols: DataFrame) -> DataFrame:
