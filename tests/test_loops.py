@@ -20,6 +20,12 @@ def counted(spark):
     return spark.sparkContext.parallelize(PAIRS, 2).map(count).toDF("src long, dst long, w double"), lambda: seen.value
 
 
+def test_connect(spark, counted):
+    edges, n = counted
+    assert kernels.connect(edges, [0, 3, 6]) == [(0, 4), (2, 3), (2, 5), (3, 4), (5, 6)]
+    assert n() == len(PAIRS)
+
+
 def test_bits_of_many_cells(spark, counted):
     edges, n = counted
     rows = [(v, f"c{v * 20 + k}", k % 2, None if k == 3 else 0) for v in (4, 6) for k in range(70)] + [(5, None, 1, 1)]
