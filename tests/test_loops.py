@@ -26,6 +26,21 @@ def test_connect(spark, counted):
     assert n() == len(PAIRS)
 
 
+def test_hits_write_each_half_round_once(spark, counted, monkeypatch):
+    edges, n = counted
+    written = []
+    stage = G.stage
+    monkeypatch.setattr(G, "stage", lambda df, tag="round", **m: written.append(tag) or stage(df, tag, **m))
+    got = {r.id: (r.authority, r.hub) for r in G.hits(spark.range(7), edges, tol=0, max_iter=3).collect()}
+    assert n() == len(PAIRS) and written.count("hits") == 1 + 2 * 3
+    a = h = dict.fromkeys(range(7), 7**-0.5)
+    unit = lambda v: {k: x / sum(y * y for y in v.values()) ** 0.5 for k, x in v.items()}
+    for _ in range(3):
+        a = unit({v: sum(h[s] for s, d in PAIRS if d == v) for v in range(7)})
+        h = unit({v: sum(a[d] for s, d in PAIRS if s == v) for v in range(7)})
+    assert all(abs(got[v][0] - a[v]) < 1e-12 and abs(got[v][1] - h[v]) < 1e-12 for v in range(7))
+
+
 def test_bits_of_many_cells(spark, counted):
     edges, n = counted
     rows = [(v, f"c{v * 20 + k}", k % 2, None if k == 3 else 0) for v in (4, 6) for k in range(70)] + [(5, None, 1, 1)]
