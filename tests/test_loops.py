@@ -20,6 +20,19 @@ def counted(spark):
     return spark.sparkContext.parallelize(PAIRS, 2).map(count).toDF("src long, dst long, w double"), lambda: seen.value
 
 
+def test_ego(spark, counted):
+    edges, n = counted
+    got = {(r.id, r.hop, r.direction) for r in G.ego(edges, spark.createDataFrame([(2,)], "id long"), depth=2, fan_out=8).collect()}
+    assert got == {(3, 1, 1), (5, 1, 1), (1, 1, -1), (4, 2, 1), (6, 2, 1), (0, 2, -1)}
+    assert n() == len(PAIRS)
+
+
+def test_ego_passes_on_the_heaviest_edges(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0), (0, 3, 2.0), (2, 4, 1.0), (2, 5, 1.0), (2, 6, 1.0), (1, 7, 9.0), (8, 0, 1.0)], "src long, dst long, w double")
+    got = {(r.id, r.hop, r.direction) for r in G.ego(e, spark.createDataFrame([(0,)], "id long"), depth=2, fan_out=2).collect()}
+    assert got == {(2, 1, 1), (3, 1, 1), (8, 1, -1), (4, 2, 1), (5, 2, 1)}
+
+
 def test_connect(spark, counted):
     edges, n = counted
     assert kernels.connect(edges, [0, 3, 6]) == [(0, 4), (2, 3), (2, 5), (3, 4), (5, 6)]
