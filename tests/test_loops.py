@@ -20,6 +20,12 @@ def counted(spark):
     return spark.sparkContext.parallelize(PAIRS, 2).map(count).toDF("src long, dst long, w double"), lambda: seen.value
 
 
+def test_reach(spark, counted):
+    edges, n = counted
+    assert {(r.id, r.hop) for r in G.reach(edges, spark.createDataFrame([(0,)], "id long")).collect()} == {(1, 1), (2, 2), (3, 3), (5, 3), (4, 4), (6, 4)}
+    assert n() == len(PAIRS)
+
+
 def test_ego(spark, counted):
     edges, n = counted
     got = {(r.id, r.hop, r.direction) for r in G.ego(edges, spark.createDataFrame([(2,)], "id long"), depth=2, fan_out=8).collect()}
