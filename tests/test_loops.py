@@ -26,6 +26,13 @@ def test_reach(spark, counted):
     assert n() == len(PAIRS)
 
 
+def test_class_cone(spark, counted):
+    edges, n = counted
+    inherits = edges.filter("dst > src").select(edges["src"].alias("derived"), edges["dst"].alias("base"))
+    assert {r.id for r in bundles.class_cone(inherits, spark.createDataFrame([(2,)], "id long")).collect()} == set(range(7))
+    assert n() == len(PAIRS)
+
+
 def test_ego(spark, counted):
     edges, n = counted
     got = {(r.id, r.hop, r.direction) for r in G.ego(edges, spark.createDataFrame([(2,)], "id long"), depth=2, fan_out=8).collect()}
