@@ -52,6 +52,23 @@ def test_connect(spark, counted):
     assert n() == len(PAIRS)
 
 
+@pytest.mark.parametrize("tol", [1e-6, 0])
+def test_pagerank(spark, counted, tol):
+    edges, n = counted
+    nodes = spark.range(7)
+    got = {r.id: r.rank for r in G.personalized_pagerank(nodes, edges, tol=tol, max_iter=30).collect()}
+    assert n() == len(PAIRS)
+    rank = dict.fromkeys(range(7), 1 / 7)
+    out = {v: sum(a == v for a, _ in PAIRS) for v in range(7)}
+    for _ in range(30):
+        lost = sum(rank[v] for v in rank if not out[v])
+        new = {v: 0.85 * sum(rank[a] / out[a] for a, b in PAIRS if b == v) + (0.85 * lost + 0.15) / 7 for v in rank}
+        change, rank = sum(abs(new[v] - rank[v]) for v in rank), new
+        if change < tol:
+            break
+    assert all(abs(got[v] - rank[v]) < 1e-12 for v in rank)
+
+
 def test_hits_write_each_half_round_once(spark, counted, monkeypatch):
     edges, n = counted
     written = []
