@@ -226,10 +226,10 @@ def external_surface(spark, sf):
     "SELECT point_id, file, at_ AS at, (SELECT max({'s': start, 'i': sym_id}).i FROM sp WHERE sp.file = pt.file AND pt.at_ >= sp.start AND pt.at_ < sp.stop) AS sym_id FROM pt"
 )
 def enclosing_symbols(spark, sf):
-    from pyspark.sql import Window
+    from delvegraph.plans.ranking import numbered
 
-    o = table(spark, sf, "orders")
-    spans = o.select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("sym_id"), (F.col("o_custkey") % 50).alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 500 + 5 + F.col("o_custkey") % 40).alias("stop"))
+    o = numbered(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], "nth")
+    spans = o.select((F.col("nth") + 1).cast("long").alias("sym_id"), (F.col("o_custkey") % 50).alias("file"), (F.col("o_orderkey") % 500).alias("start"), (F.col("o_orderkey") % 500 + 5 + F.col("o_custkey") % 40).alias("stop"))
     points = table(spark, sf, "events").select(F.col("event_id").alias("point_id"), (F.col("user_id") % 50).alias("file"), (F.col("event_id") % 550).alias("at"))
     return R.enclosing(points, spans)
 
