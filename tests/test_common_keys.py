@@ -16,6 +16,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def references(spark, n_refs=60, n_defs=40):
+    sym = [(i, "get", f"s{i % 2}/f.py", f"s{i % 2}", "python", i % 3, True) for i in range(n_defs)] + [(900, "one", "z/z.py", "z", "python", 0, False), (901, "_far", "y/a.py", "y", "python", 0, True), (902, "_far", "y/b.py", "y", "python", 3, True)]
+    symbols = spark.createDataFrame(sym, "sym_id int, name string, file string, dir string, lang string, params int, arity_exact boolean")
+    ref = [(k, 500 + k % 7, "s0/f.py", "s0", "python", "get", 2) for k in range(n_refs)] + [(100, 5, "q/q.py", "q", "python", "get", 0), (101, 5, "q/q.py", "q", "python", "one", 9), (102, 5, None, None, "python", "one", None), (103, 5, "x/a.py", "x", "python", "_far", 2), (104, 5, "x/a.py", "x", "python", None, 2)]
+    return spark.createDataFrame(ref, "ref_id int, from_sym int, file string, dir string, lang string, callee string, arg_count int"), symbols
+
+
+def test_references_of_the_same_words_resolve_once(spark):
+    refs, symbols = references(spark)
+    got = {(r.ref_id, r.dst, r.conf, r.k) for r in resolve.resolve(refs, symbols).collect()}
+    near = [i for i in range(0, 40, 2) if i % 3 >= 2]
+    assert got == {(k, d, 1.0, len(near)) for k in range(60) for d in near} | {(101, 900, 0.2, 1), (103, 902, 0.2, 1)}
+    found, classes = resolve.targets(refs, symbols)
+    assert found.count() == 60 + 2  # no pairs yet
+    assert classes.count() == 6 + 3
+
+
 def test_points_meet_no_span_that_does_not_hold_them(spark):
     rng = random.Random(4)
     spans = [(i, rng.choice("fg"), a := rng.randrange(-40, 300), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 64, 255])) for i in range(300)] + [(900, "f", 0, 1 << 40), (901, None, 0, 9), (902, "g", None, 9)]
