@@ -33,6 +33,18 @@ def test_references_of_the_same_words_resolve_once(spark):
     assert classes.count() == 6 + 3
 
 
+def test_scopes_by_their_ends(spark):
+    scopes = ["a::b::C", "C", "b::C", "x:::C", "BC", "", None]
+    symbols = spark.createDataFrame([(i, "f", s, "a.cpp", "", "cpp", 0, False) for i, s in enumerate(scopes)], "sym_id int, name string, scope string, file string, dir string, lang string, params int, arity_exact boolean")
+    hints = ["C", "b::C", ":C", "BC", "", "::C"]
+    refs = spark.createDataFrame([(i, 9, "b.cpp", "x", "cpp", "f", 0, h, None, None) for i, h in enumerate(hints)], "ref_id int, from_sym int, file string, dir string, lang string, callee string, arg_count int, qualifier string, self_scope string, recv_type string")
+    cones = spark.createDataFrame([], "type string, member string")
+    got = {(r.ref_id, r.dst) for r in resolve.resolve_scoped(refs, symbols, cones).collect()}
+    assert got == {(i, j) for i, h in enumerate(hints) for j, s in enumerate(scopes) if s is not None and (s == h or s.endswith("::" + h))}
+    words = resolve._worded(refs.unionByName(refs.withColumn("ref_id", F.col("ref_id") + 50)), "qualifier", "self_scope", "recv_type").select("words").distinct()
+    assert words.count() == len(hints)
+
+
 def test_points_meet_no_span_that_does_not_hold_them(spark):
     rng = random.Random(4)
     spans = [(i, rng.choice("fg"), a := rng.randrange(-40, 300), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 64, 255])) for i in range(300)] + [(900, "f", 0, 1 << 40), (901, None, 0, 9), (902, "g", None, 9)]
