@@ -212,7 +212,7 @@ def resolved_edges(spark, sf):
 @query(f"{_RES}, k AS (SELECT ref_id, max(k) AS k FROM res GROUP BY ref_id) SELECT src AS from_sym, count(*) FILTER (k > 1) AS amb, count(*) FILTER (k IS NULL) AS unresolved FROM rf LEFT JOIN k USING (ref_id) GROUP BY src")
 def resolution_gauges(spark, sf):
     refs, symbols = _references(spark, sf)
-    return R.gauges(refs, R.resolve(refs, symbols))
+    return R.gauges(refs, R.targets(refs, symbols)[0])
 
 
 @query("SELECT event_type AS callee, 'python' AS lang, count(*) AS n_refs FROM events WHERE event_type NOT IN (SELECT p_name FROM part) GROUP BY event_type")

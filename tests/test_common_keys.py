@@ -33,6 +33,14 @@ def test_references_of_the_same_words_resolve_once(spark):
     assert classes.count() == 6 + 3
 
 
+def test_gauges_make_no_pairs(spark):
+    refs, symbols = references(spark)
+    found = resolve.targets(refs, symbols)[0]
+    got = {r.from_sym: (r.amb, r.unresolved) for r in resolve.gauges(refs, found).collect()}
+    assert got == {500 + k: (sum(i % 7 == k for i in range(60)), 0) for k in range(7)} | {5: (0, 3)}
+    assert "Generate" not in plan(resolve.gauges(refs, found))
+
+
 def test_scopes_by_their_ends(spark):
     scopes = ["a::b::C", "C", "b::C", "x:::C", "BC", "", None]
     symbols = spark.createDataFrame([(i, "f", s, "a.cpp", "", "cpp", 0, False) for i, s in enumerate(scopes)], "sym_id int, name string, scope string, file string, dir string, lang string, params int, arity_exact boolean")
