@@ -41,6 +41,13 @@ def test_gauges_make_no_pairs(spark):
     assert "Generate" not in plan(resolve.gauges(refs, found))
 
 
+def test_weights_are_summed_by_class(spark):
+    refs, symbols = references(spark)
+    got = sorted((r.src, r.dst, r.n_ref, round(r.w, 9), r.amb) for r in resolve.weighted_resolution(refs, symbols).collect())
+    want = sorted((r.src, r.dst, r.n_ref, round(r.w, 9), r.amb) for r in resolve.weighted_edges(resolve.resolve(refs, symbols), symbols).collect())
+    assert got == want and len(want) == 7 * 7 + 2
+
+
 def test_scopes_by_their_ends(spark):
     scopes = ["a::b::C", "C", "b::C", "x:::C", "BC", "", None]
     symbols = spark.createDataFrame([(i, "f", s, "a.cpp", "", "cpp", 0, False) for i, s in enumerate(scopes)], "sym_id int, name string, scope string, file string, dir string, lang string, params int, arity_exact boolean")
