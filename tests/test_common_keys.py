@@ -48,6 +48,17 @@ def test_weights_are_summed_by_class(spark):
     assert got == want and len(want) == 7 * 7 + 2
 
 
+def test_precise_targets_replace_classes(spark):
+    from delvegraph.sources import precise
+
+    refs, symbols = references(spark)
+    placed = refs.withColumn("line", F.col("ref_id"))
+    pins = spark.createDataFrame([("s0/f.py", k, 77) for k in range(59)], "file string, line int, to_sym int")
+    found, classes = resolve.targets(refs, symbols)
+    got = {(r.ref_id, r.dst, r.conf) for r in precise.overlay(found, placed, pins, classes).collect()}
+    assert got == {(k, 77, 1.0) for k in range(59)} | {(59, d, 1.0) for d in (2, 8, 14, 20, 26, 32, 38)} | {(101, 900, 0.2), (103, 902, 0.2)}
+
+
 def test_scopes_by_their_ends(spark):
     scopes = ["a::b::C", "C", "b::C", "x:::C", "BC", "", None]
     symbols = spark.createDataFrame([(i, "f", s, "a.cpp", "", "cpp", 0, False) for i, s in enumerate(scopes)], "sym_id int, name string, scope string, file string, dir string, lang string, params int, arity_exact boolean")
