@@ -54,7 +54,7 @@ def foreign_alias_edges(spark, sf):
     refs, symbols = _references(spark, sf)
     names = nodes(spark, sf).select("name").distinct()  # 64 names
     aliases = names.select(F.col("name").alias("alias"), F.lead("name").over(Window.orderBy("name")).alias("target"), (F.length("name") % 2 == 0).alias("low_conf"))
-    return B.foreign_edges(refs, resolve.resolve(refs, symbols), aliases, _symbols(spark, sf).filter("kind = 'fn'"))
+    return B.foreign_edges(refs, resolve.targets(refs, symbols)[0], aliases, _symbols(spark, sf).filter("kind = 'fn'"))
 
 
 @query(

@@ -59,6 +59,13 @@ def test_precise_targets_replace_classes(spark):
     assert got == {(k, 77, 1.0) for k in range(59)} | {(59, d, 1.0) for d in (2, 8, 14, 20, 26, 32, 38)} | {(101, 900, 0.2), (103, 902, 0.2)}
 
 
+def test_foreign_edges_take_classes(spark):
+    refs, symbols = references(spark)
+    aliases = spark.createDataFrame([("get", "one", False), ("_far", "one", True)], "alias string, target string, low_conf boolean")
+    got = [tuple(r) for r in B.foreign_edges(refs, resolve.targets(refs, symbols)[0], aliases, symbols).collect()]
+    assert got == [(100, 5, 900, 0.2)]
+
+
 def test_scopes_by_their_ends(spark):
     scopes = ["a::b::C", "C", "b::C", "x:::C", "BC", "", None]
     symbols = spark.createDataFrame([(i, "f", s, "a.cpp", "", "cpp", 0, False) for i, s in enumerate(scopes)], "sym_id int, name string, scope string, file string, dir string, lang string, params int, arity_exact boolean")
