@@ -78,6 +78,15 @@ def test_scopes_by_their_ends(spark):
     assert words.count() == len(hints)
 
 
+def test_pairs_of_a_common_name_are_not_dealt_out(spark):
+    sym = spark.createDataFrame([(i, "Base", "cls", "py") for i in range(300)] + [(7, "Other", "cls", "py"), (8, "Fn", "fn", "py")], "sym_id long, name string, kind string, lang string")
+    refs = spark.createDataFrame([(s, n, "extends", "py") for s in (5, 7, 1000) for n in ("Base", "Base", "Other", "Fn", None)], "from_sym long, callee string, role string, lang string")
+    df = B.inheritance(refs, sym)
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(b, d) for b in range(300) for d in (5, 7, 1000) if b != d}
+    assert plan(df).index("Generate") < plan(df).index("Exchange")
+
+
 def test_points_meet_no_span_that_does_not_hold_them(spark):
     rng = random.Random(4)
     spans = [(i, rng.choice("fg"), a := rng.randrange(-40, 300), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 64, 255])) for i in range(300)] + [(900, "f", 0, 1 << 40), (901, None, 0, 9), (902, "g", None, 9)]
