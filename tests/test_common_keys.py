@@ -87,6 +87,14 @@ def test_pairs_of_a_common_name_are_not_dealt_out(spark):
     assert plan(df).index("Generate") < plan(df).index("Exchange")
 
 
+def test_member_types_of_a_common_name(spark):
+    sym = spark.createDataFrame([(i, "T", "struct", "py") for i in range(200)], "sym_id long, name string, kind string, lang string")
+    df = B.members(spark.createDataFrame([(3, "T"), (3, "T"), (900, "T"), (4, None)], "owner long, type_name string"), sym)
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(o, m) for o in (3, 900) for m in range(200) if o != m}
+    assert plan(df).index("Generate") < plan(df).index("Exchange")
+
+
 def test_points_meet_no_span_that_does_not_hold_them(spark):
     rng = random.Random(4)
     spans = [(i, rng.choice("fg"), a := rng.randrange(-40, 300), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 64, 255])) for i in range(300)] + [(900, "f", 0, 1 << 40), (901, None, 0, 9), (902, "g", None, 9)]
