@@ -95,6 +95,14 @@ def test_member_types_of_a_common_name(spark):
     assert plan(df).index("Generate") < plan(df).index("Exchange")
 
 
+def test_mentions_of_a_common_name(spark):
+    docs = spark.createDataFrame([(1, "see `a.go` and `b.go()`"), (2, "`stop`"), (3, None)], "id long, text string")
+    df = D.code_mentions(docs, spark.createDataFrame([(i, "go") for i in range(150)] + [(3, "stop")], "sym_id long, name string"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(1, i) for i in range(150)} | {(2, 3)}
+    assert plan(df).index("Generate") < plan(df).index("Exchange")
+
+
 def test_points_meet_no_span_that_does_not_hold_them(spark):
     rng = random.Random(4)
     spans = [(i, rng.choice("fg"), a := rng.randrange(-40, 300), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 15, 16, 64, 255])) for i in range(300)] + [(900, "f", 0, 1 << 40), (901, None, 0, 9), (902, "g", None, 9)]
