@@ -101,10 +101,11 @@ def bind_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     """Frames with sym_id and ``how``: by name within the file, else by the innermost line span.
     ``symbols(sym_id, name, file, first, last)``."""
     f = frames.withColumn("file", F.element_at(F.split("path", "/"), -1))
-    s = symbols.select("sym_id", "name", F.element_at(F.split("file", "/"), -1).alias("file"), "first", "last")
-    by_name = f.filter("func is not null").join(s, (f["file"] == s["file"]) & (f["func"] == s["name"])).groupBy("id", "nth").agg(F.min("sym_id").alias("by_name"))
-    by_line = f.join(s, (f["file"] == s["file"]) & (F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last"))).groupBy("id", "nth").agg(F.max_by("sym_id", "first").alias("by_line"))
-    j = f.join(by_name, ["id", "nth"], "left").join(by_line, ["id", "nth"], "left")
+    s = symbols.select("sym_id", "name", F.element_at(F.split("file", "/"), -1).alias("file"), F.col("first").alias("start"), (F.col("last") + 1).alias("stop"))
+    by_name = s.groupBy("file", F.col("name").alias("func")).agg(F.min("sym_id").alias("by_name"))
+    inner = best_span(f.withColumnRenamed("line", "at"), s, "file", F.struct("start", "sym_id"))
+    by_line = inner.select("file", F.col("at").alias("line"), F.col("best.sym_id").alias("by_line"))
+    j = f.join(by_name, ["file", "func"], "left").join(by_line, ["file", "line"], "left")
     how = F.when(F.col("by_name").isNotNull(), F.when(F.col("by_line").isNotNull() & (F.col("by_line") != F.col("by_name")), "name-disagrees").otherwise("name")).when(F.col("by_line").isNotNull(), "line")
     return j.select("id", "nth", "path", "line", "func", F.coalesce("by_name", "by_line").alias("sym_id"), how.alias("how"))
 

@@ -9,6 +9,7 @@ from delvegraph.operators import graph as G
 from delvegraph.operators import history as H
 from delvegraph.operators import quality, resolve, retrieval, search
 from delvegraph.operators import text as D
+from delvegraph.plans.spans import best_span
 from delvegraph.queries.graph import _rank_sql
 from delvegraph.queries.history import _RES, _references
 from delvegraph.queries.registry import COMMITS, GRAPH, NODES, commit_files, commits, edges, nodes, query, rounded, table
@@ -250,13 +251,14 @@ def bound_frames(spark, sf):
     total = n.count()
     s = n.select(F.col("id").alias("sym_id"), F.replace("name", F.lit(" "), F.lit("_")).alias("name"), "file", (F.col("id") % 300).alias("first"), (F.col("id") % 300 + F.col("cx")).alias("last"))
     ev = table(spark, sf, "events").select("event_id", "user_id", ((F.col("event_id") * 17) % total).alias("a"), ((F.col("user_id") * 31) % total).alias("b"))
-    fr = ev.join(s.select(F.col("sym_id").alias("a"), "name"), "a").join(s.select(F.col("sym_id").alias("b"), F.col("file").alias("path")), "b")
+    fr = ev.join(s.select(F.col("sym_id").alias("a"), "name").hint("merge"), "a").join(s.select(F.col("sym_id").alias("b"), F.col("file").alias("path")).hint("merge"), "b")
     fr = fr.select(F.col("user_id").alias("id"), F.col("event_id").alias("nth"), "path", (F.col("event_id") % 360).cast("int").alias("line"), F.when(F.col("event_id") % 3 > 0, F.col("name")).alias("func"))
     out = D.bind_frames(fr, s)
     named = F.col("how").isin("name", "name-disagrees")
-    spans = s.withColumn("base", F.element_at(F.split("file", "/"), -1))
-    inside = out.alias("o").join(spans.alias("s"), (F.element_at(F.split("o.path", "/"), -1) == F.col("s.base")) & (F.col("o.line") >= F.col("s.first")) & (F.col("o.line") <= F.col("s.last")), "left_semi").select("id", "nth", F.lit(True).alias("in_span"))
-    return out.select("id", "nth", "path", "line", "func", F.when(named, F.col("sym_id")).alias("by_name")).join(inside, ["id", "nth"], "left").fillna(False, ["in_span"])
+    spans = s.select(F.element_at(F.split("file", "/"), -1).alias("base"), F.col("first").alias("start"), (F.col("last") + 1).alias("stop"))
+    out = out.withColumn("base", F.element_at(F.split("path", "/"), -1))
+    inside = best_span(out.withColumnRenamed("line", "at"), spans, "base", F.lit(True)).select("base", F.col("at").cast("int").alias("line"), F.col("best").alias("in_span"))
+    return out.join(inside, ["base", "line"], "left").select("id", "nth", "path", "line", "func", F.when(named, F.col("sym_id")).alias("by_name"), F.coalesce("in_span", F.lit(False)).alias("in_span"))
 
 
 @query(

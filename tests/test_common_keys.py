@@ -116,3 +116,11 @@ def test_points_meet_no_span_that_does_not_hold_them(spark):
     assert not re.search(r"at#\d+L? >= start", plan(df))
 
 
+def test_frames_bind_by_equal_joins(spark):
+    frames = spark.createDataFrame([(1, 1, "/x/a.py", 5, "f"), (1, 2, "a.py", 7, None), (1, 3, "b.py", 7, "f"), (1, 4, "a.py", 99, "g")], "id long, nth long, path string, line int, func string")
+    symbols = spark.createDataFrame([(1, "f", "src/a.py", 4, 7), (2, "g", "src/a.py", 6, 6), (3, "f", "a.py", 20, 30), (4, "h", "a.py", 7, 7)], "sym_id long, name string, file string, first int, last int")
+    df = D.bind_frames(frames, symbols)
+    assert {r.nth: (r.sym_id, r.how) for r in df.collect()} == {1: (1, "name"), 2: (4, "line"), 3: (None, None), 4: (2, "name")}
+    assert " >= " not in plan(df)
+
+
