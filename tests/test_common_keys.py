@@ -124,3 +124,12 @@ def test_frames_bind_by_equal_joins(spark):
     assert " >= " not in plan(df)
 
 
+def test_equal_notes_have_an_order(spark):
+    rng = random.Random(1)
+    day = lambda k: datetime.date(2020, 1, 1 + k)
+    notes = [("a", day(rng.randrange(5)), rng.choice("xyz")) for _ in range(2000)]
+    rows = B.with_notes(spark.createDataFrame([("a",), ("b",)], "canon string"), spark.createDataFrame(notes, "target string, date date, text string")).collect()
+    got = {r.canon: r.notes and [(x.date, x.text) for x in r.notes] for r in rows}
+    assert got == {"a": sorted(((d, t) for _, d, t in notes), key=lambda x: (-x[0].toordinal(), x[1])), "b": None}
+
+
