@@ -133,3 +133,10 @@ def test_equal_notes_have_an_order(spark):
     assert got == {"a": sorted(((d, t) for _, d, t in notes), key=lambda x: (-x[0].toordinal(), x[1])), "b": None}
 
 
+def test_each_held_entry_stays(spark):
+    found = spark.createDataFrame([(1, "ccx", 9), (2, "loc", 5)], "canon long, kind string, now int")
+    held = spark.createDataFrame([(1, "ccx", 12), (1, "ccx", 7), (3, "loc", 8)], "canon long, kind string, now int")
+    assert sorted(tuple(r) for r in serve.updated_baseline(found, held).collect()) == [(1, "ccx", 7), (1, "ccx", 9)]
+    assert sorted(tuple(r) for r in serve.updated_baseline(found, held, accept_new=True).collect()) == [(1, "ccx", 9), (2, "loc", 5)]
+
+
