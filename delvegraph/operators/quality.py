@@ -139,18 +139,21 @@ def lcom4(methods: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
     """(cls, lcom4): components of a class's methods joined by shared fields or calls.
 
     ``methods(cls, method)``, ``uses(cls, method, field)``, ``calls(cls, a, b)``.
-    NULL for classes without methods.  A class is a bounded group.
+    NULL for classes without methods.  A class is a bounded group; a task runs through
+    the sorted rows of many.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     rows = (
-        methods.select("cls", F.col("method").alias("a"), F.lit(None).cast("string").alias("b"))
-        .unionByName(uses.select("cls", F.col("method").alias("a"), F.concat(F.lit("field:"), "field").alias("b")))
-        .unionByName(calls.select("cls", "a", "b"))
+        methods.select(F.col("cls").cast("string").alias("cls"), F.col("method").alias("a"), F.lit(None).cast("string").alias("b"))
+        .unionByName(uses.select(F.col("cls").cast("string").alias("cls"), F.col("method").alias("a"), F.concat(F.lit("field:"), "field").alias("b")))
+        .unionByName(calls.select(F.col("cls").cast("string").alias("cls"), "a", "b"))
     )
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         parent: dict = {}
+        own: list = []
+        now, begun = None, False
 
         def find(x):
             parent.setdefault(x, x)
@@ -159,15 +162,25 @@ def lcom4(methods: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            find(a)
-            if b is not None:
-                parent[find(a)] = find(b)
-        own = set(pdf.loc[pdf["b"].isna(), "a"])
-        n = len({find(m) for m in own})
-        return pd.DataFrame({"cls": [pdf["cls"].iloc[0]], "lcom4": pd.array([n or None], dtype="Int64")})
-
-    return rows.groupBy("cls").applyInPandas(one, "cls string, lcom4 long")
+        for batch in batches:
+            out: list = []
+            for cls, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or cls != now:
+                    if begun:
+                        out.append((now, len({find(m) for m in own}) or None))
+                        parent, own = {}, []
+                    now, begun = cls, True
+                if b is None:
+                    find(a)
+                    own.append(a)
+                else:
+                    parent[find(a)] = find(b)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["cls", "lcom4"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([len({find(m) for m in own}) or None], pa.int64())], names=["cls", "lcom4"])
+
+    return rows.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "cls string, lcom4 long")
 
 
 def naming_vote(names: DataFrame, least: int = 20, share: float = 0.90) -> DataFrame:

@@ -140,3 +140,23 @@ def test_each_held_entry_stays(spark):
     assert sorted(tuple(r) for r in serve.updated_baseline(found, held, accept_new=True).collect()) == [(1, "ccx", 9), (2, "loc", 5)]
 
 
+@pytest.mark.parametrize("batch", [2, 10000])
+def test_classes_by_the_run_of_their_rows(spark, batch):
+    rng = random.Random(2)
+    m = [(f"c{c}", f"m{k}") for c in range(40) for k in range(rng.randrange(1, 6))]
+    u = [(c, k, f"f{rng.randrange(4)}") for c, k in m if rng.random() < 0.7] + [("none", "m", "f")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = quality.lcom4(spark.createDataFrame(m, "cls string, method string"), spark.createDataFrame(u, "cls string, method string, field string"), spark.createDataFrame([("c1", "m0", "m0")], "cls string, a string, b string"))
+        got = {r.cls: r.lcom4 for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {"none": None}
+    for c in {c for c, _ in m}:
+        part = {k: {k} for d, k in m if d == c}
+        for f in {f for d, _, f in u if d == c}:
+            joined = set().union(*(part[k] for d, k, g in u if d == c and g == f))
+            for k in joined:
+                part[k] = joined
+        want[c] = len({frozenset(x) for x in part.values()})
+    assert got == want and "FlatMapGroupsInPandas" not in plan(df)
