@@ -41,3 +41,10 @@ def test_components_of_a_long_chain(spark):
     assert got == {v: min(ids[:150]) if k < 150 else min(ids[150:]) for k, v in enumerate(ids)}
 
 
+def test_zoom_over_the_bound(spark):
+    e = frame(spark, cliques(12, 5, joined=True))
+    whole = {(r.id, r.level): r.community for r in kernels.zoom(e, groups=4).collect()}
+    got = {(r.id, r.level): r.community for r in kernels.zoom(e, groups=4, bound=40).collect()}
+    assert {i for i, _ in got} == {i for i, _ in whole} and len({c for (_, k), c in got.items() if k == 1}) <= 12
+
+
