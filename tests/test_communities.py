@@ -48,3 +48,8 @@ def test_zoom_over_the_bound(spark):
     assert {i for i, _ in got} == {i for i, _ in whole} and len({c for (_, k), c in got.items() if k == 1}) <= 12
 
 
+def test_bundles_of_communities_over_the_bound(spark):
+    sizes = spark.createDataFrame([(c * 100 + k, 2, 0) for c in range(6) for k in range(5)], "id long, size int, shared int")
+    parts = kernels.communities(frame(spark, cliques(6, 5)), bound=15)
+    got = {r.id: r.bin for r in bundles.partition_bins(sizes, parts, 3, core_share=0.0).collect()}
+    assert len(got) == 30 and all(len({got[c * 100 + k] for k in range(5)}) == 1 for c in range(6)) and set(got.values()) == {0, 1, 2}
