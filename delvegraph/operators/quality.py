@@ -242,7 +242,19 @@ def ensemble(findings: list[tuple[str, DataFrame]]) -> DataFrame:
 def context_ratio(uses: DataFrame, weight: Column | None = None) -> DataFrame:
     """(id, outside_tokens, outside, total_tokens, ratio) of ``uses(id, file, def_id, def_file, tokens)``:
     how much of what a symbol reads lies outside its file."""
-    d = uses.select("id", "file", "def_id", "def_file", "tokens").distinct()
+    return _ratio(uses.select("id", "file", "def_id", "def_file", "tokens").distinct())
+
+
+def context_ratio_of(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``context_ratio`` of what ``edges(src, dst)`` over ``symbols(id, file, tokens)`` read: edges and
+    symbols are told apart before they meet, so the wide rows of their join need not be."""
+    s = symbols.select("id", "file", "tokens").distinct()
+    user = s.select(F.col("id").alias("src"), "file").distinct().hint("shuffle_hash")
+    used = s.select(F.col("id").alias("dst"), F.col("file").alias("def_file"), "tokens").hint("shuffle_hash")
+    return _ratio(edges.select("src", "dst").distinct().join(used, "dst").join(user, "src").withColumnRenamed("src", "id"))
+
+
+def _ratio(d: DataFrame) -> DataFrame:
     out = F.col("file") != F.col("def_file")
     t = d.groupBy("id").agg(F.sum(F.when(out, F.col("tokens")).otherwise(0)).alias("outside_tokens"), F.count_if(out).alias("outside"), F.sum("tokens").alias("total_tokens"))
     return t.withColumn("ratio", F.when(F.col("total_tokens") > 0, F.col("outside_tokens") / F.col("total_tokens")))

@@ -167,8 +167,7 @@ def evidence_ensemble(spark, sf):
 )
 def context_ratio(spark, sf):
     n = nodes(spark, sf)
-    uses = edges(spark, sf).join(n.select(F.col("id").alias("src"), "file"), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("def_file"), F.col("cx").alias("tokens")), "dst").select(F.col("src").alias("id"), "file", F.col("dst").alias("def_id"), "def_file", "tokens")
-    return rounded(Q.context_ratio(uses), "ratio")
+    return rounded(Q.context_ratio_of(edges(spark, sf), n.select("id", "file", F.col("cx").alias("tokens"))), "ratio")
 
 
 # Names of parts as definitions (64 names, so most are ambiguous); line items call them.
